@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import orc_tokens, packing, quality
+from corpusmill.llm import orc_tokens, packing, quality, sharding
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (quality, orc_tokens, packing):
+for _module in (quality, sharding, orc_tokens, packing):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
