@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import orc_tokens, packing, quality, secrets, sharding
+from corpusmill.llm import orc_tokens, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (quality, sharding, orc_tokens, secrets, packing):
+for _module in (quality, toxicity, sharding, orc_tokens, secrets, packing):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
