@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import jaccard_join, orc_tokens, packing, quality, secrets, sharding, toxicity
+from corpusmill.llm import jaccard_join, orc_tokens, packing, quality, secrets, sharding, suffix_tree, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (quality, toxicity, sharding, orc_tokens, jaccard_join, secrets, packing):
+for _module in (quality, toxicity, sharding, orc_tokens, jaccard_join, secrets, suffix_tree, packing):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
