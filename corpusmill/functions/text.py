@@ -5,16 +5,155 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: tokens a byte of binary data costs a language model as base64.
+TOKENS_PER_BYTE = 0.634
+
+
+def text_or_empty(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
 
 def round_half_up(x: Column) -> Column:
     """Rounds halves towards plus infinity."""
     return F.floor(x + 0.5).cast("bigint")
 
 
+def one_line(c: Column) -> Column:
+    """White space collapsed to single blanks, ends trimmed."""
+    return F.trim(F.regexp_replace(c, "\\s+", " "))
+
+
+def strip_space(c: Column) -> Column:
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
+def tidy(c: Column) -> Column:
+    """Line ends to LF, no-break blanks to blanks, no blanks before line ends, at most one empty line in a row, ends trimmed."""
+    t = F.regexp_replace(c, "\r\n?", "\n")
+    t = F.regexp_replace(t, " ", " ")
+    t = F.regexp_replace(t, "[ \t]+\n", "\n")
+    return strip_space(F.regexp_replace(t, "\n{3,}", "\n\n"))
+
+
+def extension(name: Column) -> Column:
+    """Lower-cased letters and digits after the last dot, else empty."""
+    return F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
+
+
+def heading(depth: Column, title: Column) -> Column:
+    """A markdown heading of depth 1 to 6 between line ends."""
+    marks = F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), depth)).cast("int"))
+    return F.concat(F.lit("\n"), marks, F.lit(" "), one_line(title), F.lit("\n"))
+
+
+def clean_title(c: Column) -> Column:
+    """A title without images, link targets, marks and escapes, at most 100 characters."""
+    t = F.regexp_replace(c, "!\\[[^\\]]*\\]\\([^)]*\\)", "")
+    t = F.regexp_replace(t, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
+    t = F.regexp_replace(t, "[¶*_`]", "")
+    t = F.regexp_replace(t, "\\\\([\\\\`*_{}\\[\\]()#+\\-.!])", "$1")
+    return F.left(one_line(t), F.lit(100))
+
+
+def numbered_depth(line: Column) -> Column:
+    """Depth of a numbered heading, 0 for any other line."""
+    s = strip_space(line)
+    # Fixed value: labels such as 2.1, A.3 or Appendix B, then the title.
+    pattern = "^((?:[0-9]{1,3}\\.)*[0-9]{1,3}\\.?|[A-Z]\\.(?:[0-9]{1,3}\\.?)*|Appendix\\s+[A-Z]\\.?)\\s{1,4}(\\S.{1,80})$"
+    label, title = F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2)
+    parts = F.split(F.regexp_replace(label, "^Appendix\\s+", ""), "\\.")
+    depth = F.size(F.filter(parts, lambda x: x != ""))
+    letters = F.length(F.regexp_replace(title, "[^A-Za-z]", ""))
+    chars = F.length(F.regexp_replace(title, "\\s", ""))
+    deep = (letters >= 2) & (letters >= chars * 0.25)
+    flat = (letters >= 3) & (letters >= chars * 0.55) & title.rlike("^[A-Z0-9\"'(“]")
+    sentence = title.rlike("\\.{4,}|[.,;]$|\\s[0-9]+$")
+    ok = (label != "") & (F.length(s) <= 90) & ~sentence & F.when(depth >= 2, deep).otherwise(flat)
+    return F.when(ok, F.least(F.lit(6), depth)).otherwise(F.lit(0)).cast("bigint")
+
+
 def token_estimate(text: Column) -> Column:
     """Linear estimate of a text's language-model tokens; null counts as empty, the least value is 1."""
-    t = F.coalesce(text, F.lit(""))
+    t = text_or_empty(text)
     n = lambda pattern: F.regexp_count(t, F.lit(pattern))
     # Weights per letter run, digit run, mark and line end.
     weighted = n("[A-Za-z]+") * 1.098 + n("[0-9]+") * 2.207 + n("[^A-Za-z0-9_\\s]") * 0.569 + n("\n") * 0.325
     return F.greatest(F.lit(1).cast("bigint"), round_half_up(weighted))
+
+
+def _decimals(x: Column, places: int) -> Column:
+    """Fixed decimals, halves up, as text."""
+    scaled = F.floor(x * 10**places + 0.5).cast("bigint")
+    if places == 0:
+        return scaled.cast("string")
+    return F.concat((F.floor(scaled / 10)).cast("bigint").cast("string"), F.lit("."), F.pmod(scaled, F.lit(10)).cast("string"))
+
+
+def token_display(n: Column) -> Column:
+    """Short form of a token count: ~950, ~9.5k, ~95k, ~1.2M, ~3.4B."""
+    return F.concat(
+        F.lit("~"),
+        F.when(n < 1000, _decimals(n, 0))
+        .when(n < 10_000, F.concat(_decimals(n / 1e3, 1), F.lit("k")))
+        .when(n < 1_000_000, F.concat(_decimals(n / 1e3, 0), F.lit("k")))
+        .when(n < 10_000_000, F.concat(_decimals(n / 1e6, 1), F.lit("M")))
+        .when(n < 1_000_000_000, F.concat(_decimals(n / 1e6, 0), F.lit("M")))
+        .otherwise(F.concat(_decimals(n / 1e9, 1), F.lit("B"))),
+    )
+
+
+def size_display(n: Column) -> Column:
+    """Decimal units with one place: 1.2 GB, 3.4 MB, 5.6 KB."""
+    return F.when(n >= 1e9, F.concat(_decimals(n / 1e9, 1), F.lit(" GB"))).when(n >= 1e6, F.concat(_decimals(n / 1e6, 1), F.lit(" MB"))).otherwise(F.concat(_decimals(n / 1e3, 1), F.lit(" KB")))
+
+
+def front_matter(body: Column, key: str) -> Column:
+    """Value of the first line ``key: value``, else empty."""
+    return F.regexp_extract(body, f"(?m)^{key}: (.+)$", 1)
+
+
+def html_unescape(c: Column) -> Column:
+    """The six entities that metadata blocks use; the ampersand last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def shell_quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def manifest_key(label: Column) -> Column:
+    """A chunk label without its type and shape and without wrapper prefixes."""
+    k = F.regexp_replace(label, "\\s+(F|BF|I|U|Q|IQ)[0-9A-Z_]*\\[[0-9,]*\\]$", "")
+    return F.trim(F.regexp_replace(k, "^tensor (transformer|model|base_model\\.model)\\.", "tensor "))
+
+
+def significant(x: Column, digits: int) -> Column:
+    """``x`` rounded to significant digits; 0 stays 0."""
+    power = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(F.when(x != 0, x)))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(x * power + 0.5) / power)
+
+
+def sentences(c: Column) -> Column:
+    """Sentences: cut after a full stop, exclamation or question mark with white space, and at line ends."""
+    cut = F.split(F.regexp_replace(c, "([.!?])\\s+", "$1\n"), "\n+")
+    return F.filter(F.transform(cut, strip_space), lambda x: x != "")
+
+
+def normalised(c: Column) -> Column:
+    """The form in which quotes and word runs are compared (texts are taken to be NFKC already)."""
+    t = F.regexp_replace(c, "\\[page [0-9]+\\]", " ")
+    t = F.lower(F.regexp_replace(t, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1"))
+    t = F.regexp_replace(t, "[‘’`]", "'")
+    t = F.regexp_replace(t, "[“”]", '"')
+    t = F.regexp_replace(t, "[*_#>|]", "")
+    t = F.regexp_replace(t, "[‐-―-]\\s*", "")
+    return one_line(t)
+
+
+def word_runs(c: Column, n: int = 3) -> Column:
+    """Runs of ``n`` words of a-z and 0-9 after normalising."""
+    w = F.filter(F.split(F.regexp_replace(normalised(c), "[^a-z0-9\\s]", " "), "\\s+"), lambda x: x != "")
+    runs = F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+    return F.when(F.size(w) >= n, F.slice(runs, 1, F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<string>"))

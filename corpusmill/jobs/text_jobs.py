@@ -1,16 +1,275 @@
-"""Queries on documents."""
+"""Jobs on documents, pages and their text."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import token_estimate
+from corpusmill.functions import text as T
+from corpusmill.jobs.registry import Registry
+from corpusmill.operators import injection, manifest, sections
 from corpusmill.sources.tables import table
 
+jobs = Registry()
 
+_COUNT = "len(regexp_extract_all({t}, '{p}'))"
+_TOKENS = "greatest(1, floor(" + " + ".join(_COUNT.format(t="{t}", p=p) + f" * {w}::DOUBLE" for p, w in (("[A-Za-z]+", 1.098), ("[0-9]+", 2.207), ("[^A-Za-z0-9_\\s]", 0.569), ("\\n", 0.325))) + " + 0.5))::BIGINT"
+
+
+def tokens_sql(t: str) -> str:
+    """The token estimate as DuckDB SQL."""
+    return _TOKENS.replace("{t}", t)
+
+
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), chr(160), ' '), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@jobs.query()
 def document_index(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("name"))
+    """One index row per document: sections, tokens, Merkle root over the section hashes and distinctive terms of its collection."""
+    docs = table(spark, sf_dir, "documents")
+    parts = sections.sections(docs).select("doc_id", F.col("section_no").cast("bigint").alias("pos"), F.sha2("section", 256).alias("hash"), T.token_estimate(F.col("section")).alias("tokens"))
+    roots = manifest.merkle_roots(parts.select("doc_id", "pos", "hash"), "doc_id")
+    sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("tokens").alias("tokens"))
+    terms = sections.distinctive_terms(docs, "source", "doc_id", "text", 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    named = terms.select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"))
+    return sizes.join(roots, "doc_id").join(named, "doc_id", "left").select("doc_id", "n_sections", "tokens", "root", F.coalesce("terms", F.lit("")).alias("terms"))
+
+
+@jobs.query(f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@jobs.query(
+    f"""
+WITH t AS (SELECT source, sum({tokens_sql("text")})::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source)
+SELECT source, n AS note_tokens, bytes, floor(bytes * 0.634::DOUBLE + 0.5)::BIGINT AS raw_tokens, floor(bytes * 0.634::DOUBLE / n + 0.5)::BIGINT AS ratio,
+       '~' || CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 10000 THEN (floor(n / 1000 * 10 + 0.5)::BIGINT // 10)::VARCHAR || '.' || (floor(n / 1000 * 10 + 0.5)::BIGINT % 10)::VARCHAR || 'k'
+                   WHEN n < 1000000 THEN floor(n / 1000 + 0.5)::BIGINT::VARCHAR || 'k' ELSE (floor(n / 1000000 * 10 + 0.5)::BIGINT // 10)::VARCHAR || '.' || (floor(n / 1000000 * 10 + 0.5)::BIGINT % 10)::VARCHAR || 'M' END AS shown
+FROM t"""
+)
+def token_compare(spark, sf_dir):
+    """What a source's texts cost as text and as raw bytes."""
+    docs = table(spark, sf_dir, "documents")
+    sums = docs.groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("note_tokens"), F.sum(F.octet_length("text")).alias("bytes"))
+    raw = F.col("bytes") * T.TOKENS_PER_BYTE
+    return sums.select("source", "note_tokens", "bytes", T.round_half_up(raw).alias("raw_tokens"), T.round_half_up(raw / F.col("note_tokens")).alias("ratio"), T.token_display(F.col("note_tokens")).alias("shown"))
+
+
+@jobs.query(f"SELECT doc_id, len(t)::BIGINT AS n_chars, sha256(t) AS name FROM (SELECT doc_id, {_TIDY.replace('{t}', 'text')} AS t FROM documents)")
+def tidy_text(spark, sf_dir):
+    t = T.tidy(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.sha2("t", 256).alias("name"))
+
+
+_NUMBERED = """CASE WHEN label <> '' AND len(s) <= 90 AND NOT regexp_matches(title, '\\.{4,}|[.,;]$|\\s[0-9]+$')
+  AND CASE WHEN depth >= 2 THEN letters >= 2 AND letters >= chars * 0.25 ELSE letters >= 3 AND letters >= chars * 0.55 AND regexp_matches(title, '^[A-Z0-9"''(“]') END THEN least(6, depth) ELSE 0 END"""
+
+
+@jobs.query(
+    f"""
+WITH l AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split({_TIDY.replace("{t}", "text")}, chr(10)) AS p FROM documents)),
+m AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s, regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^((?:[0-9]{{1,3}}\\.)*[0-9]{{1,3}}\\.?|[A-Z]\\.(?:[0-9]{{1,3}}\\.?)*|Appendix\\s+[A-Z]\\.?)\\s{{1,4}}(\\S.{{1,80}})$', ['label', 'title']) AS x,
+      regexp_matches(line, '^\\s*(```|~~~)') AS is_fence, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY n), '') AS before FROM l),
+k AS (SELECT *, x.label AS label, x.title AS title, len(list_filter(string_split(regexp_replace(x.label, '^Appendix\\s+', ''), '.'), lambda y: y <> '')) AS depth,
+      len(regexp_replace(x.title, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_replace(x.title, '\\s', '', 'g')) AS chars,
+      sum(is_fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 OR is_fence AS fenced FROM m),
+h AS (SELECT doc_id, n, is_fence, CASE WHEN fenced THEN 0 WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 1 WHEN trim(before) = '' AND NOT regexp_matches(line, '^\\s') THEN {_NUMBERED} ELSE 0 END AS d FROM k)
+SELECT doc_id, count(*) AS n_lines, count_if(is_fence)::BIGINT AS n_fences, count_if(d > 0)::BIGINT AS n_headings FROM h GROUP BY doc_id"""
+)
+def line_blocks(spark, sf_dir):
+    """Lines, fences and headings of every document."""
+    b = sections.blocks(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    fence = F.col("line").rlike("^\\s*(```|~~~)")
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(fence).alias("n_fences"), F.count_if(F.col("depth") > 0).alias("n_headings"))
+
+
+@jobs.query(
+    f"""
+WITH RECURSIVE p AS (SELECT doc_id, {_TIDY.replace("{t}", "text")} AS t FROM documents),
+l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS s, len(x) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM p)),
+e AS (SELECT doc_id, n, CASE WHEN n < k - 1 THEN s || chr(10) ELSE s END AS s FROM l),
+f AS (SELECT doc_id, n, unnest(range(greatest(1, (len(s) + 1999) // 2000))) AS i, s FROM e WHERE s <> ''),
+g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS r, substr(s, i * 2000 + 1, 2000) AS s FROM f),
+w AS (SELECT doc_id, r, 0 AS sec, s AS open FROM g WHERE r = 1
+      UNION ALL SELECT w.doc_id, g.r, CASE WHEN len(w.open) + len(g.s) > 2000 THEN sec + 1 ELSE sec END, CASE WHEN len(w.open) + len(g.s) > 2000 THEN g.s ELSE w.open || g.s END FROM w JOIN g ON g.doc_id = w.doc_id AND g.r = w.r + 1)
+SELECT doc_id, sec::BIGINT AS section_no, sha256(arg_max(open, r)) AS name, {tokens_sql("arg_max(open, r)")} AS tokens FROM w GROUP BY doc_id, sec"""
+)
+def sections_pack(spark, sf_dir):
+    """Hash names and token estimates of the sections of every document."""
+    s = sections.sections(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.sha2("section", 256).alias("name"), T.token_estimate(F.col("section")).alias("tokens"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sections.STOP_WORDS)
+
+
+@jobs.query(
+    f"""
+WITH w AS (SELECT source, doc_id, unnest(range(len(x))) AS i, unnest(x) AS term FROM (SELECT source, doc_id, regexp_extract_all(regexp_replace(lower(text), '\\[page [0-9]+\\]|https?://\\S+', ' ', 'g'), '[a-z][a-z0-9_]{{3,}}') AS x FROM documents)),
+c AS (SELECT source, doc_id, term, count(*) AS c, min(i) AS fst FROM w WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+d AS (SELECT source, term, count(*) AS df FROM c GROUP BY ALL), n AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL), l AS (SELECT source, doc_id, sum(c) AS len FROM c GROUP BY ALL),
+s AS (SELECT source, doc_id, term, c, c / len * ln(total / df) AS score, fst FROM c JOIN d USING (source, term) JOIN n USING (source) JOIN l USING (source, doc_id) WHERE c >= 2 AND total >= 3 AND df < total)
+SELECT source, doc_id, term, c, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY round(score, 12) DESC, fst) AS rank FROM s) WHERE rank <= 6"""
+)
+def tfidf_terms(spark, sf_dir):
+    """Distinctive terms of each document among those of its source."""
+    found = sections.distinctive_terms(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    return found.select("source", "doc_id", "term", "c", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@jobs.query(
+    """
+WITH l AS (SELECT source, doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS x FROM documents)),
+b AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS o FROM l WHERE trim(regexp_replace(line, '\\s+', ' ', 'g')) <> ''),
+e AS (SELECT source, doc_id, n, line, lower(regexp_replace(o, '[0-9]+', '#', 'g')) AS key, row_number() OVER (PARTITION BY source, doc_id ORDER BY n) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY n DESC) AS z FROM b),
+g AS (SELECT * FROM e WHERE (a <= 2 OR z <= 2) AND NOT regexp_matches(line, '^\\[page [0-9]+\\]$')), k AS (SELECT source, key, count(*) AS c FROM g GROUP BY ALL), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL)
+SELECT source, doc_id, n::BIGINT AS line_no, sha256(line) AS line_hash, c FROM g JOIN k USING (source, key) JOIN p USING (source) WHERE pages >= 4 AND c >= greatest(3, pages * 0.05)"""
+)
+def running_lines(spark, sf_dir):
+    """Lines that recur at the edges of a source's documents."""
+    found = sections.running_lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text", 0.05)
+    return found.select("source", "doc_id", F.col("n").cast("bigint").alias("line_no"), F.sha2("line", 256).alias("line_hash"), "c")
+
+
+_WHY = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in injection.CLASSES) + " END"
+
+
+@jobs.query(
+    f"""
+WITH t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'benchmark', item_id, text FROM benchmark),
+l AS (SELECT origin, id, unnest(string_split(text, chr(10))) AS line FROM t), f AS (SELECT origin, count({_WHY})::BIGINT AS flagged, count(*) AS lines FROM l GROUP BY origin),
+h AS (SELECT origin, sum(len(regexp_extract_all(text, '{injection.HIDDEN}')))::BIGINT AS hidden FROM t GROUP BY origin)
+SELECT origin, lines, flagged, hidden FROM f JOIN h USING (origin)"""
+)
+def injection_scan(spark, sf_dir):
+    """Lines that read like instructions to a model, and hidden characters, by table."""
+    sources = (("documents", F.col("doc_id")), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("benchmark", F.col("item_id")))
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("origin"), key.alias("id"), F.coalesce("text", F.lit("")).alias("text")) for name, key in sources]
+    texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lines = texts.select("origin", injection.hidden_count(F.col("text")).alias("hidden"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    first = F.when(F.col("n") == 0, F.col("hidden")).otherwise(F.lit(0))
+    return lines.groupBy("origin").agg(F.count("*").alias("lines"), F.count(injection.injection_class(F.col("line"))).alias("flagged"), F.sum(first).alias("hidden"))
+
+
+@jobs.query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.one_line(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@jobs.query()
+def html_to_blocks(spark, sf_dir):
+    """Markdown blocks of every page."""
+    from corpusmill.sources.html import page_blocks
+
+    return page_blocks(table(spark, sf_dir, "pages"))
+
+
+_CRED = "^(x-amz-|x-goog-)|^(signature|expires|key-pair-id|policy|sig|se|sp|sv|sr|st|skoid|sktid|skt|ske|sks|skv|token|access_token)$"
+
+
+@jobs.query(
+    f"""
+WITH p AS (SELECT page_id, url, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS q FROM pages),
+k AS (SELECT page_id, url, q, list_filter(q, lambda x: NOT regexp_matches(split_part(x, '=', 1), '(?i){_CRED}|^page$|^utm_source$')) AS kept FROM p)
+SELECT page_id, CASE WHEN len(kept) = len(q) THEN url WHEN len(kept) = 0 THEN regexp_replace(url, '\\?[^#]*', '') ELSE regexp_replace(url, '\\?[^#]*', '?' || array_to_string(kept, '&')) END AS clean, len(kept) < len(q) AS withheld,
+       lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS object FROM k"""
+)
+def url_strip_credentials(spark, sf_dir):
+    """Addresses without credential and tracking parameters, and the object that each names (origin and path)."""
+    from corpusmill.functions.urls import object_of, strip_parameters
+
+    clean, gone = strip_parameters(F.col("url"), ("page", "utm_source"))
+    return table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"), gone.alias("withheld"), object_of(F.col("url")).alias("object"))
+
+
+@jobs.query(
+    """
+SELECT object, count(*) AS pages, min(page_id) AS first FROM (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) || regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS object FROM pages) GROUP BY object"""
+)
+def url_same_object(spark, sf_dir):
+    """Pages that name the same object."""
+    from corpusmill.functions.urls import object_of
+
+    return table(spark, sf_dir, "pages").groupBy(object_of(F.col("url")).alias("object")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first"))
+
+
+@jobs.query(
+    """
+SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://\\S+?(\\.pmtiles|\\.fgb|\\.m3u8|\\.zarr/?|\\.dcm|\\.safetensors|\\.gguf|\\.splat|\\.ply|\\.jpe?g|\\.m4v|\\.tiff?|\\.nc|\\.h5|\\.hdf5|\\.las|\\.laz|\\.parquet|\\.mp4|\\.mov|\\.bin|\\.zip)(\\?\\S*)?$') THEN 'point'
+            WHEN regexp_matches(url, '(?i)^https?://[a-z0-9.-]+\\.s3(\\.[a-z0-9-]+)?\\.amazonaws\\.com/\\S*/$') THEN 'point' WHEN regexp_matches(url, '^[a-z2-7]{26}$') THEN 'resolve' WHEN regexp_matches(url, '^https?://\\S+$') THEN 'make' ELSE 'text' END AS flow FROM pages"""
+)
+def route_input(spark, sf_dir):
+    """Which flow an input starts, by an ordered cascade of patterns."""
+    from corpusmill.functions.urls import route
+
+    return table(spark, sf_dir, "pages").select("page_id", route(F.col("url")).alias("flow"))
+
+
+@jobs.query(
+    """
+WITH f AS (SELECT source, '/' || CASE WHEN doc_id % 7 = 0 THEN 'README.md' WHEN doc_id % 7 = 1 THEN 'docs/guide.md' WHEN doc_id % 7 = 2 THEN 'tests/case.py' WHEN doc_id % 7 = 3 THEN 'CHANGELOG.md' WHEN doc_id % 7 = 4 THEN 'data/table.csv' WHEN doc_id % 7 = 5 THEN 'node_modules/x.js' ELSE 'src/main.py' END AS path, doc_id, n_chars AS size FROM documents),
+k AS (SELECT *, CASE WHEN path = '/README.md' THEN 0 WHEN path = '/CHANGELOG.md' THEN 4 WHEN path LIKE '/docs/%' THEN 1 WHEN path LIKE '/tests/%' THEN 4 WHEN path LIKE '/data/%' THEN 5 ELSE 3 END AS rank FROM f WHERE size < 400000 AND path NOT LIKE '%node_modules/%'),
+w AS (SELECT *, sum(size) OVER o AS total, row_number() OVER o AS rn FROM k WINDOW o AS (PARTITION BY source ORDER BY rank, path, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT source, doc_id, path, rank::BIGINT AS rank, total::BIGINT AS total FROM w WHERE total <= 40000 AND rn <= 900"""
+)
+def repo_rank_budget(spark, sf_dir):
+    """Documents as a source's files: readable ones by rank, as far as a size budget goes."""
+    from corpusmill.operators.listing import budgeted, file_rank, readable_file
+
+    names = F.create_map(*[F.lit(x) for pair in enumerate(("README.md", "docs/guide.md", "tests/case.py", "CHANGELOG.md", "data/table.csv", "node_modules/x.js", "src/main.py")) for x in pair])
+    files = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("/"), F.element_at(names, (F.col("doc_id") % 7).cast("int"))).alias("path"), "doc_id", F.col("n_chars").alias("size"))
+    ranked = files.where(readable_file(F.col("path"), F.col("size"))).withColumn("rank", file_rank(F.col("path")))
+    return budgeted(ranked, "source", ["rank", "path", "doc_id"], 40_000, 900).select("source", "doc_id", "path", F.col("rank").cast("bigint").alias("rank"), "total")
+
+
+@jobs.query(
+    """
+WITH g AS (SELECT coalesce(nullif(lower(source), ''), '(none)') AS ext, sum(n_chars)::BIGINT AS bytes, count(*) AS files, count_if(n_chars >= 10000)::BIGINT AS large FROM documents GROUP BY 1)
+SELECT * FROM g ORDER BY bytes DESC, ext LIMIT 6"""
+)
+def ext_rollup(spark, sf_dir):
+    """The six kinds with the most bytes."""
+    kind = F.coalesce(F.nullif(F.lower("source"), F.lit("")), F.lit("(none)"))
+    sums = table(spark, sf_dir, "documents").groupBy(kind.alias("ext")).agg(F.sum("n_chars").alias("bytes"), F.count("*").alias("files"), F.count_if(F.col("n_chars") >= 10_000).alias("large"))
+    return sums.orderBy(F.desc("bytes"), "ext").limit(6)
+
+
+@jobs.query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion') AND contains(lower(text), 'with')")
+def search_all_words(spark, sf_dir):
+    """Documents that contain every word of a query."""
+    words = F.split(F.lit("the tion with"), "\\s+")
+    return table(spark, sf_dir, "documents").where(F.forall(words, lambda w: F.contains(F.lower("text"), w))).select("doc_id", "lang")
+
+
+@jobs.query("SELECT coalesce(event_type, 'all') AS kind, coalesce(b::VARCHAR, 'all') AS keeper, n FROM (SELECT event_type, user_id % 4 AS b, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 4))")
+def cube_tally(spark, sf_dir):
+    """Tallies by kind, by keeper, by both and of all."""
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 4).alias("b"))
+    n = events.cube("event_type", "b").agg(F.count("*").alias("n"))
+    return n.select(F.coalesce("event_type", F.lit("all")).alias("kind"), F.coalesce(F.col("b").cast("string"), F.lit("all")).alias("keeper"), "n")
+
+
+@jobs.query(
+    """
+WITH n AS (SELECT doc_id, 'title: ' || source || chr(10) || 'lang: ' || lang || chr(10) || 'chars: ' || n_chars || chr(10) || chr(10) || text AS body FROM documents)
+SELECT doc_id, regexp_extract(body, '(?m)^lang: (.+)$', 1) AS lang, regexp_extract(body, '(?m)^chars: (.+)$', 1) AS chars, 'note ' || regexp_extract(body, '(?m)^title: (.+)$', 1) || ' lang=' || regexp_extract(body, '(?m)^lang: (.+)$', 1) AS line FROM n"""
+)
+def front_matter(spark, sf_dir):
+    """Rendered notes read back: fields and the one-line form."""
+    lines = [F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit("\n")) for k, c in (("title", "source"), ("lang", "lang"), ("chars", "n_chars"))]
+    notes = table(spark, sf_dir, "documents").select("doc_id", F.concat(*lines, F.lit("\n"), F.col("text")).alias("body"))
+    field = lambda k: T.front_matter(F.col("body"), k)
+    return notes.select("doc_id", field("lang").alias("lang"), field("chars").alias("chars"), F.concat(F.lit("note "), field("title"), F.lit(" lang="), field("lang")).alias("line"))
 
 
-QUERIES = {"document_index": document_index}
-ORACLE: dict[str, str] = {}
+@jobs.query(
+    """
+SELECT lang, count(*) AS n, string_agg(line, chr(10) ORDER BY doc_id) AS body FROM (SELECT lang, doc_id, 'doc ' || doc_id || ' ' || source || ' chars=' || n_chars AS line, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50 GROUP BY lang"""
+)
+def agent_catalog(spark, sf_dir):
+    """The first fifty lines of each language, as one text."""
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit(" chars="), F.col("n_chars").cast("string")).alias("line"), first.alias("r")).where("r <= 50")
+    return lines.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
