@@ -16,6 +16,7 @@ Defined results: a text without words has ``n_shingles`` 0 and links with nothin
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ HOT_RUN = 16
 BROADCAST_IDS = 4_000_000
 NO_ID = -(1 << 63)
 _LEVEL = 1 << 8
+#: Nodes of a long run that one group compares.
+BLOCK_NODES = 1_000
 
 
 def band_starts(top: int = 1 << 31) -> np.ndarray:
@@ -49,10 +52,34 @@ def segments_of(band: int) -> int:
     return int(1.04 * (STARTS[band + 1] / 4)) + 2
 
 
+def _places(tokens: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and segment of every token."""
+    h = mix(tokens + np.uint64(seed * 2 + 1))
+    return h, ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+
+
+def _instances(n: int):
+    """Of a set of ``n`` tokens: the instances it takes part in (0: its own band's, 1: the lower's), and the filled segments each demands."""
+    band = int(np.searchsorted(STARTS, n, "right")) - 1
+    for which, instance in enumerate((band, band - 1)):
+        if instance >= 0:
+            partner = n * 5 // 4 if which == 0 else int(STARTS[band]) - 1
+            if partner * 5 >= n * 4:
+                yield which, instance, (n + partner) // 9 + 1
+
+
+def filled_segments(tokens: np.ndarray) -> list[int]:
+    """How many segments of a set hold a token, in its own and in the lower band's instance."""
+    out = [0, 0]
+    for which, instance, _ in _instances(len(tokens)):
+        m = segments_of(instance)
+        out[which] = int(np.count_nonzero(np.bincount(_places(tokens, m, instance)[1].astype(np.int64), minlength=m)))
+    return out
+
+
 def _segment_sums(tokens: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Filled segments, their hash sums and sizes, and the tokens ordered by segment."""
-    h = mix(tokens + np.uint64(seed * 2 + 1))
-    seg = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    h, seg = _places(tokens, m, seed)
     order = np.argsort(seg, kind="stable")
     seg, h = seg[order], h[order]
     first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
@@ -65,51 +92,51 @@ def _keys(values: np.ndarray, segs: np.ndarray, instance: int, level: int) -> np
     return (h & ~np.uint64(0x3FF)) | np.uint64(level * _LEVEL + instance)
 
 
-def signatures(tokens: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """All keys of a set, and its filled segments in its own and in the lower band's instance."""
-    n = len(tokens)
-    band = int(np.searchsorted(STARTS, n, "right")) - 1
-    keys, filled = [], [0, 0]
-    for which, instance in enumerate((band, band - 1)):
-        if instance < 0:
-            continue
-        partner = n * 5 // 4 if which == 0 else int(STARTS[band]) - 1
-        if partner * 5 < n * 4:
-            continue
-        need = (n + partner) // 9 + 1
+def signatures(tokens: np.ndarray) -> np.ndarray:
+    """All keys of a set."""
+    keys = []
+    for _, instance, need in _instances(len(tokens)):
         seg, sums, sizes, h = _segment_sums(tokens, segments_of(instance), instance)
-        filled[which] = len(seg)
         keys.append(_keys(sums, seg, instance, 0))
         if len(seg) >= need:
             continue
         # One-deletion neighbourhoods: segments of two and more tokens count twice.
-        without = (np.repeat(sums, sizes) - h)[np.repeat(sizes > 1, sizes)]
-        keys += [_keys(sums, seg, instance, 1), _keys(without, np.repeat(seg, sizes)[np.repeat(sizes > 1, sizes)], instance, 1)]
+        more = np.repeat(sizes > 1, sizes)
+        keys += [_keys(sums, seg, instance, 1), _keys((np.repeat(sums, sizes) - h)[more], np.repeat(seg, sizes)[more], instance, 1)]
         if int(np.minimum(sizes, 2).sum()) < need:
             keys.append(_keys(tokens, np.zeros_like(tokens), instance, 2))
-    return np.unique(np.concatenate(keys)), filled[0], filled[1]
+    return np.unique(np.concatenate(keys))
 
 
 def _node(tokens: np.ndarray, seed: int) -> int:
     return xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' hashes by place, in a power of two of bits not below their number.
+
+    Two sets' sketches differ in at most as many bits as the sets differ in tokens. Halves combine by exclusive or to a sketch of half the bits.
+    """
+    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n, node, check, own, lower`` of every row."""
+    """``doc_id, n, node, check, own, lower, sketch`` of every row."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for text in batch.column("text").to_pylist():
                 t = shingle_set(text)
                 own = lower = 0
                 if len(t):
-                    _, own, lower = signatures(t)
-                for to, x in zip(out, (len(t), _node(t, 0) if len(t) else None, _node(t, 1) if len(t) else None, own, lower)):
+                    own, lower = filled_segments(t)
+                for to, x in zip(out, (len(t), _node(t, 0) if len(t) else None, _node(t, 1) if len(t) else None, own, lower, sketch(t) if len(t) else None)):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out]], names=["doc_id", "n", "node", "check", "own", "lower"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=["doc_id", "n", "node", "check", "own", "lower", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, own bigint, lower bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, own bigint, lower bigint, sketch binary")
 
 
 def _keys_of(docs: DataFrame) -> DataFrame:
@@ -122,7 +149,7 @@ def _keys_of(docs: DataFrame) -> DataFrame:
                 t = shingle_set(text)
                 if len(t) and (node := _node(t, 0)) not in seen:
                     seen.add(node)
-                    s = signatures(t)[0]
+                    s = signatures(t)
                     sigs.append(s)
                     nodes.append(np.full(len(s), node, np.int64))
             if sigs:
@@ -131,7 +158,7 @@ def _keys_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
 
 
-def _runs(keys: DataFrame) -> DataFrame:
+def _runs(keys: DataFrame, hot_run: int) -> DataFrame:
     """``sig, a, b``: pairs of the nodes of a short run; of a long run its nodes, with b null. Streams over sorted rows."""
 
     def run(batches):
@@ -159,7 +186,7 @@ def _runs(keys: DataFrame) -> DataFrame:
                         held = [node]
                 elif node != held[-1]:
                     held.append(node)
-                    if len(held) > HOT_RUN:
+                    if len(held) > hot_run:
                         long = True
                         out.extend((sig, y, None) for y in held)
                         held = [node]
@@ -233,20 +260,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool
     return written(joined.select("a", "b", "s", "t").mapInArrow(link, "a bigint, b bigint"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_run: int = HOT_RUN) -> DataFrame:
     """``doc_id, n_shingles, node, component_id`` of every row; equal ``node`` means equal sets."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(_nodes(docs), "jaccard-rows")
     total = rows.agg(F.count("*"), F.countDistinct(F.coalesce("doc_id", F.lit(NO_ID)))).first()
     reps = written(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("key"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("lower").alias("lower")),
+        rows.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("key"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("lower").alias("lower"), F.min("sketch").alias("sketch")),
         "jaccard-nodes",
     )
     if reps.where("c1 <> c2").limit(1).count():
         raise ValueError("two different sets share a 64-bit node id")
     repeated = total[0] != total[1]
-    runs = written(_runs(_keys_of(docs)), "jaccard-runs")
+    runs = written(_runs(_keys_of(docs), hot_run), "jaccard-runs")
     kept, hot = _candidates(runs, reps)
     hot = written(hot, "jaccard-hot")
     stars = hot.join(hot.groupBy("sig").agg(F.min("node").alias("a")), "sig").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
@@ -263,10 +290,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = component.select(F.col("id").alias("node"), F.col("component").alias("comp"))
     told = hot.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    across = told.join(mixed, "sig", "left_semi")
-    across = across.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca")).join(across.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb")), "sig").where("a < b AND ca <> cb").select("a", "b").distinct()
-    size = reps.select("node", "n")
-    across = across.join(size.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("bn")), "b").where("4 * greatest(an, bn) <= 5 * least(an, bn)").select("a", "b")
+    across = _across(told.join(mixed, "sig", "left_semi"), reps)
     links = links.unionByName(_verified(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), docs, reps, repeated))
     component = written(connected_components(links), "jaccard-components")
     # Names: the smallest document id of a component.
@@ -277,6 +301,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _across(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of one long run (``sig, node, comp``) in different components whose sketches allow a link.
+
+    Runs are cut into blocks of about ``BLOCK_NODES`` nodes, and every two blocks of a run meet in a group of their own.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    sized = rows.join(rows.groupBy("sig").agg(F.count("*").alias("size")), "sig").withColumn("blocks", blocks)
+    placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+    dealt = placed.withColumn("g", F.explode(meets)).select("sig", "g.lo", "g.hi", "block", "node", "comp").join(reps.select("node", "n", "sketch"), "node")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, comp, node = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy()
+        least = min(map(len, pdf["sketch"]))
+        bits = np.zeros((len(pdf), least // 8), np.uint64)
+        for i, x in enumerate(pdf["sketch"]):
+            bits[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0)
+        side = pdf["block"].to_numpy()
+        a, b = [], []
+        for i in range(len(pdf)):
+            # Two different blocks: only pairs between them; one block: each pair once.
+            ok = (comp != comp[i]) & (node > node[i]) & (4 * np.maximum(n, n[i]) <= 5 * np.minimum(n, n[i]))
+            if pdf["lo"].iat[0] != pdf["hi"].iat[0]:
+                ok &= side != side[i]
+            at = np.flatnonzero(ok)
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= (n[at] + n[i]) // 9]
+            a.append(np.full(len(at), node[i]))
+            b.append(node[at])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt.groupBy("sig", "lo", "hi").applyInPandas(meet, "a bigint, b bigint").distinct()
+
+
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     ends = [component.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
