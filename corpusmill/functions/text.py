@@ -152,8 +152,13 @@ def normalised(c: Column) -> Column:
     return one_line(t)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once (a lambda would evaluate an outer expression for every element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_runs(c: Column, n: int = 3) -> Column:
     """Runs of ``n`` words of a-z and 0-9 after normalising."""
-    w = F.filter(F.split(F.regexp_replace(normalised(c), "[^a-z0-9\\s]", " "), "\\s+"), lambda x: x != "")
-    runs = F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-    return F.when(F.size(w) >= n, F.slice(runs, 1, F.greatest(F.size(w) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.regexp_replace(normalised(c), "[^a-z0-9\\s]", " "), "\\s+"), lambda x: x != "")
+    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return let(words, lambda w: F.transform(starts(w), lambda i: F.concat_ws(" ", *[F.get(w, i + (j - 1)) for j in range(n)])))

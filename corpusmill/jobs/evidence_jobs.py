@@ -1,3 +1,78 @@
+"""Jobs that hold answers against sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from corpusmill.jobs.registry import Registry
+from corpusmill.operators import grounding
+from corpusmill.sources.tables import table
 
 jobs = Registry()
+
+NORM = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({t}, '\\[page [0-9]+\\]', ' ', 'g'), "
+    "'\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')), '[‘’`]', '''', 'g'), '[“”]', '\"', 'g'), '[*_#>|]', '', 'g'), '[‐-―-]\\s*', '', 'g'), '\\s+', ' ', 'g'))"
+)
+
+
+def _norm(t: str) -> str:
+    return NORM.replace("{t}", t)
+
+
+def _runs(t: str) -> str:
+    w = f"list_filter(string_split_regex(regexp_replace({_norm(t)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
+    return w
+
+
+@jobs.query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {_norm('text')} AS d FROM documents) JOIN (SELECT item_id, {_norm('text')} AS p FROM benchmark) ON contains(d, p)")
+def benchmark_quotes(spark, sf_dir):
+    """Documents that contain a benchmark passage."""
+    return grounding.contained_passages(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
+
+
+_SENT = "list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@jobs.query(
+    f"""
+WITH g AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT {_runs("text")} AS w FROM benchmark) WHERE len(w) >= 3)),
+s AS (SELECT doc_id, unnest(range(len(s))) AS n, unnest(s) AS x FROM (SELECT doc_id, {_SENT} AS s FROM documents)),
+l AS (SELECT doc_id, n, {_runs("x")} AS w FROM s WHERE len(string_split_regex(x, '\\s+')) >= 6),
+e AS (SELECT doc_id, n, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, n, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) ELSE [-9] END) AS i FROM l)),
+r AS (SELECT doc_id, n, count(g.g) / count(*) AS score FROM e LEFT JOIN g USING (g) GROUP BY ALL)
+SELECT doc_id, count(*) AS n_sentences, count_if(score >= 0.6)::BIGINT AS n_traced, count_if(score < 0.3)::BIGINT AS n_weak, round(avg(score), 6) AS score FROM r GROUP BY doc_id"""
+)
+def trigram_trace(spark, sf_dir):
+    """How much of each document traces to the benchmark's passages, word for word."""
+    scored = grounding.trigram_trace(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"))
+    s = F.col("score")
+    return scored.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(s >= 0.6).alias("n_traced"), F.count_if(s < 0.3).alias("n_weak"), F.round(F.avg(s), 6).alias("score"))
+
+
+@jobs.query()
+def number_in_context(spark, sf_dir):
+    """Numbers of each document that a document of the same table holds in context."""
+    docs = table(spark, sf_dir, "documents")
+    held = grounding.numbers_held(docs, "doc_id", docs, "doc_id")
+    return held.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if("held").alias("held"))
+
+
+@jobs.query(
+    f"""
+WITH g AS (SELECT DISTINCT conv_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT conv_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT conv_id, {_runs("text")} AS w FROM conversations WHERE role = 'user') WHERE len(w) >= 3)),
+a AS (SELECT conv_id, turn, {_runs("text")} AS w FROM conversations WHERE role = 'assistant'),
+e AS (SELECT conv_id, turn, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3))
+SELECT conv_id, turn, count(*) AS runs, count(g.g) AS traced, CASE WHEN count(g.g) / count(*) >= 0.6 THEN 'traced' WHEN count(g.g) / count(*) < 0.3 THEN 'weak' ELSE 'partly' END AS verdict
+FROM e LEFT JOIN g USING (conv_id, g) GROUP BY conv_id, turn"""
+)
+def answer_verdict(spark, sf_dir):
+    """Answers held against what their own conversation's user said."""
+    from corpusmill.functions.text import word_runs
+
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.where("role = 'user'").select("conv_id", F.explode(word_runs(F.coalesce("text", F.lit("")))).alias("g")).distinct().withColumn("hit", F.lit(1))
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.explode(word_runs(F.coalesce("text", F.lit("")))).alias("g"))
+    sums = answers.join(said, ["conv_id", "g"], "left").groupBy("conv_id", "turn").agg(F.count("*").alias("runs"), F.count("hit").alias("traced"))
+    share = F.col("traced") / F.col("runs")
+    return sums.withColumn("verdict", F.when(share >= 0.6, "traced").when(share < 0.3, "weak").otherwise("partly"))
