@@ -1,3 +1,136 @@
+"""Jobs on ledgers; events stand for entries, writes and hops of tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from corpusmill.jobs.registry import Registry
+from corpusmill.operators import ledger as L
+from corpusmill.sources.tables import table
 
 jobs = Registry()
+
+
+def _seconds(c: str = "ts"):
+    return F.unix_seconds(F.to_timestamp(c))
+
+
+_HOPS = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'deliver' WHEN 'error' THEN 'verify' ELSE 'other' END"
+
+
+@jobs.query(
+    f"""
+WITH e AS (SELECT user_id * 100 + event_id % 50 AS request, {_HOPS} AS kind, event_id % 4 AS f, user_id % 4 AS t, ts FROM events),
+a AS (SELECT *, max(CASE WHEN kind = 'request' THEN t END) OVER (PARTITION BY request) AS asked FROM e),
+s AS (SELECT request, count(DISTINCT CASE WHEN kind = 'verify' AND f <> asked THEN f END) AS verifiers, count_if(kind = 'deliver' AND f = asked) AS delivered, count_if(kind = 'claim') AS claimed, max(ts) AS last FROM a GROUP BY request)
+SELECT request, verifiers, CASE WHEN verifiers > 0 AND delivered > 0 THEN 'verified by ' || verifiers || ' keys' WHEN delivered > 0 THEN 'delivered' WHEN claimed > 0 THEN 'claimed' WHEN last < TIMESTAMP '2024-01-15' THEN 'expired' ELSE 'requested' END AS state FROM s"""
+)
+def task_state(spark, sf_dir):
+    """State of every task, derived from its hops."""
+    kinds = {"signup": "request", "click": "claim", "purchase": "deliver", "error": "verify"}
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")], F.lit("other"))
+    hops = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.col("event_id") % 50).alias("request"), kind.alias("kind"), (F.col("event_id") % 4).alias("from_key"), (F.col("user_id") % 4).alias("to_key"), F.col("ts").alias("at"))
+    return L.task_states(hops, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@jobs.query("SELECT user_id % 20 AS inbox, event_type AS author, arg_max(event_id, {'ts': ts, 'e': event_id}) AS last FROM events WHERE event_type <> 'view' GROUP BY ALL")
+def witness_dedupe(spark, sf_dir):
+    """One witness an author and inbox, the last counting; the inbox's own notes are excluded."""
+    notes = table(spark, sf_dir, "events").where("event_type <> 'view'").select((F.col("user_id") % 20).alias("inbox"), F.col("event_type").alias("author"), "ts", "event_id")
+    return L.last_of_each(notes, ["inbox", "author"], "ts", "event_id").select("inbox", "author", F.col("event_id").alias("last"))
+
+
+@jobs.query(
+    """
+WITH e AS (SELECT user_id, event_id, 'e' || event_id AS name, CASE WHEN event_id % 17 = 0 THEN 'lost' ELSE 'e' || lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS previous FROM events),
+k AS (SELECT user_id, previous IS NOT DISTINCT FROM lag(name) OVER (PARTITION BY user_id ORDER BY event_id) AS ok FROM e)
+SELECT user_id, count(*) AS entries, count_if(NOT ok)::BIGINT AS broken FROM k GROUP BY user_id"""
+)
+def drift_links(spark, sf_dir):
+    """Chains of entries that name the one before; some names were lost."""
+    from pyspark.sql import Window
+
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", name.alias("name"))
+    e = e.withColumn("previous", F.when(F.col("event_id") % 17 == 0, F.lit("lost")).otherwise(F.lag("name").over(Window.partitionBy("user_id").orderBy("event_id"))))
+    return L.linked(e, "user_id", "event_id", F.col("name"), F.col("previous")).groupBy("user_id").agg(F.count("*").alias("entries"), F.count_if(~F.col("ok")).alias("broken"))
+
+
+@jobs.query("SELECT event_id, n, n > 2 AS refused FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events)")
+def hourly_cap(spark, sf_dir):
+    """Writes of a key in the hour up to each one, and whether a cap refuses it."""
+    events = table(spark, sf_dir, "events").withColumn("s", _seconds())
+    return events.select("event_id", L.trailing_count(events, "user_id", F.col("s"), 3600).alias("n")).withColumn("refused", F.col("n") > 2)
+
+
+@jobs.query(
+    """
+SELECT user_id, count_if(ok)::BIGINT AS done, round(max(CASE WHEN ok THEN used END), 4) AS used FROM (SELECT user_id, coalesce(sum(value) OVER w, 0) AS used, count(*) OVER w < 30 AND coalesce(sum(value) OVER w, 0) < 1500 AS ok FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY user_id"""
+)
+def run_budget(spark, sf_dir):
+    """Steps of a run before its count or size is used up."""
+    steps = L.within_budget(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 30, 1500)
+    return steps.groupBy("user_id").agg(F.count_if("ok").alias("done"), F.round(F.max(F.when(F.col("ok"), F.col("used"))), 4).alias("used"))
+
+
+@jobs.query()
+def token_bucket(spark, sf_dir):
+    """When paced writes start; a thousandth of the events' time, so that writes do wait."""
+    writes = table(spark, sf_dir, "events").select("event_type", "event_id", (_seconds() / 1000.0).alias("at"))
+    return L.token_bucket(writes, "event_type", "at").select("event_type", "event_id", F.round("at", 3).alias("at"), F.round("start", 3).alias("start"))
+
+
+@jobs.query("SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 6")
+def feed_top6(spark, sf_dir):
+    """The six newest notes of every channel."""
+    top = L.first_rows(table(spark, sf_dir, "events"), ["event_type"], 6, F.desc("ts"), F.desc("event_id"))
+    return top.select("event_type", "event_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@jobs.query(
+    """
+WITH d AS (SELECT user_id, event_type || '/' || event_id % 25 AS url, max(event_id) AS last FROM events GROUP BY ALL)
+SELECT user_id, url, last, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS rank FROM d) WHERE rank <= 8"""
+)
+def recent8(spark, sf_dir):
+    """The eight addresses that a user opened last, each once."""
+    url = F.concat("event_type", F.lit("/"), (F.col("event_id") % 25).cast("string"))
+    once = table(spark, sf_dir, "events").groupBy("user_id", url.alias("url")).agg(F.max("event_id").alias("last"))
+    return L.first_rows(once, ["user_id"], 8, F.desc("last")).select("user_id", "url", "last", F.col("rank").cast("bigint").alias("rank"))
+
+
+@jobs.query("SELECT event_id, '{\"event\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' AS canonical, sha256('{\"event\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}') AS name FROM events")
+def canonical_json(spark, sf_dir):
+    """Records as JSON with sorted keys and no blanks, and their hash names."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    record = F.to_json(F.struct(F.col("event_id").alias("event"), k.alias("k"), F.col("event_type").alias("type")))
+    return table(spark, sf_dir, "events").select("event_id", record.alias("canonical")).withColumn("name", F.sha2("canonical", 256))
+
+
+@jobs.query("SELECT doc_id, strlen(text) + 28 AS sealed_bytes, TRUE AS opened FROM documents")
+def sealed_roundtrip(spark, sf_dir):
+    """Texts sealed with AES-256-GCM and opened again; a nonce follows from the id, so that runs agree."""
+    key = F.unhex(F.sha2(F.lit("corpusmill demonstration key"), 256))
+    nonce = F.unhex(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(24)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", nonce.alias("iv"))
+    sealed = F.aes_encrypt(F.col("text"), key, F.lit("GCM"), F.lit("DEFAULT"), F.col("iv"))
+    opened = F.aes_decrypt(F.col("sealed"), key, F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+    return docs.withColumn("sealed", sealed).select("doc_id", F.octet_length("sealed").cast("bigint").alias("sealed_bytes"), (opened == F.col("text")).alias("opened"))
+
+
+@jobs.query()
+def log_inclusion(spark, sf_dir):
+    """Each brand's parts as a log: whether every part's inclusion proof leads to the brand's root."""
+    import pandas as pd
+
+    from corpusmill.functions import proofs
+
+    def prove(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p_partkey", ignore_index=True)
+        leaves = [proofs.leaf(x.encode()) for x in pdf["p_name"]]
+        return pd.DataFrame({"p_brand": pdf["p_brand"], "p_partkey": pdf["p_partkey"], "entry": [x.encode() for x in pdf["p_name"]], "i": range(len(pdf)), "size": len(pdf), "path": [proofs.inclusion_path(leaves, i) for i in range(len(pdf))], "root": proofs.tree_root(leaves)})
+
+    schema = "p_brand string, p_partkey bigint, entry binary, i bigint, size bigint, path array<binary>, root binary"
+    proven = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name").groupBy("p_brand").applyInPandas(prove, schema)
+    checked = proven.select("p_brand", "p_partkey", proofs.included_column("entry", "i", "size", "path", "root").alias("ok"))
+    return checked.groupBy("p_brand").agg(F.count("*").alias("entries"), F.count_if("ok").alias("ok"))

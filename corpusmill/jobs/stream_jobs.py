@@ -1,3 +1,46 @@
+"""Streaming jobs, run over the files that are there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from corpusmill.jobs.registry import Registry
+from corpusmill.operators.ledger import first_rows
+from corpusmill.sources.tables import table
+from corpusmill.streaming.follow import monotonic, read_stream, run_to_end
 
 jobs = Registry()
+
+
+def _events(spark, sf_dir):
+    return read_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events"))
+
+
+@jobs.query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL")
+def stream_follow(spark, sf_dir):
+    """A live window followed to its end: labels seen, each kept when it leaves the window."""
+    seen = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    updates = run_to_end(seen, "update")
+    return updates.groupBy("user_id", "event_type").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "first", "last")])
+
+
+@jobs.query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 6")
+def stream_tail(spark, sf_dir):
+    """The six newest of every channel, from a stream: each batch's newest are kept, and the newest of those count."""
+    batches = _events(spark, sf_dir).select("event_type", "ts", "event_id")
+    newest = batches.groupBy("event_type", F.window(F.to_timestamp("ts"), "1 day").alias("w")).agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id")), asc=False), 1, 6).alias("top"))
+    kept = run_to_end(newest, "update").withColumn("w", F.col("w.start")).groupBy("event_type", "w").agg(F.max_by("top", "batch").alias("top"))
+    rows = kept.select("event_type", F.explode("top").alias("t")).select("event_type", "t.ts", "t.event_id")
+    return first_rows(rows, ["event_type"], 6, F.desc("ts"), F.desc("event_id")).select("event_type", "event_id")
+
+
+@jobs.query(
+    """
+SELECT user_id, count(*) AS heads, count_if(size < greatest(-1, coalesce(top, -1)))::BIGINT AS shrunk FROM (SELECT user_id, size, max(size) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT user_id, event_id, event_id // 10 * 10 - CASE WHEN event_id % 13 = 0 THEN 500 ELSE 0 END AS size FROM events)) GROUP BY user_id"""
+)
+def stream_monotonic_head(spark, sf_dir):
+    """Heads of growing logs from a stream; some shrink."""
+    size = (F.floor(F.col("event_id") / 10) * 10 - F.when(F.col("event_id") % 13 == 0, 500).otherwise(0)).cast("bigint")
+    heads = _events(spark, sf_dir).select("user_id", "event_id", size.alias("size"))
+    checked = run_to_end(monotonic(heads, "user_id", "event_id", "size"))
+    return checked.groupBy("user_id").agg(F.count("*").alias("heads"), F.count_if(~F.col("ok")).alias("shrunk"))
