@@ -23,7 +23,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier calls toxic."""
-    model, known = train(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model, known = train(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"))))
     scored = score_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), model, calibrate(known))
     return _without(docs, scored.where("predicted = 1"))
 
