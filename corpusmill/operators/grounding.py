@@ -32,7 +32,7 @@ def contained_passages(texts: DataFrame, text_id: str, passages: DataFrame, pass
 def quote_found(source, quote):
     """Whether the parts of a quote (cut at an ellipsis, parts of 4 and more characters) occur in order in normalised ``source``."""
     parts = F.filter(F.split(normalised(quote), "\\s*(?:\\.\\.\\.|…)\\s*"), lambda x: F.length(x) >= 4)
-    end = F.aggregate(parts, F.lit(1), lambda at, p: F.when(at == 0, 0).otherwise(F.when(F.locate(p, source, 1) == 0, 0).otherwise(_after(p, source, at))))
+    end = F.aggregate(parts, F.lit(1), lambda at, p: F.when(at == 0, 0).otherwise(_after(p, source, at)))
     return end > 0
 
 
