@@ -229,8 +229,7 @@ def _candidates(runs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
-    """Those of ``pairs`` (``a, b`` nodes) whose whole texts link; ``repeated``: an id may stand for several texts."""
-    pairs = written(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    """Those of ``pairs`` (``a, b`` nodes, written) whose whole texts link; ``repeated``: an id may stand for several texts."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = written(reps.join(ends, "node", "left_semi").select("node", "key"), "jaccard-need")
     n = need.count()
@@ -281,18 +280,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # First every node with the one it shares most with; then only what still lies in different components.
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     best = each.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    best = written(best.distinct(), "jaccard-pairs")
     links = _verified(best, docs, reps, repeated)
     component = written(connected_components(links), "jaccard-components")
-    tried = best.select("a", "b").distinct()
-    apart = _apart(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), component)
-    links = links.unionByName(_verified(apart, docs, reps, repeated))
-    component = written(connected_components(links), "jaccard-components")
-    of = component.select(F.col("id").alias("node"), F.col("component").alias("comp"))
-    told = hot.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    across = _across(told.join(mixed, "sig", "left_semi"), reps)
-    links = links.unionByName(_verified(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), docs, reps, repeated))
-    component = written(connected_components(links), "jaccard-components")
+
+    def grown(more: DataFrame) -> None:
+        """Verifies further pairs, if there are any, and joins components by them."""
+        nonlocal links, component
+        more = written(more.select("a", "b").distinct(), "jaccard-pairs")
+        if more.limit(1).count():
+            links = links.unionByName(_verified(more, docs, reps, repeated))
+            component = written(connected_components(links), "jaccard-components")
+
+    grown(_apart(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(best, ["a", "b"], "left_anti"), component))
+    if hot.limit(1).count():
+        of = component.select(F.col("id").alias("node"), F.col("component").alias("comp"))
+        told = hot.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        grown(_across(told.join(mixed, "sig", "left_semi"), reps).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     # Names: the smallest document id of a component.
     named = reps.join(component.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     real = F.when(F.col("key") != NO_ID, F.col("key"))
