@@ -154,7 +154,16 @@ def mercator_to_latlng(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(geo.mercator_to_lat(y), 6).alias("lat"), F.round(geo.mercator_to_lng(x), 6).alias("lng"))
 
 
-@jobs.query()
+@jobs.query(
+    """
+WITH k AS (SELECT 6378137.0::DOUBLE AS a, 0.9996::DOUBLE AS k0, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2),
+q AS (SELECT c_custkey, (c_custkey * 379 % 600000 + 200000)::DOUBLE - 500000 AS x, CASE WHEN c_custkey % 2 = 0 THEN -abs(c_acctbal) * 900 ELSE abs(c_acctbal) * 900 END AS y, c_nationkey + 20 AS zone, a, k0, e2, e2 / (1 - e2) AS s2, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS n FROM customer, k),
+m AS (SELECT *, y / k0 / (a * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256)) AS mu FROM q),
+f AS (SELECT *, mu + (3 * n / 2 - 27 * n ** 3 / 32) * sin(2 * mu) + (21 * n ** 2 / 16 - 55 * n ** 4 / 32) * sin(4 * mu) + 151 * n ** 3 / 96 * sin(6 * mu) + 1097 * n ** 4 / 512 * sin(8 * mu) AS p FROM m),
+g AS (SELECT *, tan(p) ** 2 AS t2, s2 * cos(p) ** 2 AS c, a / sqrt(1 - e2 * sin(p) ** 2) AS v, a * (1 - e2) / (1 - e2 * sin(p) ** 2) ** 1.5 AS r FROM f), h AS (SELECT *, x / (v * k0) AS d FROM g)
+SELECT c_custkey, round(degrees(p - v * tan(p) / r * (d ** 2 / 2 - (5 + 3 * t2 + 10 * c - 4 * c * c - 9 * s2) * d ** 4 / 24 + (61 + 90 * t2 + 298 * c + 45 * t2 * t2 - 252 * s2 - 3 * c * c) * d ** 6 / 720)), 6) AS lat,
+  round((zone - 1) * 6 - 177 + degrees((d - (1 + 2 * t2 + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t2 - 3 * c * c + 8 * s2 + 24 * t2 * t2) * d ** 5 / 120) / cos(p)), 6) AS lng FROM h"""
+)
 def utm_to_latlng(spark, sf_dir):
     """Places from UTM coordinates that follow from a customer's row."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 379 % 600_000 + 200_000).cast("double").alias("e"), (F.abs("c_acctbal") * 900).alias("n"), (F.col("c_nationkey") + 20).alias("zone"), (F.col("c_custkey") % 2 == 0).alias("south"))

@@ -24,18 +24,6 @@ def tokens_sql(t: str) -> str:
 _TIDY = "regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), chr(160), ' '), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@jobs.query()
-def document_index(spark, sf_dir):
-    """One index row per document: sections, tokens, Merkle root over the section hashes and distinctive terms of its collection."""
-    docs = table(spark, sf_dir, "documents")
-    parts = sections.sections(docs).select("doc_id", F.col("section_no").cast("bigint").alias("pos"), F.sha2("section", 256).alias("hash"), T.token_estimate(F.col("section")).alias("tokens"))
-    roots = manifest.merkle_roots(parts.select("doc_id", "pos", "hash"), "doc_id")
-    sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("tokens").alias("tokens"))
-    terms = sections.distinctive_terms(docs, "source", "doc_id", "text", 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
-    named = terms.select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"))
-    return sizes.join(roots, "doc_id").join(named, "doc_id", "left").select("doc_id", "n_sections", "tokens", "root", F.coalesce("terms", F.lit("")).alias("terms"))
-
-
 @jobs.query(f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
@@ -85,15 +73,19 @@ def line_blocks(spark, sf_dir):
     return b.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(fence).alias("n_fences"), F.count_if(F.col("depth") > 0).alias("n_headings"))
 
 
-@jobs.query(
-    f"""
-WITH RECURSIVE p AS (SELECT doc_id, {_TIDY.replace("{t}", "text")} AS t FROM documents),
+_SECTIONS = f"""
+p AS (SELECT doc_id, {_TIDY.replace("{t}", "text")} AS t FROM documents),
 l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS s, len(x) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM p)),
 e AS (SELECT doc_id, n, CASE WHEN n < k - 1 THEN s || chr(10) ELSE s END AS s FROM l),
 f AS (SELECT doc_id, n, unnest(range(greatest(1, (len(s) + 1999) // 2000))) AS i, s FROM e WHERE s <> ''),
 g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) AS r, substr(s, i * 2000 + 1, 2000) AS s FROM f),
 w AS (SELECT doc_id, r, 0 AS sec, s AS open FROM g WHERE r = 1
-      UNION ALL SELECT w.doc_id, g.r, CASE WHEN len(w.open) + len(g.s) > 2000 THEN sec + 1 ELSE sec END, CASE WHEN len(w.open) + len(g.s) > 2000 THEN g.s ELSE w.open || g.s END FROM w JOIN g ON g.doc_id = w.doc_id AND g.r = w.r + 1)
+      UNION ALL SELECT w.doc_id, g.r, CASE WHEN len(w.open) + len(g.s) > 2000 THEN sec + 1 ELSE sec END, CASE WHEN len(w.open) + len(g.s) > 2000 THEN g.s ELSE w.open || g.s END FROM w JOIN g ON g.doc_id = w.doc_id AND g.r = w.r + 1)"""
+
+
+@jobs.query(
+    f"""
+WITH RECURSIVE {_SECTIONS}
 SELECT doc_id, sec::BIGINT AS section_no, sha256(arg_max(open, r)) AS name, {tokens_sql("arg_max(open, r)")} AS tokens FROM w GROUP BY doc_id, sec"""
 )
 def sections_pack(spark, sf_dir):
@@ -105,13 +97,17 @@ def sections_pack(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in sections.STOP_WORDS)
 
 
+_TERMS = f"""
+tw AS (SELECT source, doc_id, unnest(range(len(x))) AS i, unnest(x) AS term FROM (SELECT source, doc_id, regexp_extract_all(regexp_replace(lower(text), '\\[page [0-9]+\\]|https?://\\S+', ' ', 'g'), '[a-z][a-z0-9_]{{3,}}') AS x FROM documents)),
+tc AS (SELECT source, doc_id, term, count(*) AS c, min(i) AS fst FROM tw WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+td AS (SELECT source, term, count(*) AS df FROM tc GROUP BY ALL), tn AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL), tl AS (SELECT source, doc_id, sum(c) AS len FROM tc GROUP BY ALL),
+ts AS (SELECT source, doc_id, term, c, c / len * ln(total / df) AS score, fst FROM tc JOIN td USING (source, term) JOIN tn USING (source) JOIN tl USING (source, doc_id) WHERE c >= 2 AND total >= 3 AND df < total)"""
+
+
 @jobs.query(
     f"""
-WITH w AS (SELECT source, doc_id, unnest(range(len(x))) AS i, unnest(x) AS term FROM (SELECT source, doc_id, regexp_extract_all(regexp_replace(lower(text), '\\[page [0-9]+\\]|https?://\\S+', ' ', 'g'), '[a-z][a-z0-9_]{{3,}}') AS x FROM documents)),
-c AS (SELECT source, doc_id, term, count(*) AS c, min(i) AS fst FROM w WHERE term NOT IN ({_STOP}) GROUP BY ALL),
-d AS (SELECT source, term, count(*) AS df FROM c GROUP BY ALL), n AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL), l AS (SELECT source, doc_id, sum(c) AS len FROM c GROUP BY ALL),
-s AS (SELECT source, doc_id, term, c, c / len * ln(total / df) AS score, fst FROM c JOIN d USING (source, term) JOIN n USING (source) JOIN l USING (source, doc_id) WHERE c >= 2 AND total >= 3 AND df < total)
-SELECT source, doc_id, term, c, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY round(score, 12) DESC, fst) AS rank FROM s) WHERE rank <= 6"""
+WITH {_TERMS}
+SELECT source, doc_id, term, c, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY round(score, 12) DESC, fst) AS rank FROM ts) WHERE rank <= 6"""
 )
 def tfidf_terms(spark, sf_dir):
     """Distinctive terms of each document among those of its source."""
@@ -119,6 +115,28 @@ def tfidf_terms(spark, sf_dir):
     return found.select("source", "doc_id", "term", "c", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@jobs.query(
+    f"""
+WITH RECURSIVE {_SECTIONS},
+x AS (SELECT doc_id, sec::BIGINT AS pos, sha256(arg_max(open, r)) AS h, {tokens_sql("arg_max(open, r)")} AS tokens FROM w GROUP BY doc_id, sec),
+t AS (SELECT 0 AS lvl, doc_id, pos, h FROM x UNION ALL
+      SELECT lvl + 1, doc_id, pos // 2, CASE WHEN count(*) = 2 THEN sha256(unhex(min(h) FILTER (pos % 2 = 0) || min(h) FILTER (pos % 2 = 1))) ELSE min(h) END FROM t WHERE lvl < 16 GROUP BY lvl, doc_id, pos // 2),
+{_TERMS},
+b AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY round(score, 12) DESC, fst) AS rank FROM ts) WHERE rank <= 5 GROUP BY doc_id)
+SELECT z.doc_id, z.n_sections, z.tokens, t.h AS root, coalesce(b.terms, '') AS terms
+FROM (SELECT doc_id, count(*) AS n_sections, sum(tokens)::BIGINT AS tokens FROM x GROUP BY doc_id) z JOIN t ON t.doc_id = z.doc_id AND t.lvl = 16 LEFT JOIN b ON b.doc_id = z.doc_id"""
+)
+def document_index(spark, sf_dir):
+    """One index row per document: sections, tokens, Merkle root over the section hashes and distinctive terms of its collection."""
+    docs = table(spark, sf_dir, "documents")
+    parts = sections.sections(docs).select("doc_id", F.col("section_no").cast("bigint").alias("pos"), F.sha2("section", 256).alias("hash"), T.token_estimate(F.col("section")).alias("tokens"))
+    roots = manifest.merkle_roots(parts.select("doc_id", "pos", "hash"), "doc_id")
+    sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("tokens").alias("tokens"))
+    terms = sections.distinctive_terms(docs, "source", "doc_id", "text", 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    named = terms.select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"))
+    return sizes.join(roots, "doc_id").join(named, "doc_id", "left").select("doc_id", "n_sections", "tokens", "root", F.coalesce("terms", F.lit("")).alias("terms"))
+
+
 @jobs.query(
     """
 WITH l AS (SELECT source, doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS x FROM documents)),
