@@ -52,9 +52,9 @@ def trigram_trace(spark, sf_dir):
 
 @jobs.query()
 def number_in_context(spark, sf_dir):
-    """Numbers of each document that a document of the same table holds in context."""
+    """Numbers of each document that a document of its source holds in context."""
     docs = table(spark, sf_dir, "documents")
-    held = grounding.numbers_held(docs, "doc_id", docs, "doc_id")
+    held = grounding.numbers_held(docs, "doc_id", docs, ["source"])
     return held.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if("held").alias("held"))
 
 

@@ -75,9 +75,9 @@ def run_budget(spark, sf_dir):
 
 @jobs.query()
 def token_bucket(spark, sf_dir):
-    """When paced writes start; a thousandth of the events' time, so that writes do wait."""
-    writes = table(spark, sf_dir, "events").select("event_type", "event_id", (_seconds() / 1000.0).alias("at"))
-    return L.token_bucket(writes, "event_type", "at").select("event_type", "event_id", F.round("at", 3).alias("at"), F.round("start", 3).alias("start"))
+    """When each user's paced writes start; a millionth of the events' time, so that writes do wait."""
+    writes = table(spark, sf_dir, "events").select("user_id", "event_id", (_seconds() / 1e6).alias("at"))
+    return L.token_bucket(writes, "user_id", "at").select("user_id", "event_id", F.round("at", 3).alias("at"), F.round("start", 3).alias("start"))
 
 
 @jobs.query("SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 6")

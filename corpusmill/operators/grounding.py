@@ -50,13 +50,13 @@ def trigram_trace(answers: DataFrame, answer_id: str, sources: DataFrame, least_
     return each.join(grams, "g", "left").groupBy(answer_id, "n").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("score"))
 
 
-def numbers(texts: DataFrame, text_id: str) -> DataFrame:
+def numbers(texts: DataFrame, *keys: str) -> DataFrame:
     """Distinct numbers of two and more digits per sentence, with value and decimals; digits in links don't count."""
     plain = F.regexp_replace("sentence", "https?://\\S+", " ")
     found = F.transform(F.regexp_extract_all(plain, F.lit("[0-9][0-9,]*(?:\\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))
     kept = F.array_distinct(F.filter(found, lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")) > 1))
-    said = texts.select(text_id, F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("n", "sentence"))
-    each = said.select(text_id, F.col("n").cast("bigint").alias("n"), "sentence", F.explode(kept).alias("number"))
+    said = texts.select(*keys, F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("n", "sentence"))
+    each = said.select(*keys, F.col("n").cast("bigint").alias("n"), "sentence", F.explode(kept).alias("number"))
     return each.withColumns({"value": F.col("number").cast("double"), "decimals": F.length(F.regexp_extract("number", "\\.([0-9]+)$", 1))})
 
 
@@ -65,20 +65,20 @@ def context_words(sentence):
     return F.array_except(F.array_distinct(F.regexp_extract_all(normalised(sentence), F.lit("[a-z][a-z-]{3,}"), F.lit(0))), F.array(*map(F.lit, CONTEXT_STOP)))
 
 
-def numbers_held(answers: DataFrame, answer_id: str, sources: DataFrame, source_id: str, window: int = 250) -> DataFrame:
-    """``held`` of each number of an answer: a source has it to the answer's last decimal, within ``window`` characters of two of the sentence's words.
+def numbers_held(answers: DataFrame, answer_id: str, sources: DataFrame, by: list[str], window: int = 250) -> DataFrame:
+    """``held`` of each number of an answer: a source with the same ``by`` has it to the answer's last decimal, within ``window`` characters of two of the sentence's words.
 
-    Values meet in buckets of whole numbers, the neighbours included, so the range condition is an equality join first.
+    Values meet by ``by`` and in buckets of whole numbers, the neighbours included, so the range condition is an equality join first.
     """
-    given = numbers(answers, answer_id).withColumns({"ctx": context_words(F.col("sentence")), "tol": F.pow(F.lit(10.0), -F.col("decimals")) * 0.5})
+    given = numbers(answers, answer_id, *by).withColumns({"ctx": context_words(F.col("sentence")), "tol": F.pow(F.lit(10.0), -F.col("decimals")) * 0.5})
     text = F.regexp_replace(normalised(F.coalesce("text", F.lit(""))), "([0-9]),([0-9])", "$1$2")
-    src = sources.select(F.col(source_id).alias("_s"), text.alias("t"))
+    src = sources.select(*by, text.alias("t"))
     found = F.regexp_extract_all("t", F.lit("[0-9]+(?:\\.[0-9]+)?"), F.lit(0))
     gaps = F.split("t", "[0-9]+(?:\\.[0-9]+)?", -1)
-    hits = src.select("_s", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, 2, F.greatest(F.lit(1), F.size(found))).alias("after"), F.slice(gaps, 1, F.greatest(F.lit(1), F.size(found))).alias("before"))).alias("k", "z"))
-    near = hits.where("z.m IS NOT NULL").select("_s", F.col("z.m").cast("double").alias("m"), F.concat(F.right("z.before", F.lit(window)), F.col("z.m"), F.left("z.after", F.lit(window))).alias("near"))
+    hits = src.select(*by, F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, 2, F.greatest(F.lit(1), F.size(found))).alias("after"), F.slice(gaps, 1, F.greatest(F.lit(1), F.size(found))).alias("before"))).alias("k", "z"))
+    near = hits.where("z.m IS NOT NULL").select(*by, F.col("z.m").cast("double").alias("m"), F.concat(F.right("z.before", F.lit(window)), F.col("z.m"), F.left("z.after", F.lit(window))).alias("near"))
     near = near.withColumn("bucket", F.explode(F.array(*[F.floor("m") + i for i in (-1, 0, 1)])))
-    pairs = given.withColumn("bucket", F.floor("value")).join(near, "bucket", "left")
+    pairs = given.withColumn("bucket", F.floor("value")).join(near, [*by, "bucket"], "left")
     need = F.when(F.size("ctx") < 3, 1).otherwise(2)
     ok = (F.abs(F.col("m") - F.col("value")) <= F.col("tol")) & (F.size(F.filter("ctx", lambda w: F.contains(F.col("near"), w))) >= need)
     return pairs.groupBy(answer_id, "n", "number").agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("held"))

@@ -107,10 +107,10 @@ def test_quotes_in_order(spark):
 
 
 def test_numbers_in_context(spark):
-    src = spark.createDataFrame([(1, "The bridge height is 915.0712 metres. Elsewhere a cat weighs 4,200 grams.")], "sid bigint, text string")
-    ans = spark.createDataFrame([(1, "The bridge height is 915.07 metres."), (2, "Some planet orbits 915.07 moons."), (3, "That cat weighs 4200 grams.")], "aid bigint, text string")
-    held = {r.aid: r.held for r in grounding.numbers_held(ans, "aid", src, "sid").collect()}
-    assert held == {1: True, 2: False, 3: True}
+    src = spark.createDataFrame([(1, "The bridge height is 915.0712 metres. Elsewhere a cat weighs 4,200 grams.")], "of bigint, text string")
+    ans = spark.createDataFrame([(1, 1, "The bridge height is 915.07 metres."), (2, 1, "Some planet orbits 915.07 moons."), (3, 1, "That cat weighs 4200 grams."), (4, 2, "That cat weighs 4200 grams.")], "aid bigint, of bigint, text string")
+    held = {r.aid: r.held for r in grounding.numbers_held(ans, "aid", src, ["of"]).collect()}
+    assert held == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_html():
