@@ -113,11 +113,11 @@ def _node(tokens: np.ndarray, seed: int) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' hashes by place, in a power of two of bits not below their number.
+    """Parities of the tokens' hashes by place, in a power of two of bits not below four times their number.
 
     Two sets' sketches differ in at most as many bits as the sets differ in tokens. Halves combine by exclusive or to a sketch of half the bits.
     """
-    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
+    bits = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
     return np.packbits(np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
