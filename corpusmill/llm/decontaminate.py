@@ -2,9 +2,10 @@
 
 Benchmark items are weighted by TF-IDF, with document frequencies over all documents, and a randomised singular value decomposition finds their
 latent space: tasks multiply their passages with the current basis, sums are made by blocks of terms, and the driver only orthogonalises a
-matrix of terms by rank. Every document is read in overlapping windows of about an item's length; a window whose known weight
-is not negligible is projected, and its cosine with each item of that length gives candidates. The longest common subsequence of words and an
-answer check (the item's answer, or its last quarter) decide on them.
+matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match.
+Windows there whose known weight is not negligible are projected; the cosine inside the latent space, where an exact copy has 1 however little
+of the item the space keeps, orders the places and is reported. The longest common subsequence of words and an answer check (the item's answer,
+or its last quarter) decide on each. No cosine drops a place, as a space of ``RANK`` directions can't keep thousands of items.
 
 Items go in blocks of ``BLOCK_ITEMS``, so what is broadcast is bounded by a block; each block is a scan of the documents.
 
@@ -32,9 +33,8 @@ OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Items of more words are cut into passages of this many, half overlapping.
 PASSAGE_WORDS = 96
-#: Share of a window's weight that must lie on the block's terms, and the least cosine of a candidate.
+#: Share of a window's weight that must lie on the block's terms.
 KNOWN_PART = 0.2
-LEAST_COSINE = 0.2
 #: Shares of an item's words found in order: enough alone, or enough with the answer.
 LCS_ALONE = 0.8
 LCS_WITH_ANSWER = 0.6
@@ -147,60 +147,97 @@ def randomised_svd(spark, block: Block, idf: np.ndarray, rank: int = RANK, tasks
     return (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
-def _scan(docs: DataFrame, block: Block, idf: np.ndarray, unknown: float, space: np.ndarray) -> DataFrame:
+class Gate:
+    """Which passages can be found at all, from the words alone.
+
+    A match holds at least ``LCS_WITH_ANSWER`` of a passage's words, ``need`` of ``n``. So of its ``n - need + k`` rarest words at least ``k`` are
+    there: ``terms`` lists those words with their passages, ``least`` the ``k``. Nothing that the LCS would confirm is left out.
+    """
+
+    def __init__(self, block: Block, df: np.ndarray):
+        self.need, self.least, self.counts = np.zeros(len(block.words), np.int64), np.zeros(len(block.words), np.int64), []
+        rows = []
+        for item, words in enumerate(block.words):
+            ids = [block.terms[x] for x in words]
+            need = next(m for m in range(len(ids) + 1) if m / len(ids) >= LCS_WITH_ANSWER)
+            self.need[item], self.least[item] = need, -(-need // 2)
+            rare = sorted(ids, key=lambda t: (df[t], t))[: len(ids) - need + self.least[item]]
+            rows += [(t, item, n) for t, n in Counter(rare).items()]
+            self.counts.append(tuple(np.array(x, np.int64) for x in zip(*sorted(Counter(ids).items()))))
+        rows = np.array(sorted(rows), np.int64)
+        self.start, self.items, self.times = np.searchsorted(rows[:, 0], np.arange(len(block.terms) + 1)), rows[:, 1], rows[:, 2]
+
+    def passages(self, terms: np.ndarray) -> np.ndarray:
+        """Passages that a text with these distinct terms may hold."""
+        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(self.items[at], self.times[at], len(self.least)) >= self.least)
+
+    def places(self, item: int, order: np.ndarray, ranked: np.ndarray, length: int) -> np.ndarray:
+        """Multiples of ``length`` around which (one before, three from there) enough of a passage's words occur; ``ranked = ids[order]``."""
+        terms, times = self.counts[item]
+        first = np.searchsorted(ranked, terms)
+        n = np.searchsorted(ranked, terms, "right") - first
+        at = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        cells = -(-len(ranked) // length)
+        there = np.zeros((len(terms), cells + 3), bool)
+        there[np.repeat(np.arange(len(terms)), n), at // length + 1] = True
+        return np.flatnonzero(times @ (there[:, :-3] | there[:, 1:-2] | there[:, 2:-1] | there[:, 3:]) >= self.need[item])
+
+
+def _scan(docs: DataFrame, block: Block, df: np.ndarray, idf: np.ndarray, unknown: float, space: np.ndarray) -> DataFrame:
     """Verified matches of every row with the block's items."""
     small_batches(docs.sparkSession)
-    rows = block.vectors(idf)
-    norms = np.linalg.norm(rows, axis=1)
-    latent = rows @ space / np.maximum(norms, 1e-9)[:, None]
-    lengths = np.array([len(w) for w in block.words])
+    latent = np.vstack([block.vectors(idf, range(i, min(i + 256, len(block.words)))) @ space for i in range(0, len(block.words), 256)])
+    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     # A window length for each class of item lengths, half as long again from one to the next.
-    classes = np.round(np.log(lengths) / np.log(1.5)).astype(int)
-    groups = [(max(1, int(round(1.5**c))), np.flatnonzero(classes == c)) for c in np.unique(classes)]
-    shared = docs.sparkSession.sparkContext.broadcast((block, idf.astype(np.float32), space * idf[:, None].astype(np.float32), latent.astype(np.float32), groups))
+    lengths = np.array([max(1, int(round(1.5 ** round(np.log(len(w)) / np.log(1.5))))) for w in block.words])
+    shared = docs.sparkSession.sparkContext.broadcast((block, Gate(block, df), idf.astype(np.float32), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
 
     def matches(text, state):
-        b, w, weighted, q, g = state
+        b, gate, w, weighted, q, sizes = state
         words = words_of(text)
         n = len(words)
         if not n:
             return
         ids = np.fromiter(map(lambda x, get=b.terms.get: get(x, -1), words), np.int64, n)
         known = ids >= 0
-        if not known.any():
+        held = gate.passages(np.unique(ids[known]))
+        if not len(held):
             return
+        order = np.argsort(ids, kind="stable")
+        ranked = ids[order]
         mass = np.where(known, w[ids] ** 2, unknown**2)
         all_, ours = np.append(0, np.cumsum(mass)), np.append(0, np.cumsum(np.where(known, mass, 0)))
-        tried: set[tuple[int, int]] = set()
-        best: dict = {}
-        for length, members in g:
-            step = max(1, length // 4)
-            start = np.arange(0, max(1, n - length + step), step)
-            stop = np.minimum(start + length, n)
-            total, held = all_[stop] - all_[start], ours[stop] - ours[start]
-            look = np.flatnonzero(held >= KNOWN_PART * np.maximum(total, 1e-9))
-            for at in range(0, len(look), 1024):
-                some = look[at : at + 1024]
-                d = np.stack([weighted[x[x >= 0]].sum(0) for x in (ids[start[i] : stop[i]] for i in some)])
-                cosine = d @ q[members].T / np.sqrt(np.maximum(total[some], 1e-9))[:, None]
-                for i, j in zip(*np.nonzero(cosine >= LEAST_COSINE)):
-                    item, s = int(members[j]), int(start[some[i]])
-                    if (item, s // length) in tried:
-                        continue
-                    tried.add((item, s // length))
-                    passage = b.words[item]
-                    near = words[max(0, s - length) : s + 2 * length + length // 2]
-                    found = lcs_length(passage, near) / len(passage)
-                    if found < LCS_WITH_ANSWER:
-                        continue
-                    told = lcs_length(b.answers[item], near) / len(b.answers[item])
-                    if found >= LCS_ALONE or told >= ANSWER_PART:
-                        row = (found, told, float(cosine[i, j]))
-                        key = b.items[item], item
-                        best[key] = max(best.get(key, row), row)
+        projected: dict[tuple[int, int], np.ndarray] = {}
+
+        def cosine(item: int, cell: int, length: int) -> float:
+            """The best cosine in the latent space of the windows that start in a cell; -1 if their known weight is negligible."""
+            if (length, cell) not in projected:
+                start = np.arange(cell * length, min((cell + 1) * length, n), max(1, length // 4))
+                stop = np.minimum(start + length, n)
+                look = ours[stop] - ours[start] >= KNOWN_PART * (all_[stop] - all_[start])
+                d = np.stack([weighted[x[x >= 0]].sum(0) for x in (ids[i:j] for i, j in zip(start[look], stop[look]))]) if look.any() else np.zeros((0, q.shape[1]), np.float32)
+                projected[length, cell] = d / np.maximum(np.linalg.norm(d, axis=1), 1e-9)[:, None]
+            return float((projected[length, cell] @ q[item]).max(initial=-1))
+
         by_item: dict = {}
-        for (item_id, _), row in best.items():
-            by_item[item_id] = max(by_item.get(item_id, row), row)
+        for item in held.tolist():
+            passage, length = b.words[item], int(sizes[item])
+            # Best cosine first: after a whole copy no other place can do better.
+            for near, cell in sorted(((cosine(item, c, length), c) for c in gate.places(item, order, ranked, length).tolist()), reverse=True):
+                if near < 0:
+                    break
+                around = words[max(0, (cell - 1) * length) : (cell + 2) * length + length // 2]
+                found = lcs_length(passage, around) / len(passage)
+                if found < LCS_WITH_ANSWER:
+                    continue
+                told = lcs_length(b.answers[item], around) / len(b.answers[item])
+                if found >= LCS_ALONE or told >= ANSWER_PART:
+                    row = (found, told, near)
+                    by_item[b.items[item]] = max(by_item.get(b.items[item], row), row)
+                if found == told == 1:
+                    break
         for item_id, row in by_item.items():
             yield item_id, *row
 
@@ -234,7 +271,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -
             continue
         df, n = document_frequencies(docs, block.terms)
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        found = _scan(docs, block, idf, float(np.log(n + 1) + 0.1), randomised_svd(spark, block, idf, rank))
+        found = _scan(docs, block, df, idf, float(np.log(n + 1) + 0.1), randomised_svd(spark, block, idf, rank))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, lcs_part double, answer_part double, cosine double")
 

@@ -253,6 +253,17 @@ def test_leaks_and_paraphrases(spark, edges, empty):
     assert decontaminate.find_contaminated(edges, bench.where("item_id > 90")).count() == 0
 
 
+def test_copies_are_found_among_more_items_than_the_rank(spark):
+    rng = np.random.default_rng(7)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(12000)])
+    items = [(i, " ".join(rng.choice(words, 40))) for i in range(1500)]
+    noise = lambda n: " ".join(rng.choice(words, n))
+    docs = [(i, f"{noise(60)} {items[i][1]} {noise(60)}") for i in range(0, 1500, 5)] + [(5000 + i, noise(160)) for i in range(100)]
+    found = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(0, 1500, 5)]
+    assert min(r.cosine for r in found) > 0.2 and {r.lcs_part for r in found} == {1.0}
+
+
 def test_lcs():
     assert decontaminate.lcs_length(list("abcbdab"), list("bdcaba")) == 4
 
