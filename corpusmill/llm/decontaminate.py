@@ -2,8 +2,8 @@
 
 Benchmark items are weighted by TF-IDF, with document frequencies over all documents, and a randomised singular value decomposition finds their
 latent space: tasks multiply their passages with the current basis, sums are made by blocks of terms, and the driver only orthogonalises a
-matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match.
-Windows there whose known weight is not negligible are projected; the cosine inside the latent space, where an exact copy has 1 however little
+matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match,
+whatever words stand beside them and however many documents there are. Windows there are projected; the cosine inside the latent space, where an exact copy has 1 however little
 of the item the space keeps, orders the places and is reported. The longest common subsequence of words and an answer check (the item's answer,
 or its last quarter) decide on each. No cosine drops a place, as a space of ``RANK`` directions can't keep thousands of items.
 
@@ -33,8 +33,6 @@ OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Items of more words are cut into passages of this many, half overlapping.
 PASSAGE_WORDS = 96
-#: Share of a window's weight that must lie on the block's terms.
-KNOWN_PART = 0.2
 #: Shares of an item's words found in order: enough alone, or enough with the answer.
 LCS_ALONE = 0.8
 LCS_WITH_ANSWER = 0.6
@@ -185,49 +183,43 @@ class Gate:
         return np.flatnonzero(times @ (there[:, :-3] | there[:, 1:-2] | there[:, 2:-1] | there[:, 3:]) >= self.need[item])
 
 
-def _scan(docs: DataFrame, block: Block, df: np.ndarray, idf: np.ndarray, unknown: float, space: np.ndarray) -> DataFrame:
+def _scan(docs: DataFrame, block: Block, df: np.ndarray, idf: np.ndarray, space: np.ndarray) -> DataFrame:
     """Verified matches of every row with the block's items."""
     small_batches(docs.sparkSession)
     latent = np.vstack([block.vectors(idf, range(i, min(i + 256, len(block.words)))) @ space for i in range(0, len(block.words), 256)])
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     # A window length for each class of item lengths, half as long again from one to the next.
     lengths = np.array([max(1, int(round(1.5 ** round(np.log(len(w)) / np.log(1.5))))) for w in block.words])
-    shared = docs.sparkSession.sparkContext.broadcast((block, Gate(block, df), idf.astype(np.float32), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
+    shared = docs.sparkSession.sparkContext.broadcast((block, Gate(block, df), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
 
     def matches(text, state):
-        b, gate, w, weighted, q, sizes = state
+        b, gate, weighted, q, sizes = state
         words = words_of(text)
         n = len(words)
         if not n:
             return
         ids = np.fromiter(map(lambda x, get=b.terms.get: get(x, -1), words), np.int64, n)
-        known = ids >= 0
-        held = gate.passages(np.unique(ids[known]))
+        held = gate.passages(np.unique(ids[ids >= 0]))
         if not len(held):
             return
         order = np.argsort(ids, kind="stable")
         ranked = ids[order]
-        mass = np.where(known, w[ids] ** 2, unknown**2)
-        all_, ours = np.append(0, np.cumsum(mass)), np.append(0, np.cumsum(np.where(known, mass, 0)))
         projected: dict[tuple[int, int], np.ndarray] = {}
 
         def cosine(item: int, cell: int, length: int) -> float:
-            """The best cosine in the latent space of the windows that start in a cell; -1 if their known weight is negligible."""
+            """The best cosine in the latent space of the windows that start in a cell."""
             if (length, cell) not in projected:
                 start = np.arange(cell * length, min((cell + 1) * length, n), max(1, length // 4))
                 stop = np.minimum(start + length, n)
-                look = ours[stop] - ours[start] >= KNOWN_PART * (all_[stop] - all_[start])
-                d = np.stack([weighted[x[x >= 0]].sum(0) for x in (ids[i:j] for i, j in zip(start[look], stop[look]))]) if look.any() else np.zeros((0, q.shape[1]), np.float32)
+                d = np.stack([weighted[x[x >= 0]].sum(0) for x in (ids[i:j] for i, j in zip(start, stop))])
                 projected[length, cell] = d / np.maximum(np.linalg.norm(d, axis=1), 1e-9)[:, None]
-            return float((projected[length, cell] @ q[item]).max(initial=-1))
+            return float((projected[length, cell] @ q[item]).max())
 
         by_item: dict = {}
         for item in held.tolist():
             passage, length = b.words[item], int(sizes[item])
             # Best cosine first: after a whole copy no other place can do better.
             for near, cell in sorted(((cosine(item, c, length), c) for c in gate.places(item, order, ranked, length).tolist()), reverse=True):
-                if near < 0:
-                    break
                 around = words[max(0, (cell - 1) * length) : (cell + 2) * length + length // 2]
                 found = lcs_length(passage, around) / len(passage)
                 if found < LCS_WITH_ANSWER:
@@ -271,7 +263,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -
             continue
         df, n = document_frequencies(docs, block.terms)
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        found = _scan(docs, block, df, idf, float(np.log(n + 1) + 0.1), randomised_svd(spark, block, idf, rank))
+        found = _scan(docs, block, df, idf, randomised_svd(spark, block, idf, rank))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, lcs_part double, answer_part double, cosine double")
 

@@ -264,6 +264,20 @@ def test_copies_are_found_among_more_items_than_the_rank(spark):
     assert min(r.cosine for r in found) > 0.2 and {r.lcs_part for r in found} == {1.0}
 
 
+def test_paraphrases_are_found_in_large_tables(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    common = np.array([word(6) for _ in range(300)])
+    items = [(i, " ".join(rng.choice(common, 30, replace=False))) for i in range(40)]
+    docs = [(100 + i, " ".join(rng.choice(common, 15))) for i in range(20_000)]
+    for i, text in items:
+        # Every third or fifth word is one that no item has: 20 or 24 of 30 are kept.
+        told = [word(9) if k % (3 if i % 2 else 5) == 0 else x for k, x in enumerate(text.split())]
+        docs.append((i, " ".join([word(9) for _ in range(40)] + told + [word(9) for _ in range(40)])))
+    found = decontaminate.find_contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
+
+
 def test_lcs():
     assert decontaminate.lcs_length(list("abcbdab"), list("bdcaba")) == 4
 
