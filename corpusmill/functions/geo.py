@@ -59,6 +59,11 @@ def sun(lat: Column, lng: Column, epoch_seconds: Column) -> tuple[Column, Column
     return F.degrees(elevation), F.pmod(F.degrees(azimuth), F.lit(360.0))
 
 
+def terrarium_metres(red: Column, green: Column, blue: Column) -> Column:
+    """Elevation in metres of a terrarium tile's pixel."""
+    return red * 256 + green + blue / 256 - 32768
+
+
 def angle_gap(a: Column, b: Column) -> Column:
     """Smallest difference of two azimuths."""
     return F.abs(F.pmod(a - b + 540, F.lit(360.0)) - 180)

@@ -72,3 +72,9 @@ def test_token_bucket(spark):
 def test_budget_stops_at_first_breach(spark):
     steps = spark.createDataFrame([("r", i, 10.0) for i in range(5)], "k string, i int, s double")
     assert [r.ok for r in ledger.within_budget(steps, "k", "i", "s", 10, 25).orderBy("i").collect()] == [True, True, True, False, False]
+
+
+def test_terrarium_elevation(spark):
+    rows = spark.createDataFrame([(128, 0, 0), (0, 0, 0), (128, 10, 128), (None, 1, 1)], "r int, g int, b int")
+    got = rows.select(geo.terrarium_metres(F.col("r"), F.col("g"), F.col("b")).alias("m")).collect()
+    assert [x.m for x in got] == [0.0, -32768.0, 10.5, None]
