@@ -39,15 +39,16 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, keeps_blanks: bo
     small_batches(docs.sparkSession)
 
     def encode(batches):
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, keeps_blanks)
-        for batch in batches:
-            ids = list(enc.encode(batch.column("text").to_pylist()))
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            rows = pa.array(np.arange(row, row + len(ids)))
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(ids), part, np.int32)), rows, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=_ARROW)
+        part, row = TaskContext.get().partitionId(), 0
+        with encoder(tokenizer, keeps_blanks) as enc:
+            for batch in batches:
+                ids = list(enc.encode(batch.column("text").to_pylist()))
+                counts = np.fromiter(map(len, ids), np.int64, len(ids))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                rows = pa.array(np.arange(row, row + len(ids)))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(ids), part, np.int32)), rows, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=_ARROW)
 
     placed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
     ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")

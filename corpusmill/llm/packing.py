@@ -1,6 +1,6 @@
 """First-fit decreasing over a tournament tree, in randomised groups of documents.
 
-A document's ids are cut into full sequences and one rest. Pieces are dealt at random into groups of bounded expected size; each
+A document's ids are cut into full sequences and one rest. Pieces, not whole documents, are dealt at random into groups of bounded expected size; each
 group packs its pieces alone: longest first, each into the first sequence with room, found by a tree of the greatest room.
 Ids never leave the task that encodes them; only lengths and checksums are shuffled.
 
@@ -54,16 +54,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capac
     small_batches(docs.sparkSession)
 
     def cut(batches):
-        enc = encoder(tokenizer, keeps_blanks)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-                ids = ids.astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    for to, x in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        with encoder(tokenizer, keeps_blanks) as enc:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+                    ids = ids.astype("<u4")
+                    for start in range(0, len(ids), capacity):
+                        piece = ids[start : start + capacity]
+                        for to, x in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
+                            to.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 

@@ -8,16 +8,20 @@ the ids of the text are the ids of its chunks. A text in which such cuts are not
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 #: Fixed value: the id that ends a document.
 END_ID = 1
-#: Distinct chunks that a worker remembers; beyond it the memory starts anew, so results never depend on it.
-CACHE_ENTRIES = 1_000_000
-_BLOCK_UNITS = 200_000
-_BLOCK_CHARS = 1_000_000
+#: Bytes of distinct chunks that a task remembers; beyond it the memory starts anew, so results never depend on it.
+CACHE_BYTES = 64 << 20
+#: What a remembered chunk takes besides its characters and ids: the string's head, its place in the table, its first id and count.
+_CHUNK_BYTES = 180
+_BLOCK_UNITS = 50_000
+_BLOCK_CHARS = 250_000
 
 _LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \n.,])"
 #: Byte-level vocabularies keep blanks: a single blank starts a chunk, other blanks are chunks of their own.
@@ -29,6 +33,15 @@ _LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _UNSURE = [chr(i) for i in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _SPECIAL = ["<|"]
 
+#: Texts that try every rule by which a text is cut.
+PROBES = [
+    "Plain words, in a row. And more: 3.14, 15% of x-ray (really)!",
+    "don't we're 's I'LL  two  blanks   three\n\n new\nline \n end ",
+    "Être où l'été naïve straße Größe ÀÉÎ ñandú İstanbul ŉ é.è,ê",
+    "snake_case camelCase HTTPServer2 a1b2 ...  ,, -- $5 #tag @me https://x.y/z?q=1&r=2",
+    "日本語 текст العربية 😀 é\u0301",
+]
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in the vocabularies: itself if printable, else the next one from U+0100."""
@@ -49,14 +62,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.pattern = _KEEPS_BLANKS if keeps_blanks else _DROPS_BLANKS
         self.keeps_blanks = keeps_blanks
         self.unsure = _SPECIAL + _UNSURE if keeps_blanks else _SPECIAL
         self._forget()
 
+    def verify(self) -> None:
+        """Raises if the chunk rules don't give the library's ids on texts that try them."""
+        want = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        if [x.tolist() for x in self.encode(PROBES)] != want:
+            raise ValueError(f"{self.path}: its tokenizer doesn't cut texts by the rules of this module")
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
@@ -64,7 +84,7 @@ class Encoder:
         new = list(set(units).difference(self.known))
         if not new:
             return
-        if len(self.known) + len(new) > CACHE_ENTRIES and self.known:
+        if self.held > CACHE_BYTES:
             self._forget()
             new = list(set(units))
         # A run of Latin letters is one word to the tokenizer: its model takes it straight.
@@ -82,6 +102,7 @@ class Encoder:
         self.first[n : n + len(new)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(new)] = counts
         self.used += total
+        self.held += 4 * total + _CHUNK_BYTES * len(new) + sum(map(len, new))
         self.known.update(zip(new, range(n, n + len(new))))
 
     def _of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +154,30 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_blanks: bool) -> Encoder:
-    """This worker's encoder, kept between tasks."""
-    if (path, keeps_blanks) not in _encoders:
-        _encoders[path, keeps_blanks] = Encoder(path, keeps_blanks)
-    return _encoders[path, keeps_blanks]
+@contextmanager
+def encoder(path: str, keeps_blanks: bool):
+    """This worker's encoder for the length of a task; the tokenizer stays, what was remembered goes.
 
-
-def small_batches(spark, rows: int = 512) -> None:
-    """Few rows in an Arrow batch, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    The first use in a worker holds the chunk rules against the library's own ids and fails if a file doesn't follow them.
+    """
+    if (path, keeps_blanks) not in _encoders:
+        made = Encoder(path, keeps_blanks)
+        made.verify()
+        _encoders[path, keeps_blanks] = made
+    mine = _encoders[path, keeps_blanks]
+    try:
+        yield mine
+    finally:
+        mine._forget()
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark, size: str = "4m", rows: int = 512) -> None:
+    """Arrow batches of few bytes and rows, so that long texts don't add up in a worker.
+
+    Sets only what the session has left at Spark's default.
+    """
+    for key, value, default in (("maxRecordsPerBatch", str(rows), "10000"), ("maxBytesPerBatch", size, "67108864b")):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
