@@ -34,6 +34,8 @@ NO_ID = -(1 << 63)
 _LEVEL = 1 << 8
 #: Nodes of a long run that one group compares.
 BLOCK_NODES = 1_000
+#: Keys that a task gathers before it looks for long runs among them (24 bytes each).
+KEYS_HELD = 500_000
 
 
 def band_starts(top: int = 1 << 31) -> np.ndarray:
@@ -108,10 +110,33 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def _node(tokens: np.ndarray, seed: int) -> int:
+def _digest(tokens: np.ndarray, seed: int) -> int:
     return xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
 
 
+def _node(tokens: np.ndarray, clashes: dict[int, int]) -> int:
+    """A set's name: its 64-bit hash; a hash that two sets share is replaced by another, as often as ``clashes`` says."""
+    name = _digest(tokens, 0)
+    while name in clashes:
+        name = _digest(tokens, clashes[name])
+    return name
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` in which two sets never share a name, and the seeds of the names that were replaced.
+
+    Sets are told apart by 128 bits, name and ``check``. Few names clash (about n * n / 2^65 of n sets), so they go to every task.
+    """
+    clashes: dict[int, int] = {}
+    while True:
+        twice = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("c1"), F.max("check").alias("c2")).where("c1 <> c2")
+        found = [r["node"] for r in twice.select("node").toLocalIterator()]
+        if not found:
+            return rows, clashes
+        clashes |= {name: 2 + len(clashes) + i for i, name in enumerate(found)}
+        rows = written(_nodes(docs, clashes), "jaccard-rows")
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' hashes by place, in a power of two of bits not below four times their number.
 
@@ -121,7 +146,7 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
+def _nodes(docs: DataFrame, clashes: dict[int, int]) -> DataFrame:
     """``doc_id, n, node, check, own, lower, sketch`` of every row."""
 
     def run(batches):
@@ -132,64 +157,90 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 own = lower = 0
                 if len(t):
                     own, lower = filled_segments(t)
-                for to, x in zip(out, (len(t), _node(t, 0) if len(t) else None, _node(t, 1) if len(t) else None, own, lower, sketch(t) if len(t) else None)):
+                for to, x in zip(out, (len(t), _node(t, clashes) if len(t) else None, _digest(t, 1) if len(t) else None, own, lower, sketch(t) if len(t) else None)):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=["doc_id", "n", "node", "check", "own", "lower", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, own bigint, lower bigint, sketch binary")
 
 
-def _keys_of(docs: DataFrame) -> DataFrame:
-    """``sig, node`` of every key of every row; copies in one batch count once."""
+def _keys_of(docs: DataFrame, clashes: dict[int, int], hot_run: int) -> DataFrame:
+    """``sig, node, pivot`` of every key of every row; copies that a task meets within ``KEYS_HELD`` keys count once.
+
+    A key that more than ``hot_run`` of those nodes hold is a long run whatever the others say: its first node goes on with itself as pivot, the
+    rest with that pivot. Only the first one need travel by key, so that a key that a third of all texts hold is no task of its own.
+    """
 
     def run(batches):
+        sigs, nodes, seen, held = [], [], set(), 0
+
+        def out():
+            s, v = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
+            order = np.lexsort((v, s))
+            s, v = s[order], v[order]
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            count = np.diff(np.append(first, len(s)))
+            long = np.repeat(count > hot_run, count)
+            pivot = pa.array(np.repeat(v[first], count), mask=~long)
+            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(v), pivot], names=["sig", "node", "pivot"])
+
         for batch in batches:
-            sigs, nodes, seen = [], [], set()
             for text in batch.column("text").to_pylist():
                 t = shingle_set(text)
-                if len(t) and (node := _node(t, 0)) not in seen:
+                if len(t) and (node := _node(t, clashes)) not in seen:
                     seen.add(node)
                     s = signatures(t)
                     sigs.append(s)
                     nodes.append(np.full(len(s), node, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                    held += len(s)
+                    if held > KEYS_HELD:
+                        yield out()
+                        sigs, nodes, seen, held = [], [], set(), 0
+        if held:
+            yield out()
 
-    return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
+    return docs.select("text").mapInArrow(run, "sig bigint, node bigint, pivot bigint")
 
 
 def _runs(keys: DataFrame, hot_run: int) -> DataFrame:
-    """``sig, a, b``: pairs of the nodes of a short run; of a long run its nodes, with b null. Streams over sorted rows."""
+    """``sig, a, b, long``: pairs of the nodes of a short run; of a long run each node ``a`` with a pivot ``b``. Streams over sorted rows."""
 
     def run(batches):
-        sig, held, long = None, [], False
+        sig, held, long, pivot = None, [], False, None
         out: list[tuple] = []
 
         def close():
             if not long:
-                out.extend((sig, x, y) for i, x in enumerate(held) for y in held[i + 1 :])
+                out.extend((sig, x, y, False) for i, x in enumerate(held) for y in held[i + 1 :])
 
         for batch in batches:
-            s, v = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
-            new = np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]))
-            s, v = s[new], v[new]
+            p = batch.column("pivot")
+            known = p.is_valid().to_numpy(zero_copy_only=False)
+            s, v, p = batch.column("sig").to_numpy(), batch.column("node").to_numpy(), p.fill_null(0).to_numpy()
+            # Nodes whose task knew the run to be long go on as they are; its pivot stands for them here.
+            told = known & (p != v)
+            if told.any():
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (s[told], v[told], p[told])), pa.array(np.ones(int(told.sum()), bool))], names=["sig", "a", "b", "long"])
+            s, v, p = s[~told], v[~told], known[~told]
+            if not len(s):
+                continue
             # Keys that one node holds are the rule: only runs, and the ends of a batch, are looked at one by one.
             same = s[1:] == s[:-1]
-            look = np.append(same, True) | np.append(True, same)
-            for x, node in zip(s[look].tolist(), v[look].tolist()):
+            look = np.append(same, True) | np.append(True, same) | p
+            for x, node, marked in zip(s[look].tolist(), v[look].tolist(), p[look].tolist()):
                 if x != sig:
                     close()
-                    sig, held, long = x, [node], False
-                elif long:
-                    if node != held[-1]:
-                        out.append((sig, node, None))
-                        held = [node]
+                    sig, held, long, pivot = x, [node], False, node
                 elif node != held[-1]:
                     held.append(node)
-                    if len(held) > hot_run:
-                        long = True
-                        out.extend((sig, y, None) for y in held)
+                if long:
+                    if len(held) > 1:
+                        out.append((sig, node, pivot, True))
                         held = [node]
+                elif marked or len(held) > hot_run:
+                    long = True
+                    out.extend((sig, y, pivot, True) for y in held)
+                    held = [node]
             if out:
                 yield _pairs_batch(out)
                 out.clear()
@@ -197,18 +248,21 @@ def _runs(keys: DataFrame, hot_run: int) -> DataFrame:
         if out:
             yield _pairs_batch(out)
 
-    return keys.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, a bigint, b bigint")
+    route = F.when(F.col("pivot") != F.col("node"), F.xxhash64("sig", "node")).otherwise(F.col("sig"))
+    return keys.repartition(route).sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, a bigint, b bigint, long boolean")
 
 
 def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["sig", "a", "b"])
+    *ids, long = zip(*rows)
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in ids], pa.array(long, pa.bool_())], names=["sig", "a", "b", "long"])
 
 
 def _candidates(runs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a, b, c`` (pairs with what they share) and ``sig, node`` (long runs of the nodes that need them)."""
+    """``a, b, c`` (pairs with what they share) and ``sig, node, pivot`` (long runs of the nodes that need them)."""
     instance, level = F.col("sig").bitwiseAND(F.lit(0xFF)), F.shiftright(F.col("sig"), 8).bitwiseAND(F.lit(3))
     marked = runs.withColumns({"instance": instance, "level": level})
-    hot = marked.where("b IS NULL").select("sig", F.col("a").alias("node"), "instance", "level")
+    # A copy in another task may name a node of a run again.
+    hot = marked.where("long").groupBy("sig", F.col("a").alias("node"), "instance", "level").agg(F.min("b").alias("pivot"))
     # Long runs by node and instance: what the count of shared segments must do without.
     lost = hot.where("level = 0").groupBy("node", "instance").agg(F.count("*").alias("lost"))
     starts = F.array(*[F.lit(int(x)) for x in STARTS])
@@ -216,8 +270,8 @@ def _candidates(runs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]
     sized = reps.select("node", "n", "own", "lower", band.alias("band"))
     hot_nodes = lost.join(sized, "node").withColumns({"filled": F.when(F.col("instance") == F.col("band"), F.col("own")).otherwise(F.col("lower")), "need": F.when(F.col("instance") == F.col("band"), F.floor((F.col("n") + F.floor(F.col("n") * 5 / 4)) / 9) + 1).otherwise(F.floor((F.col("n") * 2) / 9) + 1)})
     weak = hot_nodes.where("filled - lost < need").select("node", "instance")
-    needed = hot.join(weak, ["node", "instance"], "left_semi").unionByName(hot.where("level > 0")).select("sig", "node")
-    pairs = marked.where("b IS NOT NULL").groupBy("a", "b", "instance").agg(F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).alias("c"), F.max("level").alias("level"))
+    needed = hot.join(weak, ["node", "instance"], "left_semi").unionByName(hot.where("level > 0").select("node", "instance", "sig", "level", "pivot")).select("sig", "node", "pivot")
+    pairs = marked.where("NOT long").groupBy("a", "b", "instance").agg(F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).alias("c"), F.max("level").alias("level"))
     side = lambda x: sized.select(F.col("node").alias(x), *[F.col(y).alias(f"{x}_{y}") for y in ("n", "own", "lower", "band")])
     less = lambda x: lost.select(F.col("node").alias(x), "instance", F.col("lost").alias(f"{x}_lost"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("instance") == F.least("a_band", "b_band")).where("4 * greatest(a_n, b_n) <= 5 * least(a_n, b_n)")
@@ -228,8 +282,11 @@ def _candidates(runs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]
     return kept, needed
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
-    """Those of ``pairs`` (``a, b`` nodes, written) whose whole texts link; ``repeated``: an id may stand for several texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool, clashes: dict[int, int]) -> DataFrame:
+    """Those of ``pairs`` (``a, b`` nodes, written) whose whole texts link; ``repeated``: an id may stand for several texts.
+
+    Pivots are the ``a`` of their pairs: texts of ``b`` are joined first, so that a pivot's text is read beside many others but isn't moved with each.
+    """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = written(reps.join(ends, "node", "left_semi").select("node", "key"), "jaccard-need")
     n = need.count()
@@ -239,7 +296,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool
 
     def right(batches):
         for batch in batches:
-            keep = [_node(shingle_set(t), 0) == node for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist())]
+            keep = [_node(shingle_set(t), clashes) == node for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     def link(batches):
@@ -255,7 +312,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool
 
     if repeated:
         texts = texts.mapInArrow(right, "node bigint, text string").dropDuplicates(["node"])
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     return written(joined.select("a", "b", "s", "t").mapInArrow(link, "a bigint, b bigint"), "jaccard-links")
 
 
@@ -263,25 +320,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_shingles, node, component_id`` of every row; equal ``node`` means equal sets."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(_nodes(docs), "jaccard-rows")
+    rows, clashes = _named(written(_nodes(docs, {}), "jaccard-rows"), docs)
     total = rows.agg(F.count("*"), F.countDistinct(F.coalesce("doc_id", F.lit(NO_ID)))).first()
     reps = written(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("key"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("lower").alias("lower"), F.min("sketch").alias("sketch")),
+        rows.where("node IS NOT NULL").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("key"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("lower").alias("lower"), F.min("sketch").alias("sketch")),
         "jaccard-nodes",
     )
-    if reps.where("c1 <> c2").limit(1).count():
-        raise ValueError("two different sets share a 64-bit node id")
     repeated = total[0] != total[1]
-    runs = written(_runs(_keys_of(docs), hot_run), "jaccard-runs")
+    runs = written(_runs(_keys_of(docs, clashes, hot_run), hot_run), "jaccard-runs")
     kept, hot = _candidates(runs, reps)
     hot = written(hot, "jaccard-hot")
-    stars = hot.join(hot.groupBy("sig").agg(F.min("node").alias("a")), "sig").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    stars = hot.where("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
     pairs = written(kept.unionByName(stars).groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-candidates")
     # First every node with the one it shares most with; then only what still lies in different components.
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     best = each.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     best = written(best.distinct(), "jaccard-pairs")
-    links = _verified(best, docs, reps, repeated)
+    links = _verified(best, docs, reps, repeated, clashes)
     component = written(connected_components(links), "jaccard-components")
 
     def grown(more: DataFrame) -> None:
@@ -289,15 +344,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nonlocal links, component
         more = written(more.select("a", "b").distinct(), "jaccard-pairs")
         if more.limit(1).count():
-            links = links.unionByName(_verified(more, docs, reps, repeated))
+            links = links.unionByName(_verified(more, docs, reps, repeated, clashes))
             component = written(connected_components(links), "jaccard-components")
 
     grown(_apart(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(best, ["a", "b"], "left_anti"), component))
     if hot.limit(1).count():
         of = component.select(F.col("id").alias("node"), F.col("component").alias("comp"))
-        told = hot.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        grown(_across(told.join(mixed, "sig", "left_semi"), reps).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        told = hot.join(of, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        # A row a run, made by partial sums and written: the join with it can then be split where a run is long.
+        mixed = written(told.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig", "size"), "jaccard-mixed")
+        grown(_across(told.join(mixed, "sig"), reps).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     # Names: the smallest document id of a component.
     named = reps.join(component.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     real = F.when(F.col("key") != NO_ID, F.col("key"))
@@ -306,14 +362,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_run: int = HOT_RUN) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, nulls last; of rows that repeat it, one.
+
+    Rows without words stay. The input is written with a number for each row, which holds when a task runs again; decisions are about rows, not ids.
+    """
+    row, columns = "jaccard_row", [F.col(f"`{c}`") for c in docs.columns]
+    stored = written(docs.select(F.struct(*columns).alias("kept"), F.monotonically_increasing_id().alias(row)), "jaccard-input")
+    numbered = stored.select("kept", F.col(f"kept.`{id_col}`").cast("bigint").alias("own_id"), F.col(f"kept.`{text_col}`").alias("text"), row)
+    found = jaccard_components(numbered, row, "text", hot_run).where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    ids = found.join(numbered.select(row, "own_id"), row)
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("own_id").isNull().alias("z"), "own_id", row)).alias("first"), F.count("*").alias("size")).where("size > 1")
+    # Rows of a large group are split by the join with this written table, of a row a group.
+    first = written(first.select("group", F.col(f"first.{row}").alias("first")), "jaccard-kept")
+    gone = written(found.join(first, "group").where(F.col(row) != F.col("first")).select(row), "jaccard-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return numbered.join(gone, row, "left_anti").select("kept.*")
+
+
 def _across(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of one long run (``sig, node, comp``) in different components whose sketches allow a link.
+    """Pairs ``a, b`` of one long run (``sig, size, node, comp``) in different components whose sketches allow a link.
 
     Runs are cut into blocks of about ``BLOCK_NODES`` nodes, and every two blocks of a run meet in a group of their own.
     """
     blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
-    sized = rows.join(rows.groupBy("sig").agg(F.count("*").alias("size")), "sig").withColumn("blocks", blocks)
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
     dealt = placed.withColumn("g", F.explode(meets)).select("sig", "g.lo", "g.hi", "block", "node", "comp").join(reps.select("node", "n", "sketch"), "node")
 
