@@ -2,9 +2,14 @@
 
 Battery, for each token of 20 or more characters with a digit or mixed case that no pattern covers: its alphabet is inferred (decimal,
 hex, base32, base36, base62, base64); chi-squared tells how far its symbols are from uniform, a runs test and the lag-1 serial correlation
-whether their order is random. The least of the three p values, times three, says how badly "random over that alphabet" fits. In each
-stratum of alphabet and length band, Benjamini-Hochberg at ``fdr`` picks the tokens that are proven not random; the others, if they carry at least
-``min_bits``, are reported as kind ``random``. The step-up rule runs on a histogram of p values, so it covers all tokens of a corpus.
+whether their order is random. A token is put aside as proven not random if the least of the three p values, times three, is below ``level``, or if it is
+base64 of printable text; so at most about ``level`` of the truly random tokens are lost, whatever else the corpus holds.
+
+What is left is not yet a secret: short names can pass any such battery. So the claim "random" is tested against ordinary tokens as the null: letters at
+the frequencies of prose, with changes between small letters, capitals, digits and marks as in names and paths. The likelihood ratio of
+"uniform over its alphabet" to that null has a mean of at most 1 under the null, so it is an e-value, and it grows with a token's length. In each stratum
+of alphabet and length band the step-up rule for e-values bounds the expected share of false discoveries among those reported as kind ``random`` by ``fdr``. The rule
+runs on a histogram of whole bits of evidence, so it covers all tokens of a corpus; a token that carries less than ``min_bits`` is never reported.
 
 Defined results: a null text is empty and has no spans (the digest of an empty string); positions count code points, ends are exclusive;
 repeated ``doc_id`` rows are scanned and reported each; an empty table gives an empty result; other input columns are ignored.
@@ -13,6 +18,8 @@ Spans are gathered by input row, so a group never exceeds one text.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +43,14 @@ ALPHABETS = (
     ("base62", "^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-P_STEPS = 20
+#: The order in which symbols are numbered for the null: capitals, small letters, digits, marks.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+# Letters of English prose in per cent, a to z.
+LETTERS = (8.167, 1.492, 2.782, 4.253, 12.702, 2.228, 2.015, 6.094, 6.966, 0.153, 0.772, 4.025, 2.406, 6.749, 7.507, 1.929, 0.095, 5.987, 6.327, 9.056, 2.758, 0.978, 2.360, 0.150, 1.974, 0.074)
+#: Under the null a symbol is of the same kind as the one before it with this probability; the other three kinds share the rest.
+SAME_KIND = 0.85
+#: Row numbers up to this count are broadcast (8 bytes each); more are joined.
+BROADCAST_ROWS = 4_000_000
 HITS = "array<struct<kind:int,i:int,gap:int,len:int,match:string>>"
 
 
@@ -101,30 +115,56 @@ def randomness(tokens: DataFrame, token_col: str = "match") -> DataFrame:
     serial = F.when(F.col("var") <= 1e-12, F.lit(9.0)).otherwise((F.col("cov") / F.when(F.col("var") > 1e-12, F.col("var")) + 1 / n) * F.sqrt(n))
     x = x.withColumns({"p_uniform": _upper_tail(uniform), "p_runs": 2 * _upper_tail(F.abs(runs)), "p_serial": 2 * _upper_tail(F.abs(serial))})
     p = F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))
-    return x.withColumns({"p": p, "bits": n * F.log2(k)}).drop("letters", "v", "squares", "mean", "n1", "turns", "cov", "var", "k", "n")
+    return x.withColumns({"p": p, "bits": n * F.log2(k), "evidence": _evidence(s, n, k)}).drop("letters", "v", "squares", "mean", "n1", "turns", "cov", "var", "k", "n")
+
+
+def _evidence(token: Column, n: Column, k: Column) -> Column:
+    """log2 of the likelihood of a token as uniform over its alphabet of ``k`` (one of ``ALPHABETS``, equally likely) against an ordinary one."""
+    costs = [-math.log2(x / sum(LETTERS)) for x in LETTERS] * 2 + [math.log2(10)] * 10 + [math.log2(len(SYMBOLS) - 62)] * (len(SYMBOLS) - 62)
+    cost = F.array(*map(F.lit, costs))
+    kind = lambda y: F.when(y <= 26, 0).when(y <= 52, 1).when(y <= 62, 2).otherwise(3)
+    same, other = -math.log2(SAME_KIND), -math.log2((1 - SAME_KIND) / 3)
+    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c))
+    plain = F.aggregate(
+        places,
+        F.struct(F.lit(-1).alias("kind"), F.lit(0.0).alias("bits")),
+        lambda a, y: F.struct(
+            kind(y).alias("kind"),
+            (a["bits"] + F.element_at(cost, y) + F.when(a["kind"] < 0, F.lit(2.0)).when(a["kind"] == kind(y), F.lit(same)).otherwise(F.lit(other))).alias("bits"),
+        ),
+    )["bits"]
+    return plain - n * F.log2(k) - math.log2(len(ALPHABETS))
 
 
-def not_random(tokens: DataFrame, fdr: float) -> DataFrame:
-    """Adds ``rejected``: Benjamini-Hochberg in each stratum of alphabet and length band, on p values in steps."""
-    step = F.least(F.lit(300), F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * P_STEPS)).cast("int")
-    band = F.floor(F.log2(F.length("match"))).cast("int")
-    x = tokens.withColumns({"step": step, "band": band})
-    # At most a row for each alphabet, band and step.
-    counts = x.groupBy("alphabet", "band", "step").agg(F.count("*").alias("c"))
+def _holds_prose(token: Column) -> Column:
+    """Whether a token is base64 of printable text."""
+    whole = F.rpad(F.translate(token, "-_", "+/"), F.length(token) + F.pmod(-F.length(token), F.lit(4)), F.lit("="))
+    return F.coalesce(F.try_to_binary(whole, F.lit("base64")).cast("string").rlike("^[\\x09\\x0A\\x0D\\x20-\\x7E]+$"), F.lit(False))
+
+
+def discoveries(tokens: DataFrame, fdr: float, level: float, min_bits: float) -> DataFrame:
+    """Those of ``tokens`` (with a column ``match``) that are reported as random."""
+    tested = randomness(tokens).withColumns({"band": F.floor(F.log2(F.length("match"))).cast("int"), "step": F.floor("evidence").cast("int")})
+    # At most a row for each alphabet, band and bit of evidence.
+    fits = (F.col("p") >= level) & ~_holds_prose(F.col("match")) & (F.col("bits") >= min_bits)
+    tested = tested.withColumn("step", F.when(fits, F.greatest(F.lit(0), F.least(F.lit(1000), F.col("step")))).otherwise(F.lit(0)))
+    counts = tested.groupBy("alphabet", "band", "step").agg(F.count("*").alias("c"))
     stratum = Window.partitionBy("alphabet", "band")
     rank = F.sum("c").over(stratum.orderBy(F.desc("step")))
-    below = F.pow(F.lit(10.0), -F.col("step") / P_STEPS) <= fdr * F.col("rank") / F.col("m")
-    limits = counts.withColumns({"rank": rank, "m": F.sum("c").over(stratum)}).where(below).groupBy("alphabet", "band").agg(F.min("step").alias("limit"))
-    return x.join(F.broadcast(limits), ["alphabet", "band"], "left").withColumn("rejected", F.coalesce(F.col("step") >= F.col("limit"), F.lit(False)))
+    above = (F.col("step") > 0) & (F.pow(F.lit(2.0), F.col("step")) * F.col("rank") * fdr >= F.col("m"))
+    limits = counts.withColumns({"rank": rank, "m": F.sum("c").over(stratum)}).where(above).groupBy("alphabet", "band").agg(F.min("step").alias("limit"))
+    return tested.join(F.broadcast(limits), ["alphabet", "band"]).where("step >= limit")
 
 
-def scan(docs: DataFrame, fdr: float = 0.05, min_bits: float = 80.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``rows`` (``rid``, ``doc_id``: an id for every input row) and ``spans`` (``rid, kind, start, end, match``)."""
+def scan(docs: DataFrame, fdr: float = 0.05, level: float = 1e-3, min_bits: float = 80.0, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``rid``, ``doc_id``: an id for every input row; with ``keep`` also ``row``, the input) and ``spans`` (``rid, kind, start, end, match``)."""
     t = F.col("t")
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *rows)
+    rows = ["row"] if keep else []
     hits = [_hits(t, i, pattern) for i, (_, pattern) in enumerate(PATTERNS)] + [_hits(t, len(PATTERNS), CANDIDATE)]
     # Written: one scan of the texts, and row ids that hold when a task runs again.
-    found = written(base.select("rid", "doc_id", F.concat(*hits).alias("hits")), "secret-hits")
+    found = written(base.select("rid", "doc_id", F.concat(*hits).alias("hits"), *rows), "secret-hits")
     each = found.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
     before = Window.partitionBy("rid", "kind").orderBy("i")
     start = F.sum(F.col("gap") + F.col("len")).over(before) - F.col("len")
@@ -141,9 +181,15 @@ def scan(docs: DataFrame, fdr: float = 0.05, min_bits: float = 80.0, id_col: str
     marked = kept.withColumns({"reach": reach, "next": next_})
     free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
     spans = marked.where(is_base | free).select("rid", "kind", "start", "end", "match")
-    tested = not_random(randomness(spans.where(F.col("kind") == 3)), fdr)
-    random = tested.where(~F.col("rejected") & (F.col("bits") >= min_bits)).select("rid", "kind", "start", "end", "match")
-    return found.select("rid", "doc_id"), spans.where(is_base).unionByName(random)
+    random = discoveries(spans.where(F.col("kind") == 3), fdr, level, min_bits).select("rid", "kind", "start", "end", "match")
+    return found.select("rid", "doc_id", *rows), spans.where(is_base).unionByName(random)
+
+
+def without_secrets(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` less the rows in which a secret was found; decided by row, whatever the ids."""
+    rows, spans = scan(docs, keep=True, **options)
+    gone = written(spans.select("rid").distinct(), "secret-rows")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "rid", "left_anti").select("row.*")
 
 
 def secret_digest(docs: DataFrame, **options) -> DataFrame:
