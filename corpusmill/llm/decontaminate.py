@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are weighted by TF-IDF, with document frequencies over all documents, and a randomised singular value decomposition finds their
-latent space: tasks multiply their passages with the current basis, sums are made by blocks of terms, and the driver only orthogonalises a
-matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match,
+Benchmark items are cut into passages, a table. Passages are weighted by TF-IDF, with document frequencies over all documents, and a randomised singular value
+decomposition finds their latent space: each step is a pass over the table, whose tasks multiply their sparse rows with the current basis; sums are made by blocks of
+terms, and the driver only orthogonalises a matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match,
 whatever words stand beside them and however many documents there are. Windows there are projected; the cosine inside the latent space, where an exact copy has 1 however little
 of the item the space keeps, orders the places and is reported. The longest common subsequence of words and an answer check (the item's answer,
 or its last quarter) decide on each. No cosine drops a place, as a space of ``RANK`` directions can't keep thousands of items.
 
-Items go in blocks of ``BLOCK_ITEMS``, so what is broadcast is bounded by a block; each block is a scan of the documents.
+What is broadcast is bounded by bytes: passages go in blocks of about ``BLOCK_WORDS`` words, and ``BLOCKS_AT_ONCE`` of them (20,000 items of 50 words) are one scan of the
+documents for their frequencies, of ``TERMS_HELD`` terms at once, and one for the matches. A larger benchmark takes more scans, with the documents and their matches written in between.
 
-Defined results: items and documents without words match nothing; of equal items each is reported; repeated rows are checked each;
+Defined results: items and documents without words match nothing; of equal items each is reported; an item that several passages find is reported once, with its best
+passage; ties of passages don't change a result, as the greatest shares count; repeated rows are checked each;
 null ids stay null; an empty table on either side gives an empty result; other input columns are ignored.
 """
 
@@ -18,17 +20,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import small_batches
-from corpusmill.sources.tables import table
-
-BLOCK_ITEMS = 5_000
-RANK = 256
+from corpusmill.sources.tables import table, written
+
+#: Words of passages in a block (about 150 bytes each in a task, with their place in the latent space), and terms counted in one scan.
+BLOCK_WORDS = 250_000
+#: Blocks that one scan of the documents holds against every text.
+BLOCKS_AT_ONCE = 4
+TERMS_HELD = 300_000
+#: Words of passages that one task multiplies.
+PART_WORDS = 10_000
+RANK = 128
 OVERSAMPLE = 16
 POWER_STEPS = 2
 #: Items of more words are cut into passages of this many, half overlapping.
@@ -59,89 +69,110 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def passages_of(benchmark: DataFrame) -> DataFrame:
+    """``item_id, place, words, answer`` of every passage (lists of words), written; ``block`` deals them out by running sums of words."""
+    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
+
+    def cut(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for item_id, text, told in zip(*[batch.column(c).to_pylist() for c in ("item_id", "text", "answer")]):
+                w = words_of(text)
+                for s in range(0, len(w), PASSAGE_WORDS // 2) if len(w) > PASSAGE_WORDS else [0]:
+                    passage = w[s : s + PASSAGE_WORDS]
+                    if passage and (s == 0 or len(passage) >= PASSAGE_WORDS // 2):
+                        given = words_of(told) if told is not None else []
+                        for to, x in zip(out, (item_id, s, passage, given or passage[-(-3 * len(passage) // 4) :] or passage)):
+                            to.append(x)
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["item_id", "place", "words", "answer"])
+
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", answer.alias("answer"))
+    rows = written(items.mapInArrow(cut, "item_id bigint, place int, words array<string>, answer array<string>"), "passages")
+    words = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    blocks = max(1, -(-words // BLOCK_WORDS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("words", "item_id", "place"), F.lit(blocks)).cast("int"))
+    return written(dealt.repartition(max(1, -(-words // PART_WORDS))), "passage-blocks")
+
+
 class Block:
-    """Passages of some items: term ids and, later, their weights and places in the latent space."""
-
-    def __init__(self, items: list[tuple]):
-        self.items, self.words, self.answers = [], [], []
-        for item_id, text, answer in items:
-            w = words_of(text)
-            starts = range(0, len(w), PASSAGE_WORDS // 2) if len(w) > PASSAGE_WORDS else [0]
-            for s in starts:
-                passage = w[s : s + PASSAGE_WORDS]
-                if passage and (s == 0 or len(passage) >= PASSAGE_WORDS // 2):
-                    self.items.append(item_id)
-                    self.words.append(passage)
-                    told = words_of(answer) if answer is not None else []
-                    self.answers.append(told or passage[-(-3 * len(passage) // 4) :] or passage)
+    """Passages of a block: words, answers and term ids."""
+
+    def __init__(self, items: list, words: list[list[str]], answers: list[list[str]]):
+        self.items, self.words, self.answers = items, words, answers
         self.terms = {t: i for i, t in enumerate(sorted({x for w in self.words for x in w}))}
 
-    def vectors(self, idf: np.ndarray, rows: range | None = None) -> np.ndarray:
-        """TF-IDF rows, dense over the block's terms."""
-        rows = range(len(self.words)) if rows is None else rows
-        out = np.zeros((len(rows), len(self.terms)), np.float32)
-        for i, r in enumerate(rows):
-            for t, n in Counter(self.words[r]).items():
-                out[i, self.terms[t]] = n * idf[self.terms[t]]
-        return out
 
+def sparse_rows(terms: dict[str, int], idf: np.ndarray, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF rows: limits of the rows, term ids and weights."""
+    counts = [Counter(terms[x] for x in w) for w in words]
+    ids = np.fromiter((t for c in counts for t in c), np.int64)
+    times = np.fromiter((n for c in counts for n in c.values()), np.float32)
+    return np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64), ids, times * idf[ids].astype(np.float32)
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many rows each term occurs, and the number of rows; at most a row for each term and task is shuffled."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
-    def run(batches):
-        known, counts, n = shared.value, Counter(), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += 1
-                counts.update(known.intersection(words_of(text)))
-        counts[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    found = docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    df, total = np.zeros(len(terms)), 0
-    for row in found:
-        if row["term"] == "":
-            total = row["n"]
-        else:
-            df[terms[row["term"]]] = row["n"]
-    return df, total
-
-
-def randomised_svd(spark, block: Block, idf: np.ndarray, rank: int = RANK, tasks: int = 4) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the block's TF-IDF matrix, by subspace iteration from a random start."""
-    n, terms = len(block.words), len(block.terms)
-    rank = min(rank, n, terms)
-    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(terms, min(terms, rank + OVERSAMPLE))))[0].astype(np.float32)
-    parts = spark.range(0, n, 1, max(1, min(tasks, -(-n // 64))))
-    shared = spark.sparkContext.broadcast((block, idf))
+def times_basis(limits: np.ndarray, ids: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix; no row is empty."""
+    return np.add.reduceat(weights[:, None] * basis[ids], limits[:-1], axis=0) if len(limits) > 1 else np.zeros((0, basis.shape[1]), np.float32)
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
+    """In how many rows each of ``terms`` occurs, and the number of rows; at most a row for each term and task is shuffled."""
+    small_batches(docs.sparkSession)
+    out: dict[str, int] = {}
+    for start in range(0, max(1, len(terms)), TERMS_HELD):
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms[start : start + TERMS_HELD]))
+
+        def run(batches):
+            known, counts, n = shared.value, Counter(), 0  # noqa: B023
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    n += 1
+                    counts.update(known.intersection(words_of(text)))
+            counts[""] = n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+        found = docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        out.update(zip(found["term"].to_pylist(), found["n"].to_pylist()))
+        shared.destroy()
+    return out, out.pop("", 0)
+
+
+def randomised_svd(passages: DataFrame, terms: dict[str, int], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF matrix of ``passages`` (a table with ``words``), by subspace iteration from a random start."""
+    sc = passages.sparkSession.sparkContext
+    rank = min(rank, len(terms))
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(len(terms), min(len(terms), rank + OVERSAMPLE))))[0].astype(np.float32)
+    shared = sc.broadcast((terms, idf))
 
     def product(basis):
         """A'A times basis: each task from its rows, summed by blocks of terms."""
-        given = spark.sparkContext.broadcast(basis)
+        given = sc.broadcast(basis)
 
-        def run(frames):
-            b, w = shared.value
+        def run(batches):
+            at, w = shared.value
             total = np.zeros_like(given.value)
-            for pdf in frames:
-                a = np.vstack([b.vectors(w, range(i, i + 1)) for i in pdf["id"]]) if len(pdf) else np.zeros((0, len(b.terms)), np.float32)
-                total += a.T @ (a @ given.value)
+            for batch in batches:
+                limits, ids, weights = sparse_rows(at, w, batch.column("words").to_pylist())
+                y = times_basis(limits, ids, weights, given.value)
+                np.add.at(total, ids, weights[:, None] * np.repeat(y, np.diff(limits), axis=0))
             starts = range(0, len(total), TERM_BLOCK)
-            yield pd.DataFrame({"at": list(starts), "part": [total[s : s + TERM_BLOCK].astype("<f4").tobytes() for s in starts]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int32()), pa.array([total[s : s + TERM_BLOCK].astype("<f4").tobytes() for s in starts], pa.binary())], names=["at", "part"])
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             out = sum(np.frombuffer(x, "<f4") for x in pdf["part"])
             return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [out.tobytes()]})
 
-        rows = parts.mapInPandas(run, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary").orderBy("at").collect()
+        sums = passages.select("words").mapInArrow(run, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary")
+        rows = sums.orderBy("at").collect()
+        given.destroy()
         return np.frombuffer(b"".join(bytes(r["part"]) for r in rows), "<f4").reshape(basis.shape)
 
     for _ in range(POWER_STEPS):
         basis = np.linalg.qr(product(basis))[0].astype(np.float32)
     # Rayleigh-Ritz: the best directions inside the subspace.
     values, turn = np.linalg.eigh(basis.T @ product(basis))
+    shared.destroy()
     return (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -183,14 +214,14 @@ class Gate:
         return np.flatnonzero(times @ (there[:, :-3] | there[:, 1:-2] | there[:, 2:-1] | there[:, 3:]) >= self.need[item])
 
 
-def _scan(docs: DataFrame, block: Block, df: np.ndarray, idf: np.ndarray, space: np.ndarray) -> DataFrame:
-    """Verified matches of every row with the block's items."""
-    small_batches(docs.sparkSession)
-    latent = np.vstack([block.vectors(idf, range(i, min(i + 256, len(block.words)))) @ space for i in range(0, len(block.words), 256)])
+def _matcher(spark, block: Block, df: np.ndarray, idf: np.ndarray, space: np.ndarray):
+    """A column function: the verified matches of a text with the block's items."""
+    parts = [sparse_rows(block.terms, idf, block.words[i : i + 256]) for i in range(0, len(block.words), 256)]
+    latent = np.vstack([times_basis(*p, space) for p in parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     # A window length for each class of item lengths, half as long again from one to the next.
     lengths = np.array([max(1, int(round(1.5 ** round(np.log(len(w)) / np.log(1.5))))) for w in block.words])
-    shared = docs.sparkSession.sparkContext.broadcast((block, Gate(block, df), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
+    shared = spark.sparkContext.broadcast((block, Gate(block, df), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
 
     def matches(text, state):
         b, gate, weighted, q, sizes = state
@@ -235,14 +266,49 @@ def _scan(docs: DataFrame, block: Block, df: np.ndarray, idf: np.ndarray, space:
 
     def run(batches):
         state = shared.value
-        for batch in batches:
-            out = [(doc_id, *m) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in matches(text, state)]
-            if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "lcs_part", "answer_part", "cosine"])
+        for texts in batches:
+            yield pa.array([[dict(zip(_FIELDS, m)) for m in matches(text, state)] for text in texts.to_pylist()], _MATCHES)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, MATCHES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, lcs_part double, answer_part double, cosine double")
+
+MATCHES = "array<struct<item_id:bigint,lcs_part:double,answer_part:double,cosine:double>>"
+_FIELDS = ("item_id", "lcs_part", "answer_part", "cosine")
+_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), *[(x, pa.float64()) for x in _FIELDS[1:]]]))
+
+
+def _matchers(docs: DataFrame, passages: DataFrame, blocks: list[int], rank: int) -> list:
+    """A column function for each of ``blocks``; ``docs`` (``text``) gives the document frequencies."""
+    mine = passages.where(F.col("block").isin(blocks))
+    terms = mine.select(F.explode("words").alias("t")).distinct().orderBy("t").toArrow()["t"].to_pylist()
+    counts, n = document_frequencies(docs, terms)
+    out = []
+    for i in blocks:
+        mine = passages.where(F.col("block") == i)
+        held = mine.orderBy("item_id", "place", "words").select("item_id", "words", "answer").toArrow()
+        block = Block(*[held[c].to_pylist() for c in ("item_id", "words", "answer")])
+        df = np.array([counts.get(t, 0) for t in block.terms], np.float64)
+        idf = np.log((n + 1) / (df + 1)) + 0.1
+        out.append(_matcher(docs.sparkSession, block, df, idf, randomised_svd(mine, block.terms, idf, rank)))
+    return out
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``matches``, the items that a row's text holds. Rows stay where they are: only texts go to Python."""
+    small_batches(docs.sparkSession)
+    passages = passages_of(benchmark)
+    blocks = sorted(r["block"] for r in passages.select("block").distinct().collect())
+    out = docs.withColumn("matches", F.array().cast(MATCHES))
+    for at in range(0, len(blocks), BLOCKS_AT_ONCE):
+        if at:
+            out = written(out, "matches")
+        found = _matchers(docs.select(F.col(text_col).alias("text")), passages, blocks[at : at + BLOCKS_AT_ONCE], rank)
+        for match in found:
+            out = out.withColumn("matches", F.concat("matches", F.coalesce(match(F.col(text_col)), F.array().cast(MATCHES))))
+    # Passages of an item may lie in several blocks: the greatest of an item's rows counts.
+    ranked = lambda m: F.filter(m, lambda x, k: ~F.coalesce(F.get(m, k + 1)["item_id"].eqNullSafe(x["item_id"]) & (k + 1 < F.size(m)), F.lit(False)))
+    return out.withColumn("matches", F.array_sort("matches")).withColumn("matches", ranked(F.col("matches")))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -250,22 +316,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -
 
     ``benchmark`` has ``item_id``, ``text`` and, if known, ``answer``.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("bigint"), "text", answer.alias("answer"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)))
-    out = None
-    for i in range(blocks):
-        block = Block([tuple(r) for r in dealt.where(F.col("block") == i).select("item_id", "text", "answer").orderBy("item_id", "text").collect()])
-        if not block.words:
-            continue
-        df, n = document_frequencies(docs, block.terms)
-        idf = np.log((n + 1) / (df + 1)) + 0.1
-        found = _scan(docs, block, df, idf, randomised_svd(spark, block, idf, rank))
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, lcs_part double, answer_part double, cosine double")
+    rows = with_matches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, rank)
+    return rows.select("doc_id", F.explode("matches").alias("m")).select("doc_id", *[f"m.{x}" for x in _FIELDS])
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
