@@ -1,52 +1,63 @@
-"""Five filtering and packing stages over ``documents``, each written as Parquet and read again by the next."""
+"""Five filtering and packing stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage decides on rows, not on ids: a null or repeated ``doc_id`` neither saves a row nor takes another one with it. The columns of the input pass
+through as they are, whatever their names. An empty table gives an empty result in every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.decontaminate import find_contaminated
-from corpusmill.llm.jaccard_join import BROADCAST_IDS, jaccard_components
+from corpusmill.llm.decontaminate import with_matches
+from corpusmill.llm.jaccard_join import without_duplicates
 from corpusmill.llm.packing import packed_documents
-from corpusmill.llm.secrets import scan
-from corpusmill.llm.toxicity import calibrate, held_out, score_documents, train
+from corpusmill.llm.secrets import without_secrets
+from corpusmill.llm.toxicity import held_out, scored, train
 from corpusmill.sources.tables import table, written
 
+_ROW = "corpus_pipeline_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The input's columns as one struct beside what a stage looks at, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW), F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose ``doc_id`` is in ``ids``; rows that share an id are one document, rows with a null id stay."""
-    gone = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped-ids")
-    # Few ids go to every task, so that texts needn't move; more are joined.
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+def _back(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{_ROW}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier calls toxic."""
-    model, known = train(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"))))
-    scored = score_documents(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), model, calibrate(known))
-    return _without(docs, scored.where("predicted = 1"))
+    """Drops rows whose text the classifier rejects at the threshold of their language.
+
+    Null and empty texts hold no evidence and stay; equal texts of one language share a verdict; long texts are scored whole; without labels of both kinds all stay.
+    """
+    rows = _rows(docs)
+    model, thresholds = train(rows.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"))))
+    return _back(scored(rows, model, thresholds).where("lang_predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked or equal texts."""
-    found = jaccard_components(docs)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """Keeps one row of each group of linked or equal texts: the one with the smallest id (nulls last; of rows that repeat an id, one).
+
+    Null texts and texts without words link with nothing and stay, repeated or not.
+    """
+    return without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return _without(docs, find_contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Drops rows whose text holds a benchmark item. Null and empty texts match nothing, nor do items without words."""
+    return _back(with_matches(_rows(docs), table(spark, sf_dir, "benchmark")).where(F.size("matches") == 0))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a secret was found."""
-    rows, spans = scan(docs)
-    return _without(docs, rows.join(spans.select("rid"), "rid", "left_semi"))
+    """Drops rows in which a secret was found. Null and empty texts hold none; equal texts share a verdict."""
+    return _back(without_secrets(_rows(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens."""
+    """Packs what is left into sequences of at most 2048 tokens: a row for each piece. A null text is empty and has its end token alone; repeated rows are packed each."""
     import public_tokenizers
 
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
