@@ -1,11 +1,14 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Frequent words are symbols, all others share one symbol whose words are told apart by their counts. A context (up to ``DEPTH`` symbols) is looked
-at if it makes up ``CONTEXT_PART`` of all tokens, and kept if its next-symbol distribution diverges from that of the shorter suffix by a
+at if it occurs often enough, and kept if its next-symbol distribution diverges from that of the shorter suffix by a
 likelihood-ratio test. Kept distributions are smoothed towards the shorter suffix; a text is scored from its longest kept suffixes.
 
-Counts come from all training texts by partial sums in tasks and a shuffle. Shares of all tokens bound what is broadcast: at most ``1 / SYMBOL_PART`` symbols,
-``1 / CONTEXT_PART`` contexts and ``1 / ENTRY_PART`` entries a depth, ``LOCAL_WORDS`` counts. Rarer words get their counts by a join.
+"Often enough" is a count that grows more slowly than the corpus, as ``LEAST * (tokens / 1e6) ** GROWTH``: estimates get better and the tree gets larger with every further text.
+With Zipf's law the number of symbols, contexts and entries grows as ``tokens ** (1 - GROWTH)``; certain bounds are ``tokens / least`` a depth. That part is broadcast.
+
+Counts come from all training texts by partial sums in tasks and a shuffle. All symbols and at least ``LOCAL_WORDS`` words are held with their counts by every task; rarer words get theirs by a join.
+Contexts are named by 64-bit hashes.
 
 Defined results: a null text is empty and consists of the end token; repeated rows are scored each; a null ``doc_id`` is neither held out nor
 learned from; an empty table gives an empty result; other input columns are ignored.
@@ -20,21 +23,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.shingles import mix
 from corpusmill.llm.tokens import small_batches
 from corpusmill.sources.tables import table, written
 
 DEPTH = 3
-SYMBOL_PART = 1e-4
-CONTEXT_PART = 2e-4
-ENTRY_PART = 2e-6
+LEAST = 20
+GROWTH = 0.75
+#: Counts of symbols and of entries that are kept, as parts of a context's.
+SYMBOL_PART = 0.5
+ENTRY_PART = 0.1
 LOCAL_WORDS = 1 << 18
 PRIOR = 0.1
 SMOOTH = 20.0
 OTHER, END, FIRST = 0, 1, 2
-_BITS = 14
+_BITS = 24
 _FLUSH = 400_000
 
 
+def least_count(total: int) -> float:
+    """How often a context must occur among ``total`` tokens."""
+    return max(LEAST, LEAST * (total / 1e6) ** GROWTH)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of bytes other than blank and U+0009..U+000D, with A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -83,17 +94,18 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The bounded part of ``counts`` that workers hold. Its least count follows from a histogram of counts."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    symbol_least = max(2, SYMBOL_PART * least_count(total))
     # Distinct counts are few: their number grows as the square root of the tokens at most.
     least, held = 1, 0
     for c, n in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
-        if held + n > LOCAL_WORDS:
+        if held + n > LOCAL_WORDS and c < symbol_least:
             least = c + 1
             break
         held += n
     found = counts.where((F.col("c") >= least) & (F.col("word") != "")).toArrow()
     order = np.lexsort((found["word"].to_numpy(zero_copy_only=False).astype(str), -found["c"].to_numpy())) if len(found) else np.empty(0, np.int64)
     c = found["c"].to_numpy()[order] if len(found) else np.empty(0, np.int64)
-    symbols = int((c >= max(2, SYMBOL_PART * total)).sum())
+    symbols = int((c >= symbol_least).sum())
     words = [w.encode() for w in found["word"].take(pa.array(order)).to_pylist()] if len(found) else []
     return Vocabulary(words, c, symbols, total, distinct)
 
@@ -103,15 +115,20 @@ def _symbols(ranks: np.ndarray, symbols: int) -> np.ndarray:
     return np.where((ranks >= 0) & (ranks < symbols), ranks + FIRST, OTHER)
 
 
-def _contexts(syms: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of the ``depth`` symbols before each token, -1 where the text starts later or one of them is no symbol."""
+def longer(keys: np.ndarray, syms: np.ndarray) -> np.ndarray:
+    """Keys of contexts with one more, newest symbol; the empty context's key is 0."""
+    return mix(keys.astype(np.uint64) + mix(syms.astype(np.uint64) + np.uint64(1))).astype(np.int64)
+
+
+def _contexts(syms: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the ``depth`` symbols before each token, and where they are: not where the text starts later or one of them is no symbol."""
     key, ok = np.zeros(len(syms), np.int64), place >= depth
     for back in range(depth, 0, -1):
-        prev = np.empty_like(syms)
-        prev[:back], prev[back:] = OTHER, syms[:-back] if back < len(syms) + 1 else syms[:0]
+        prev = np.full_like(syms, OTHER)
+        prev[back:] = syms[:-back]
         ok &= prev >= FIRST
-        key = (key << _BITS) | prev
-    return np.where(ok, key, -1)
+        key = longer(key, prev)
+    return key, ok
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -150,8 +167,9 @@ def count_contexts(texts: DataFrame, vocab, contexts: np.ndarray, depth: int) ->
         for batch in batches:
             ranks, place, _ = _sequence(batch.column("text").to_pylist(), v.ids())
             syms = np.where(ranks == -2, END, _symbols(ranks, v.symbols))
-            at = _find(known, _contexts(syms, place, depth))
-            has = at >= 0
+            keys, ok = _contexts(syms, place, depth)
+            at = _find(known, keys)
+            has = ok & (at >= 0)
             parts.append((at[has] << _BITS) | syms[has])
             held += len(parts[-1])
             if held > 4_000_000:
@@ -174,21 +192,18 @@ class SuffixTree:
         self.root = np.log10((mass + PRIOR) / (vocab.total + PRIOR * len(mass)))
         self.levels: list[tuple] = []
 
-    def log_p(self, syms: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """log10 P of symbols; ``contexts[d]`` has the keys of the last ``d + 1`` symbols. Longer kept suffixes override shorter ones."""
+    def log_p(self, syms: np.ndarray, contexts: list[tuple]) -> np.ndarray:
+        """log10 P of symbols; ``contexts[d]`` has the keys of the last ``d + 1`` symbols, and where there are so many. Longer kept suffixes override shorter ones."""
         p = self.root[syms]
-        for keys, (kept, back, entries, values) in zip(contexts, self.levels):
-            at = _find(kept, keys)
+        for (keys, ok), (kept, back, entries, values) in zip(contexts, self.levels):
+            at = np.where(ok, _find(kept, keys), -1)
             entry = _find(entries, (at << _BITS) | syms)
             p = np.where(at < 0, p, np.where(entry >= 0, values[np.maximum(entry, 0)] if len(values) else p, p + (back[np.maximum(at, 0)] if len(back) else 0)))
         return p
 
-    def add_level(self, contexts: np.ndarray, totals: np.ndarray, at: np.ndarray, syms: np.ndarray, n: np.ndarray) -> None:
-        """Keeps those ``contexts`` whose entries (sorted by context) diverge from the shorter suffix."""
-        depth = len(self.levels) + 1
-        keys = contexts[at]
-        suffixes = [np.bitwise_and(keys, (1 << (_BITS * d)) - 1) for d in range(1, depth)]
-        parent = 10 ** self.log_p(syms, suffixes)
+    def add_level(self, contexts: np.ndarray, suffixes: list[np.ndarray], totals: np.ndarray, at: np.ndarray, syms: np.ndarray, n: np.ndarray) -> None:
+        """Keeps those ``contexts`` (ascending) whose entries (by context and symbol) diverge from the shorter suffix; ``suffixes`` has the keys of theirs, the shortest first."""
+        parent = 10 ** self.log_p(syms, [(x[at], True) for x in suffixes])
         size = len(contexts)
         seen, below, count = (np.bincount(at, x, size) for x in (n, parent, np.ones(len(at))))
         gain = np.bincount(at, n * np.log(n / totals[at] / parent), size)
@@ -209,9 +224,10 @@ def learn(texts: DataFrame, counts: DataFrame, vocab: Vocabulary):
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     tree = SuffixTree(vocab, ends)
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
-    least = max(20, CONTEXT_PART * vocab.total)
+    least = least_count(vocab.total)
     k = int((vocab.counts[: vocab.symbols] >= least).sum())
-    contexts = np.arange(FIRST, FIRST + k, dtype=np.int64)
+    contexts, suffixes = longer(np.zeros(k, np.int64), np.arange(FIRST, FIRST + k)), []
+    contexts = np.sort(contexts)
     for depth in range(1, DEPTH + 1):
         if not len(contexts):
             break
@@ -219,12 +235,17 @@ def learn(texts: DataFrame, counts: DataFrame, vocab: Vocabulary):
         totals = grams.groupBy(F.shiftright("key", _BITS).alias("at")).agg(F.sum("n").alias("n")).toArrow()
         all_ = np.zeros(len(contexts))
         all_[totals["at"].to_numpy()] = totals["n"].to_numpy()
-        found = grams.where(F.col("n") >= max(2, ENTRY_PART * vocab.total)).orderBy("key").toArrow()
+        found = grams.where(F.col("n") >= max(2, ENTRY_PART * least)).orderBy("key").toArrow()
         key, n = found["key"].to_numpy(), found["n"].to_numpy().astype(float)
         at, syms = key >> _BITS, key & ((1 << _BITS) - 1)
-        tree.add_level(contexts, np.maximum(all_, 1), at, syms, n)
-        longer = (syms >= FIRST) & (n >= least)
-        contexts = np.unique((contexts[at[longer]] << _BITS) | syms[longer])
+        tree.add_level(contexts, suffixes, np.maximum(all_, 1), at, syms, n)
+        on = (syms >= FIRST) & (n >= least)
+        # A context's suffixes grow with it; the shortest is the newest symbol alone.
+        suffixes = [longer(np.zeros(int(on.sum()), np.int64), syms[on]), *[longer(x[at[on]], syms[on]) for x in suffixes]]
+        contexts = longer(contexts[at[on]], syms[on])
+        order = np.argsort(contexts)
+        contexts, suffixes = contexts[order], [x[order] for x in suffixes]
+    shared.destroy()
     return tree
 
 

@@ -1,5 +1,6 @@
 """Each operator on edge rows and an empty table, and against a plain version of what it should do."""
 
+import functools
 import hashlib
 import math
 import re
@@ -352,8 +353,72 @@ def test_suffix_distributions_sum_to_one():
     counts = np.array([50, 30, 20])
     vocab = suffix_tree.Vocabulary([b"a", b"b", b"c"], counts, 3, 120, 10)
     tree = suffix_tree.SuffixTree(vocab, 10)
-    tree.add_level(np.array([2, 3]), np.array([50.0, 30.0]), np.array([0, 0, 1]), np.array([3, 4, 2]), np.array([45.0, 3.0, 28.0]))
+    key = lambda *syms: functools.reduce(lambda k, x: suffix_tree.longer(k, np.array([x])), syms, np.zeros(1, np.int64))
+    contexts = np.sort(np.concatenate([key(2), key(3)]))
+    a, b = (int(np.searchsorted(contexts, key(x)[0])) for x in (2, 3))
+    rows = sorted([(a, 3, 45.0), (a, 4, 3.0), (b, 2, 28.0)])
+    totals = np.zeros(2)
+    totals[[a, b]] = 50.0, 30.0
+    tree.add_level(contexts, [], totals, *[np.array(x) for x in zip(*rows)])
     assert len(tree.levels[0][0])
     for context in (2, 3, 4):
-        p = tree.log_p(np.arange(5), [np.full(5, context)])
+        p = tree.log_p(np.arange(5), [(np.repeat(key(context), 5), np.ones(5, bool))])
         assert abs((10**p).sum() - 1) < 1e-6
+
+
+def plain_tree(texts, least, entry_least, vocab, ends):
+    """The same model by plain dictionaries: root distribution and, per kept context, its whole next-symbol distribution."""
+    size = vocab.symbols + suffix_tree.FIRST
+    rank = {w: i + suffix_tree.FIRST for i, w in enumerate(vocab.words[: vocab.symbols])}
+    streams = [[*(rank.get(w, suffix_tree.OTHER) for w in suffix_tree.words_of(t)), suffix_tree.END] for t in texts]
+    mass = Counter(x for s in streams for x in s)
+    kept = {(): [(mass[x] + 0.1) / (vocab.total + 0.1 * size) for x in range(size)]}
+    looked = {(x,) for x in range(suffix_tree.FIRST, size) if mass[x] >= least}
+    for depth in range(1, suffix_tree.DEPTH + 1):
+        seen = {}
+        for s in streams:
+            for i in range(depth, len(s)):
+                if tuple(s[i - depth : i]) in looked:
+                    seen.setdefault(tuple(s[i - depth : i]), Counter())[s[i]] += 1
+        new = {}
+        for context, nexts in seen.items():
+            shorter = next(kept[context[k:]] for k in range(1, depth + 1) if context[k:] in kept)
+            total, entries = sum(nexts.values()), {x: n for x, n in nexts.items() if n >= entry_least}
+            rest, left = total - sum(entries.values()), max(1e-12, 1 - sum(shorter[x] for x in entries))
+            gain = sum(n * math.log(n / total / shorter[x]) for x, n in entries.items()) + (rest * math.log(rest / total / left) if rest else 0)
+            if 2 * gain > len(entries) + 4 * math.sqrt(2 * len(entries)) + 10 and gain > 0.005 * total:
+                p = {x: (n + 20 * shorter[x]) / (total + 20) for x, n in entries.items()}
+                back = max(1e-12, 1 - sum(p.values())) / left
+                new[context] = [p.get(x, shorter[x] * back) for x in range(size)]
+        looked = {(*c, x) for c, nexts in seen.items() for x, n in nexts.items() if x >= suffix_tree.FIRST and n >= max(least, entry_least)}
+        kept |= new
+    return streams, kept
+
+
+def test_suffix_tree_equals_a_plain_one(spark):
+    rng = np.random.default_rng(10)
+    follow = {"red": "fox", "blue": "sky", "sky": "high"}
+    texts = []
+    for _ in range(200):
+        w = []
+        for _ in range(50):
+            x = str(rng.choice(["red", "blue", "deep", "and", "or", f"r{rng.integers(0, 900)}"]))
+            w += [x, follow[x], follow.get(follow[x], "so")] if x in follow else [x]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    counts = suffix_tree.count_words(df)
+    vocab = suffix_tree.vocabulary(counts)
+    tree = suffix_tree.learn(df, counts, vocab)
+    least = suffix_tree.least_count(vocab.total)
+    streams, kept = plain_tree(texts, least, max(2, 0.1 * least), vocab, len(texts))
+    assert sum(len(c) == 2 for c in kept) > 0
+    for s in streams[:20]:
+        want = [math.log10(next(kept[tuple(s[i - k : i])] for k in range(min(3, i), -1, -1) if tuple(s[i - k : i]) in kept)[x]) for i, x in enumerate(s)]
+        syms, place = np.array(s), np.arange(len(s))
+        got = tree.log_p(syms, [suffix_tree._contexts(syms, place, d + 1) for d in range(len(tree.levels))])
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_the_model_grows_with_the_corpus():
+    sizes = [n / suffix_tree.least_count(n) for n in (10**6, 10**8, 10**10, 10**12)]
+    assert all(b > 2 * a for a, b in zip(sizes, sizes[1:]))
