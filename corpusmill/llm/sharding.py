@@ -1,11 +1,16 @@
 """Best-fit decreasing: indivisible groups of equal texts go to the shard with the tightest room that holds them.
 
-Room is kept in a balanced tree (a treap over (room, shard)), whose successor search finds the tightest shard. It runs at two levels, so that
-neither the driver nor one task sees all groups: groups of at least ``1 / (n_shards * BIG_PARTS)`` of all bytes, of which there
+Room is kept in a balanced tree (a treap over (room, shard)), whose successor search finds the tightest shard. Neither the driver nor one task sees all groups.
+
+``capacity``: shards of a fixed capacity, as few as best-fit decreasing needs. Groups below ``1 / FINE_PARTS`` of the capacity are first joined by hash into lumps of
+about that size; lumps and larger groups are dealt by hash to tasks of about ``BUCKET_SHARDS`` shards, and each task opens a shard where no room is left. No shard exceeds the
+capacity, but that a group larger than it has a shard of its own.
+
+``n_shards``: that many shards of near equal size, law ``bytes``. Groups of at least ``1 / (n_shards * BIG_PARTS)`` of all bytes, of which there
 can be only ``n_shards * BIG_PARTS``, are placed first; all others are dealt by hash into buckets, and each bucket fills its share of the
 room that the large groups left. What fits nowhere enters the shard with the most room.
 
-Defined results: a null text counts as empty (size 16, checksum 0); equal texts always share a shard, so a group above the mean
+Defined results: a null text counts as empty (size 16, checksum 0); equal texts always share a shard, so with ``n_shards`` a group above the mean
 makes its shard larger than the rest; equal sizes go by the text's digest; repeated ``doc_id`` rows are separate rows; an empty table
 gives an empty result; other input columns are ignored.
 """
@@ -25,6 +30,9 @@ ROW_BYTES = 16
 #: Groups of at least this part of a shard are placed first, all together.
 BIG_PARTS = 64
 BUCKET_GROUPS = 20_000
+#: With a capacity: parts of a shard below which groups are joined to lumps, and shards that a task fills.
+FINE_PARTS = 128
+BUCKET_SHARDS = 64
 #: Rows of a shard numbered by one task.
 SLOT_ROWS = 500
 
@@ -59,8 +67,8 @@ class RoomTree:
         low, high = self._split(self.root, (room, shard))
         self.root = self._join(self._join(low, [(room, shard), self.random.random(), None, None]), high)
 
-    def take(self, need: int) -> tuple[int, int]:
-        """Removes and returns the tightest (room, shard) with ``room >= need``, else the one with the most room."""
+    def take(self, need: int, most: bool = True) -> tuple[int, int] | None:
+        """Removes and returns the tightest (room, shard) with ``room >= need``; else the one with the most room, or None if ``most`` is not wanted."""
         best, node = None, self.root
         while node is not None:
             if node[0][0] >= need:
@@ -68,6 +76,8 @@ class RoomTree:
             else:
                 node = node[3]
         if best is None:
+            if not most:
+                return None
             node = self.root
             while node[3] is not None:
                 node = node[3]
@@ -92,15 +102,45 @@ def best_fit(sizes: list[int], rooms: list[int]) -> list[int]:
     return out
 
 
-def shard_groups(groups: DataFrame, n_shards: int = N_SHARDS, capacity: int | None = None) -> DataFrame:
-    """``key, shard`` for ``groups`` (``key`` string, ``bytes`` bigint), which has been written.
+def best_fit_opening(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of every size, given in falling order; a bin is opened where none has room. Only a size above ``capacity`` overfills one, alone."""
+    tree, out, opened = RoomTree(), [], 0
+    for size in sizes:
+        found = tree.take(size, most=False)
+        if found is None:
+            found, opened = (capacity, opened), opened + 1
+        room, shard = found
+        out.append(shard)
+        tree.add(room - size, shard)
+    return out
+
+
+def shards_of_capacity(groups: DataFrame, capacity: int) -> DataFrame:
+    """``key, shard`` for ``groups`` (``key`` string, ``bytes`` bigint), which has been written: shards of at most ``capacity`` bytes, numbered from 0."""
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    fine = -(-capacity // FINE_PARTS)
+    lumps = max(1, -(-total // fine))
+    buckets = max(1, total // (BUCKET_SHARDS * capacity))
+    item = F.when(F.col("bytes") >= fine, F.col("key")).otherwise(F.concat(F.lit("lump "), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(lumps)).cast("string")))
+    named = groups.select("key", "bytes", item.alias("item"))
+    items = named.groupBy("item").agg(F.sum("bytes").alias("bytes")).withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(2)), F.lit(buckets)).cast("int"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", "item"], ascending=[False, True])
+        pdf["place"] = best_fit_opening(pdf["bytes"].tolist(), capacity)
+        return pdf[["item", "bucket", "place"]]
+
+    packed = written(items.groupBy("bucket").applyInPandas(fill, "item string, bucket int, place int"), "shard-items")
+    # A row a task: shards opened before it.
+    opened = packed.groupBy("bucket").agg((F.max("place") + 1).alias("n"))
+    before = opened.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    return named.join(packed.join(F.broadcast(before), "bucket"), "item").select("key", (F.col("before") + F.col("place")).cast("int").alias("shard"))
+
 
-    ``capacity`` None: as many shards as asked for, of near equal size. Otherwise as few shards of that capacity as the bytes need.
-    """
+def shard_groups(groups: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """``key, shard`` for ``groups`` (``key`` string, ``bytes`` bigint), which has been written: ``n_shards`` shards of near equal size."""
     spark = groups.sparkSession
     total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    if capacity is not None:
-        n_shards = max(1, -(-total // capacity))
     capacity = -(-total // n_shards)
     least_big = max(1, capacity // BIG_PARTS)
     # At most n_shards * (BIG_PARTS + 1) rows, as each holds that part of all bytes.
@@ -130,7 +170,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, capacity: int | N
         "shard-rows",
     )
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
-    homes = written(shard_groups(groups, n_shards, capacity), "shard-homes")
+    homes = written(shard_groups(groups, n_shards) if capacity is None else shards_of_capacity(groups, capacity), "shard-homes")
     # The place in the written rows tells repeated rows apart and spreads a large group over parts.
     parts = max(1, -(-rows.count() // (n_shards * SLOT_ROWS)))
     housed = written(
