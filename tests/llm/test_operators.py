@@ -100,10 +100,43 @@ def test_shards(edges, edge_rows, empty):
     assert sorted(r.size for r in rows) == sorted(len((r[1] or "").encode()) + 16 for r in edge_rows)
 
 
-def test_shards_by_capacity(spark):
-    docs = spark.createDataFrame([(i, "x" * (i * 7 % 50)) for i in range(200)], "doc_id bigint, text string")
-    rows = sharding.shard_documents(docs, capacity=1000).collect()
-    assert len({r.shard for r in rows}) == -(-sum(r.size for r in rows) // 1000)
+@pytest.mark.parametrize(("sizes", "capacity", "best"), [([984] * 10 + [584] * 10, 1100, 20), ([*range(0, 400, 2)] * 2, 1000, None), ([50] * 30 + [5000], 2000, None)])
+def test_no_shard_exceeds_its_capacity(spark, sizes, capacity, best):
+    docs = spark.createDataFrame([(i, f"{i:04d}" + "x" * max(0, n - 4)) for i, n in enumerate(sizes)], "doc_id bigint, text string")
+    rows = sharding.shard_documents(docs, capacity=capacity).collect()
+    bytes_, texts = Counter(), Counter()
+    for r in rows:
+        bytes_[r.shard] += r.size
+        texts[r.shard] += 1
+    assert len(rows) == len(sizes) and all(b <= capacity or texts[s] == 1 for s, b in bytes_.items())
+    assert sorted(bytes_) == list(range(len(bytes_)))
+    # Best-fit decreasing needs at most 11/9 of the least number of bins, which the bytes bound from below.
+    assert len(bytes_) == best if best else len(bytes_) <= 11 / 9 * -(-sum(bytes_.values()) // capacity) + 2
+
+
+def test_best_fit_opens_like_a_plain_search():
+    rng = np.random.default_rng(12)
+    sizes, rooms, want = sorted(rng.integers(1, 100, 300).tolist(), reverse=True), [], []
+    for n in sizes:
+        fits = [(r, b) for b, r in enumerate(rooms) if r >= n]
+        b = min(fits)[1] if fits else len(rooms)
+        if not fits:
+            rooms.append(100)
+        rooms[b] -= n
+        want.append(b)
+    assert sharding.best_fit_opening(sizes, 100) == want
+
+
+def test_shards_are_balanced_and_checksums_right(spark):
+    rng = np.random.default_rng(13)
+    texts = ["wörd " * int(n) for n in rng.integers(0, 300, 2000)] + ["same"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sharding.shard_documents(docs, n_shards=8).collect()
+    assert {(r.doc_id, r.text_crc32, r.size) for r in rows} == {(i, zlib.crc32(t.encode()), len(t.encode()) + 16) for i, t in enumerate(texts)}
+    sums = Counter()
+    for r in rows:
+        sums[r.shard] += r.size
+    assert len(sums) == 8 and max(sums.values()) - min(sums.values()) < 0.02 * max(sums.values())
 
 
 # ---- 4, 10: encoding and packing
@@ -176,6 +209,24 @@ def test_preference_prompt_is_the_common_prefix(spark):
     assert chat.preference_segments(*chat.swapped_answers(none)).count() == 0
 
 
+def test_preference_records_pair_and_mask(spark):
+    rows = [(1, "prompt", 0, "user", "<q>", False), (1, "chosen", 1, "user", "u\u00e9", False), (1, "chosen", 2, "assistant", "good", True), (1, "chosen", 3, "assistant", "more", True), (1, "rejected", 1, "assistant", "bad", True)]
+    segments = spark.createDataFrame(rows, "pair_id bigint, side string, turn bigint, role string, segment string, trained boolean")
+    whole = chat.preference_records(segments).collect()
+    assert [tuple(r) for r in whole] == [(1, 0, "<q>", "u\u00e9goodmore", "bad", "2:6,6:10", "0:3")]
+    parts = sorted(chat.preference_records(segments, 6).collect(), key=lambda r: r.part)
+    assert len(parts) > 1 and ["".join(getattr(r, c) for r in parts) for c in ("prompt", "chosen", "rejected")] == ["<q>", "u\u00e9goodmore", "bad"]
+
+
+def test_every_conversation_with_an_answer_has_a_pair(spark, edges):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}" if t % 2 else "x" * (9000 if c == 3 else 1)) for c in range(30) for t in range(c % 5 + 1)]
+    rows += [(50, 0, "user", "q"), (50, 1, "assistant", "text 1 1"), (51, 0, "user", None)]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "c bigint, turn bigint, role string, text string, m string")
+    records = chat.preference_records(chat.preference_segments(*chat.swapped_answers(chat.turns_of(turns, "c")))).collect()
+    assert {r.pair_id for r in records} == {c for c, t, role, _ in rows if role == "assistant"}
+    assert all(r.chosen != r.rejected and r.rejected_trained and r.chosen_trained for r in records)
+
+
 # ---- 6: Jaccard join
 
 
