@@ -23,7 +23,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +158,9 @@ def randomised_svd(passages: DataFrame, terms: dict[str, int], idf: np.ndarray,
             starts = range(0, len(total), TERM_BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int32()), pa.array([total[s : s + TERM_BLOCK].astype("<f4").tobytes() for s in starts], pa.binary())], names=["at", "part"])
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        def add(pdf):
+            import pandas as pd
+
             out = sum(np.frombuffer(x, "<f4") for x in pdf["part"])
             return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [out.tobytes()]})
 

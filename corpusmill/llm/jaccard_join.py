@@ -15,8 +15,8 @@ Defined results: a text without words has ``n_shingles`` 0 and links with nothin
 
 from __future__ import annotations
 
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ _LEVEL = 1 << 8
 #: Nodes of a long run that one group compares.
 BLOCK_NODES = 1_000
 #: Keys that a task gathers before it looks for long runs among them (24 bytes each).
-KEYS_HELD = 500_000
+KEYS_HELD = 150_000
 
 
 def band_starts(top: int = 1 << 31) -> np.ndarray:
@@ -390,7 +390,9 @@ def _across(rows: DataFrame, reps: DataFrame) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
     dealt = placed.withColumn("g", F.explode(meets)).select("sig", "g.lo", "g.hi", "block", "node", "comp").join(reps.select("node", "n", "sketch"), "node")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf):
+        import pandas as pd
+
         n, comp, node = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["node"].to_numpy()
         least = min(map(len, pdf["sketch"]))
         bits = np.zeros((len(pdf), least // 8), np.uint64)

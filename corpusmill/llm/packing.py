@@ -13,7 +13,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ from corpusmill.llm.tokens import encoder, small_batches
 from corpusmill.sources.tables import table, written
 
 SEQUENCE = 2048
+#: Bytes of chunks that a task remembers here, where other stages have filled their executors before.
+CACHE_BYTES = 24 << 20
 GROUP_PIECES = 8192
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -54,7 +55,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capac
     small_batches(docs.sparkSession)
 
     def cut(batches):
-        with encoder(tokenizer, keeps_blanks) as enc:
+        with encoder(tokenizer, keeps_blanks, CACHE_BYTES) as enc:
             for batch in batches:
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
@@ -73,7 +74,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int = GROUP_
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
-    def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(pdf):
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         bins, offsets = first_fit(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = pdf["group"] * (1 << 32) + bins, offsets

@@ -66,6 +66,7 @@ class Encoder:
         self.pattern = _KEEPS_BLANKS if keeps_blanks else _DROPS_BLANKS
         self.keeps_blanks = keeps_blanks
         self.unsure = _SPECIAL + _UNSURE if keeps_blanks else _SPECIAL
+        self.cache_bytes = CACHE_BYTES
         self._forget()
 
     def verify(self) -> None:
@@ -84,7 +85,7 @@ class Encoder:
         new = list(set(units).difference(self.known))
         if not new:
             return
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self._forget()
             new = list(set(units))
         # A run of Latin letters is one word to the tokenizer: its model takes it straight.
@@ -155,7 +156,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str, keeps_blanks: bool):
+def encoder(path: str, keeps_blanks: bool, cache_bytes: int = CACHE_BYTES):
     """This worker's encoder for the length of a task; the tokenizer stays, what was remembered goes.
 
     The first use in a worker holds the chunk rules against the library's own ids and fails if a file doesn't follow them.
@@ -165,6 +166,7 @@ def encoder(path: str, keeps_blanks: bool):
         made.verify()
         _encoders[path, keeps_blanks] = made
     mine = _encoders[path, keeps_blanks]
+    mine.cache_bytes = cache_bytes
     try:
         yield mine
     finally:
