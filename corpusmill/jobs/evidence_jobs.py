@@ -25,7 +25,7 @@ def _runs(t: str) -> str:
     return w
 
 
-@jobs.query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {_norm('text')} AS d FROM documents) JOIN (SELECT item_id, {_norm('text')} AS p FROM benchmark) ON contains(d, p)")
+@jobs.query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {_norm('text')} AS d FROM documents) JOIN (SELECT item_id, {_norm('text')} AS p FROM benchmark) ON p <> '' AND contains(d, p)")
 def benchmark_quotes(spark, sf_dir):
     """Documents that contain a benchmark passage."""
     return grounding.contained_passages(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
@@ -50,11 +50,30 @@ def trigram_trace(spark, sf_dir):
     return scored.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.count_if(s >= 0.6).alias("n_traced"), F.count_if(s < 0.3).alias("n_weak"), F.round(F.avg(s), 6).alias("score"))
 
 
-@jobs.query()
+_STOP = ", ".join(f"'{w}'" for w in grounding.CONTEXT_STOP)
+_NUMBER = "[0-9]+(?:\\.[0-9]+)?"
+
+
+@jobs.query(
+    f"""
+WITH s AS (SELECT doc_id, source, unnest(range(len(s))) AS n, unnest(s) AS x FROM (SELECT doc_id, source, {_SENT} AS s FROM documents)),
+f AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(x, 'https?://\\S+', ' ', 'g'), '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda y: replace(y, ',', '')), lambda y: len(regexp_replace(y, '[^0-9]', '', 'g')) > 1)) AS nums,
+             list_filter(list_distinct(regexp_extract_all({_norm("x")}, '[a-z][a-z-]{{3,}}')), lambda y: y NOT IN ({_STOP})) AS ctx FROM s),
+a AS (SELECT doc_id, source, n, ctx, unnest(nums) AS number FROM f WHERE len(nums) > 0),
+g AS (SELECT *, number::DOUBLE AS v, 0.5 * pow(10.0, -len(regexp_extract(number, '\\.([0-9]+)$', 1))) AS tol FROM a),
+t AS (SELECT doc_id AS src, source, regexp_replace({_norm("text")}, '([0-9]),([0-9])', '\\1\\2', 'g') AS t FROM documents),
+p AS (SELECT src, source, t, regexp_extract_all(t, '{_NUMBER}') AS m, string_split_regex(t, '{_NUMBER}') AS gap FROM t),
+o AS (SELECT src, source, t, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS m, unnest(gap[1:len(m)]) AS gap FROM p WHERE len(m) > 0),
+c AS (SELECT src, source, m::DOUBLE AS mv, t, sum(len(gap) + len(m)) OVER (PARTITION BY src ORDER BY k) - len(m) AS pos FROM o),
+w AS (SELECT src, source, mv, substr(t, greatest(0, pos - 250)::BIGINT + 1, (pos + 250 - greatest(0, pos - 250))::BIGINT) AS near FROM c),
+h AS (SELECT g.doc_id, g.n, g.number, coalesce(bool_or(w.src <> g.doc_id AND len(list_filter(ctx, lambda y: contains(near, y))) >= CASE WHEN len(ctx) < 3 THEN 1 ELSE 2 END), FALSE) AS held
+      FROM g LEFT JOIN w ON w.source = g.source AND abs(w.mv - g.v) <= g.tol GROUP BY g.doc_id, g.n, g.number)
+SELECT doc_id, count(*) AS numbers, count_if(held)::BIGINT AS held FROM h GROUP BY doc_id"""
+)
 def number_in_context(spark, sf_dir):
-    """Numbers of each document that a document of its source holds in context."""
+    """Numbers of each document that another document of its source holds in context."""
     docs = table(spark, sf_dir, "documents")
-    held = grounding.numbers_held(docs, "doc_id", docs, ["source"])
+    held = grounding.numbers_held(docs, "doc_id", docs, ["source"], source_id="doc_id")
     return held.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.count_if("held").alias("held"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import normalised, sentences, word_runs
+from corpusmill.sources.tables import written
 
-ANCHOR = 5
+#: Characters of a passage by which a document is searched for it, and of all such keys that one scan holds.
+KEY_CHARS = 40
+SCAN_CHARS = 2_000_000
 # Words that give a number no context.
 CONTEXT_STOP = (
     "the and for that with this from are was were been have has not but can will may must which their there these those into than then when what where who how all any each other such only "
@@ -16,17 +20,52 @@ CONTEXT_STOP = (
 
 
 def contained_passages(texts: DataFrame, text_id: str, passages: DataFrame, passage_id: str) -> DataFrame:
-    """Pairs in which a passage's normalised text lies in a document's.
+    """Pairs in which a passage's normalised text lies in a document's, wherever it starts and ends, and however short it is.
 
-    Candidates share the passage's first words as a run; each is then checked by containment. Passages of fewer words than a run are left out.
+    Every document is searched once for the middle ``KEY_CHARS`` characters of all passages by one automaton; where a key is found, its passages are looked for whole.
+    Keys go to tasks in blocks of ``SCAN_CHARS`` characters, each of which is a scan of the documents. Passages without a character, and null texts, match nothing.
     """
-    p = passages.select(passage_id, normalised(F.col("text")).alias("p")).withColumn("anchor", F.array_join(F.slice(F.split("p", " "), 1, ANCHOR), " ")).where(F.size(F.split("p", " ")) >= ANCHOR)
-    d = texts.select(text_id, normalised(F.coalesce("text", F.lit(""))).alias("d"))
-    words = F.split("d", " ")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (ANCHOR - 1))), lambda i: F.array_join(F.slice("w", i, F.lit(ANCHOR)), " ")))
-    keyed = d.withColumn("w", words).select(text_id, F.explode(runs).alias("anchor"))
-    hits = keyed.join(p.select(passage_id, "anchor"), "anchor").select(text_id, passage_id).distinct()
-    return hits.join(p.select(passage_id, "p"), passage_id).join(d, text_id).where(F.contains("d", "p")).select(text_id, passage_id)
+    spark = texts.sparkSession
+    p = passages.select(F.col(passage_id).alias("p_id"), normalised(F.col("text")).alias("p")).where(F.length("p") > 0)
+    key = F.substring("p", F.greatest(F.lit(1), F.floor((F.length("p") - KEY_CHARS) / 2).cast("int") + 1), F.lit(KEY_CHARS))
+    p = written(p.withColumn("key", key), "passages")
+    chars = p.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // SCAN_CHARS))
+    d = texts.select(F.col(text_id).alias("t_id"), normalised(F.col("text")).alias("d"))
+    schema = f"t_id {dict(texts.dtypes)[text_id]}, p_id {dict(passages.dtypes)[passage_id]}"
+    out = None
+    for block in range(blocks):
+        rows = p.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "p_id", "p").toArrow()
+        by_key: dict[str, list] = {}
+        for k, i, text in zip(*[rows[c].to_pylist() for c in ("key", "p_id", "p")]):
+            by_key.setdefault(k, []).append((i, text))
+        found = d.mapInArrow(_finder(spark.sparkContext.broadcast(by_key)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("t_id").alias(text_id), F.col("p_id").alias(passage_id))
+
+
+def _finder(shared):
+    """A task that finds passages by their keys."""
+
+    def run(batches):
+        import ahocorasick
+
+        keys = ahocorasick.Automaton()
+        for k, held in shared.value.items():
+            keys.add_word(k, held)
+        if len(keys):
+            keys.make_automaton()
+        for batch in batches:
+            at, ids = [], []
+            for row, text in enumerate(batch.column("d").to_pylist()):
+                hits = {id(held): held for _, held in keys.iter(text)} if text and len(keys) else {}
+                mine = [i for held in hits.values() for i, passage in held if passage in text]
+                at += [row] * len(mine)
+                ids += mine
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column("t_id").take(pa.array(at, pa.int64())), pa.array(ids)], names=["t_id", "p_id"])
+
+    return run
 
 
 def quote_found(source, quote):
@@ -65,20 +104,27 @@ def context_words(sentence):
     return F.array_except(F.array_distinct(F.regexp_extract_all(normalised(sentence), F.lit("[a-z][a-z-]{3,}"), F.lit(0))), F.array(*map(F.lit, CONTEXT_STOP)))
 
 
-def numbers_held(answers: DataFrame, answer_id: str, sources: DataFrame, by: list[str], window: int = 250) -> DataFrame:
-    """``held`` of each number of an answer: a source with the same ``by`` has it to the answer's last decimal, within ``window`` characters of two of the sentence's words.
+def numbers_held(answers: DataFrame, answer_id: str, sources: DataFrame, by: list[str], window: int = 250, source_id: str | None = None) -> DataFrame:
+    """``held`` of each number of an answer: a source with the same ``by`` has it to the answer's last decimal, with enough of the sentence's words within ``window`` characters.
 
-    Values meet by ``by`` and in buckets of whole numbers, the neighbours included, so the range condition is an equality join first.
+    ``source_id`` names a column of ``sources``; a source whose id is the answer's doesn't count. The context of a number reaches ``window`` characters back from where it starts and as many on,
+    past other numbers. Values meet by ``by`` and in buckets of whole numbers, the neighbours included, so the range condition is an equality join first; sources that say the same in the same words count once.
     """
-    given = numbers(answers, answer_id, *by).withColumns({"ctx": context_words(F.col("sentence")), "tol": F.pow(F.lit(10.0), -F.col("decimals")) * 0.5})
+    names = [f"by_{i}" for i in range(len(by))]
+    keys = [F.col(f"`{c}`").alias(n) for c, n in zip(by, names)]
+    given = numbers(answers.select(F.col(answer_id).alias("a_id"), *keys, "text"), "a_id", *names)
+    given = given.withColumns({"ctx": context_words(F.col("sentence")), "tol": F.pow(F.lit(10.0), -F.col("decimals")) * 0.5}).drop("sentence")
+    given = given.withColumn("bucket", F.explode(F.array(*[F.floor("value") + i for i in (-1, 0, 1)])))
     text = F.regexp_replace(normalised(F.coalesce("text", F.lit(""))), "([0-9]),([0-9])", "$1$2")
-    src = sources.select(*by, text.alias("t"))
-    found = F.regexp_extract_all("t", F.lit("[0-9]+(?:\\.[0-9]+)?"), F.lit(0))
-    gaps = F.split("t", "[0-9]+(?:\\.[0-9]+)?", -1)
-    hits = src.select(*by, F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, 2, F.greatest(F.lit(1), F.size(found))).alias("after"), F.slice(gaps, 1, F.greatest(F.lit(1), F.size(found))).alias("before"))).alias("k", "z"))
-    near = hits.where("z.m IS NOT NULL").select(*by, F.col("z.m").cast("double").alias("m"), F.concat(F.right("z.before", F.lit(window)), F.col("z.m"), F.left("z.after", F.lit(window))).alias("near"))
-    near = near.withColumn("bucket", F.explode(F.array(*[F.floor("m") + i for i in (-1, 0, 1)])))
-    pairs = given.withColumn("bucket", F.floor("value")).join(near, [*by, "bucket"], "left")
+    # What stands before a number (all of it, or the last characters), what starts with it, and the number itself.
+    pattern = F.lit(f"(?s)(?<=(^.{{0,{window - 1}}}|.{{{window}}}))(?=(.{{0,{window}}}))([0-9]+(?:\\.[0-9]+)?)")
+    part = lambda i: F.regexp_extract_all("t", pattern, F.lit(i))
+    src = sources.select(*keys, (F.col(source_id) if source_id else F.lit(None).cast("bigint")).alias("s_id"), text.alias("t")).where(F.col("t").rlike("[0-9]"))
+    hits = src.select(*names, "s_id", F.explode(F.arrays_zip(part(1).alias("before"), part(2).alias("on"), part(3).alias("m"))).alias("z"))
+    near = hits.select(*names, "s_id", F.col("z.m").cast("double").alias("m"), F.concat("z.before", "z.on").alias("near")).distinct().withColumn("bucket", F.floor("m"))
+    pairs = given.join(near, [*names, "bucket"], "left")
     need = F.when(F.size("ctx") < 3, 1).otherwise(2)
-    ok = (F.abs(F.col("m") - F.col("value")) <= F.col("tol")) & (F.size(F.filter("ctx", lambda w: F.contains(F.col("near"), w))) >= need)
-    return pairs.groupBy(answer_id, "n", "number").agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("held"))
+    other = F.coalesce(F.col("s_id") != F.col("a_id"), F.lit(True)) if source_id else F.lit(True)
+    ok = other & (F.abs(F.col("m") - F.col("value")) <= F.col("tol")) & (F.size(F.filter("ctx", lambda w: F.contains(F.col("near"), w))) >= need)
+    held = pairs.groupBy("a_id", "n", "number").agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("held"))
+    return held.select(F.col("a_id").alias(answer_id), "n", "number", "held")

@@ -10,7 +10,7 @@ from corpusmill.functions.text import numbered_depth, one_line, tidy
 # Words that are never distinctive.
 STOP_WORDS = (
     "the and for that with this from are was were been being have has had not but can could will would may might must shall should which their there these those into than then when what where "
-    "who whom how all any each other such only also more most some very use uses used using one two its our your you they them his her him she about over under between both after before same "
+    "who whom how all any each other such only also more most some very use used using one two its our your you they them his her him she about over under between both after before same "
     "own out off per via does did done here just like make made many much new now see set way well yes get got let put say said see"
 ).split()
 EDGE_LINES = 2

@@ -116,3 +116,21 @@ def test_numbers_in_context(spark):
 def test_html():
     title, blocks = to_markdown("<title>T  x</title><nav>no</nav><h2>Head</h2><p>a <b>b</b></p><ul><li>one<li>two</ul><pre>x\n y</pre><table><tr><td>1</td><td>2</td></tr></table><script>z</script>")
     assert title == "T x" and blocks == ["## Head", "a b", "- one", "- two", "```\nx\n y\n```", "| 1 | 2 |"]
+
+
+def test_passages_are_found_wherever_they_start_and_end(spark):
+    long = "a passage of more than forty characters that lies in the middle of a text"
+    docs = spark.createDataFrame([(1, f"before {long} after"), (2, f"xx{long}yy"), (3, "over the toppled fence"), (4, None), (5, ""), (6, "the top"), (7, long[:-1])], "d bigint, text string")
+    items = spark.createDataFrame([(10, long), (11, "the top"), (12, "er"), (13, ""), (14, None), (15, long.upper()), (16, "absent")], "p bigint, text string")
+    got = sorted(tuple(r) for r in grounding.contained_passages(docs, "d", items, "p").collect())
+    assert got == sorted([(1, 10), (1, 15), (1, 12), (2, 10), (2, 12), (2, 15), (3, 11), (3, 12), (6, 11), (7, 12)])
+    assert grounding.contained_passages(docs.limit(0), "d", items, "p").count() == 0 and grounding.contained_passages(docs, "d", items.limit(0), "p").count() == 0
+
+
+def test_a_numbers_context_reaches_past_other_numbers(spark):
+    answers = spark.createDataFrame([(1, "s", "Annual revenue reached 5512 million."), (2, "s", "Annual revenue reached 777."), (3, "t", "Annual revenue reached 5512 million.")], "id bigint, k string, text string")
+    sources = spark.createDataFrame([(7, "s", "Annual revenue in 2020 was 5512 dollars."), (8, "s", "x" * 300 + " 777 " + "y" * 300 + " annual revenue")], "id bigint, k string, text string")
+    got = {(r.id, r.number): r.held for r in grounding.numbers_held(answers, "id", sources, ["k"]).collect()}
+    assert got == {(1, "5512"): True, (2, "777"): False, (3, "5512"): False}
+    own = grounding.numbers_held(answers, "id", answers, ["k"], source_id="id").collect()
+    assert not any(r.held for r in own)
