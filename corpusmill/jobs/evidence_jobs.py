@@ -81,17 +81,17 @@ def number_in_context(spark, sf_dir):
     f"""
 WITH g AS (SELECT DISTINCT conv_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT conv_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT conv_id, {_runs("text")} AS w FROM conversations WHERE role = 'user') WHERE len(w) >= 3)),
 a AS (SELECT conv_id, turn, {_runs("text")} AS w FROM conversations WHERE role = 'assistant'),
-e AS (SELECT conv_id, turn, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3))
-SELECT conv_id, turn, count(*) AS runs, count(g.g) AS traced, CASE WHEN count(g.g) / count(*) >= 0.6 THEN 'traced' WHEN count(g.g) / count(*) < 0.3 THEN 'weak' ELSE 'partly' END AS verdict
-FROM e LEFT JOIN g USING (conv_id, g) GROUP BY conv_id, turn"""
+e AS (SELECT conv_id, turn, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT conv_id, turn, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) ELSE [-9] END) AS i FROM a))
+SELECT e.conv_id, e.turn, count(e.g) AS runs, count(g.g) AS traced, CASE WHEN count(g.g) / greatest(1, count(e.g)) >= 0.6 THEN 'traced' WHEN count(g.g) / greatest(1, count(e.g)) < 0.3 THEN 'weak' ELSE 'partly' END AS verdict
+FROM e LEFT JOIN g ON g.conv_id = e.conv_id AND g.g = e.g GROUP BY e.conv_id, e.turn"""
 )
 def answer_verdict(spark, sf_dir):
-    """Answers held against what their own conversation's user said."""
+    """Answers held against what their own conversation's user said; one too short for a word run traces to nothing."""
     from corpusmill.functions.text import word_runs
 
     turns = table(spark, sf_dir, "conversations")
     said = turns.where("role = 'user'").select("conv_id", F.explode(word_runs(F.coalesce("text", F.lit("")))).alias("g")).distinct().withColumn("hit", F.lit(1))
-    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.explode(word_runs(F.coalesce("text", F.lit("")))).alias("g"))
-    sums = answers.join(said, ["conv_id", "g"], "left").groupBy("conv_id", "turn").agg(F.count("*").alias("runs"), F.count("hit").alias("traced"))
-    share = F.col("traced") / F.col("runs")
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.explode_outer(word_runs(F.coalesce("text", F.lit("")))).alias("g"))
+    sums = answers.join(said, ["conv_id", "g"], "left").groupBy("conv_id", "turn").agg(F.count("g").alias("runs"), F.count("hit").alias("traced"))
+    share = F.col("traced") / F.greatest(F.lit(1), "runs")
     return sums.withColumn("verdict", F.when(share >= 0.6, "traced").when(share < 0.3, "weak").otherwise("partly"))

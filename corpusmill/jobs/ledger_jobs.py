@@ -73,7 +73,14 @@ def run_budget(spark, sf_dir):
     return steps.groupBy("user_id").agg(F.count_if("ok").alias("done"), F.round(F.max(F.when(F.col("ok"), F.col("used"))), 4).alias("used"))
 
 
-@jobs.query()
+@jobs.query(
+    """
+WITH RECURSIVE w AS (SELECT user_id, event_id, epoch(ts)::BIGINT / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT / 1e6, event_id) AS r FROM events),
+b AS (SELECT user_id, event_id, r, t, t AS begun, 39.0::DOUBLE AS tokens FROM w WHERE r = 1
+      UNION ALL SELECT user_id, event_id, r, t, CASE WHEN have < 1 THEN base + (1 - have) / 3.5 ELSE base END, CASE WHEN have < 1 THEN 0.0 ELSE have - 1 END
+      FROM (SELECT w.user_id, w.event_id, w.r, w.t, greatest(w.t, b.begun) AS base, least(40.0, b.tokens + (greatest(w.t, b.begun) - b.begun) * 3.5)::DOUBLE AS have FROM b JOIN w ON w.user_id = b.user_id AND w.r = b.r + 1))
+SELECT user_id, event_id, round(t, 3) AS "at", round(begun, 3) AS "start" FROM b"""
+)
 def token_bucket(spark, sf_dir):
     """When each user's paced writes start; a millionth of the events' time, so that writes do wait."""
     writes = table(spark, sf_dir, "events").select("user_id", "event_id", (_seconds() / 1e6).alias("at"))
@@ -118,19 +125,23 @@ def sealed_roundtrip(spark, sf_dir):
     return docs.withColumn("sealed", sealed).select("doc_id", F.octet_length("sealed").cast("bigint").alias("sealed_bytes"), (opened == F.col("text")).alias("opened"))
 
 
-@jobs.query()
+@jobs.query(
+    """
+WITH RECURSIVE l AS (SELECT p_brand AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, sha256(unhex('00' || hex(encode(p_name)))) AS h FROM part),
+t AS (SELECT 0 AS lvl, k, pos, h FROM l UNION ALL
+      SELECT lvl + 1, k, pos // 2, CASE WHEN count(*) = 2 THEN sha256(unhex('01' || min(h) FILTER (pos % 2 = 0) || min(h) FILTER (pos % 2 = 1))) ELSE min(h) END FROM t WHERE lvl < 20 GROUP BY lvl, k, pos // 2)
+SELECT t.k AS p_brand, t.h AS root, n.n AS entries, n.n AS ok FROM t JOIN (SELECT k, count(*) AS n FROM l GROUP BY k) n ON n.k = t.k WHERE lvl = 20"""
+)
 def log_inclusion(spark, sf_dir):
-    """Each brand's parts as a log: whether every part's inclusion proof leads to the brand's root."""
-    import pandas as pd
-
-    from corpusmill.functions import proofs
+    """Each brand's parts as a log: whether every part's audit path leads to the brand's root."""
+    from pyspark.sql import Window
 
-    def prove(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p_partkey", ignore_index=True)
-        leaves = [proofs.leaf(x.encode()) for x in pdf["p_name"]]
-        return pd.DataFrame({"p_brand": pdf["p_brand"], "p_partkey": pdf["p_partkey"], "entry": [x.encode() for x in pdf["p_name"]], "i": range(len(pdf)), "size": len(pdf), "path": [proofs.inclusion_path(leaves, i) for i in range(len(pdf))], "root": proofs.tree_root(leaves)})
+    from corpusmill.operators import manifest as M
+    from corpusmill.sources.tables import written
 
-    schema = "p_brand string, p_partkey bigint, entry binary, i bigint, size bigint, path array<binary>, root binary"
-    proven = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name").groupBy("p_brand").applyInPandas(prove, schema)
-    checked = proven.select("p_brand", "p_partkey", proofs.included_column("entry", "i", "size", "path", "root").alias("ok"))
-    return checked.groupBy("p_brand").agg(F.count("*").alias("entries"), F.count_if("ok").alias("ok"))
+    entry = F.sha2(F.unhex(F.concat(F.lit("00"), F.hex(F.encode("p_name", "UTF-8")))), 256)
+    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    leaves = written(table(spark, sf_dir, "part").select("p_brand", pos.cast("bigint").alias("pos"), entry.alias("hash")), "log-leaves")
+    proven = M.audit_paths(written(M.log_levels(leaves, "p_brand"), "log-nodes"), "p_brand")
+    checked = proven.select("p_brand", "root", (M.path_root(F.col("hash"), F.col("path")) == F.col("root")).alias("ok"))
+    return checked.groupBy("p_brand", "root").agg(F.count("*").alias("entries"), F.count_if("ok").alias("ok"))

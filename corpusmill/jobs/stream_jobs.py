@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.jobs.registry import Registry
 from corpusmill.operators.ledger import first_rows
 from corpusmill.sources.tables import table
-from corpusmill.streaming.follow import monotonic, read_stream, run_to_end
+from corpusmill.streaming.follow import monotonic, read_stream, run_batches, run_to_end
 
 jobs = Registry()
 
@@ -27,11 +27,9 @@ def stream_follow(spark, sf_dir):
 @jobs.query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 6")
 def stream_tail(spark, sf_dir):
     """The six newest of every channel, from a stream: each batch's newest are kept, and the newest of those count."""
-    batches = _events(spark, sf_dir).select("event_type", "ts", "event_id")
-    newest = batches.groupBy("event_type", F.window(F.to_timestamp("ts"), "1 day").alias("w")).agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id")), asc=False), 1, 6).alias("top"))
-    kept = run_to_end(newest, "update").withColumn("w", F.col("w.start")).groupBy("event_type", "w").agg(F.max_by("top", "batch").alias("top"))
-    rows = kept.select("event_type", F.explode("top").alias("t")).select("event_type", "t.ts", "t.event_id")
-    return first_rows(rows, ["event_type"], 6, F.desc("ts"), F.desc("event_id")).select("event_type", "event_id")
+    newest = lambda df: first_rows(df, ["event_type"], 6, F.desc("ts"), F.desc("event_id")).select("event_type", "ts", "event_id")
+    kept = run_batches(_events(spark, sf_dir).select("event_type", "ts", "event_id"), newest)
+    return newest(kept).select("event_type", "event_id")
 
 
 @jobs.query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -129,12 +128,12 @@ FROM (SELECT doc_id, count(*) AS n_sections, sum(tokens)::BIGINT AS tokens FROM
 def document_index(spark, sf_dir):
     """One index row per document: sections, tokens, Merkle root over the section hashes and distinctive terms of its collection."""
     docs = table(spark, sf_dir, "documents")
-    parts = sections.sections(docs).select("doc_id", F.col("section_no").cast("bigint").alias("pos"), F.sha2("section", 256).alias("hash"), T.token_estimate(F.col("section")).alias("tokens"))
-    roots = manifest.merkle_roots(parts.select("doc_id", "pos", "hash"), "doc_id")
-    sizes = parts.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("tokens").alias("tokens"))
+    # Everything about a document's own sections is made in its row; only terms are shuffled.
+    packed = docs.select("doc_id", sections.pack(sections.line_pieces(T.tidy(F.coalesce("text", F.lit("")))), 2_000).alias("s")).where(F.size("s") > 0)
+    sizes = packed.select("doc_id", F.size("s").cast("bigint").alias("n_sections"), F.aggregate(F.transform("s", T.token_estimate), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"), manifest.merkle_fold(F.transform("s", lambda x: F.sha2(x, 256))).alias("root"))
     terms = sections.distinctive_terms(docs, "source", "doc_id", "text", 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
     named = terms.select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"))
-    return sizes.join(roots, "doc_id").join(named, "doc_id", "left").select("doc_id", "n_sections", "tokens", "root", F.coalesce("terms", F.lit("")).alias("terms"))
+    return sizes.join(named, "doc_id", "left").select("doc_id", "n_sections", "tokens", "root", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 @jobs.query(
@@ -166,9 +165,8 @@ def injection_scan(spark, sf_dir):
     sources = (("documents", F.col("doc_id")), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("benchmark", F.col("item_id")))
     parts = [table(spark, sf_dir, name).select(F.lit(name).alias("origin"), key.alias("id"), F.coalesce("text", F.lit("")).alias("text")) for name, key in sources]
     texts = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    lines = texts.select("origin", injection.hidden_count(F.col("text")).alias("hidden"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    first = F.when(F.col("n") == 0, F.col("hidden")).otherwise(F.lit(0))
-    return lines.groupBy("origin").agg(F.count("*").alias("lines"), F.count(injection.injection_class(F.col("line"))).alias("flagged"), F.sum(first).alias("hidden"))
+    each = texts.select("origin", (F.regexp_count("text", F.lit("\n")) + 1).alias("lines"), injection.flagged_lines(F.col("text")).alias("flagged"), injection.hidden_count(F.col("text")).alias("hidden"))
+    return each.groupBy("origin").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("lines", "flagged", "hidden")])
 
 
 @jobs.query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -284,10 +282,10 @@ def front_matter(spark, sf_dir):
 
 @jobs.query(
     """
-SELECT lang, count(*) AS n, string_agg(line, chr(10) ORDER BY doc_id) AS body FROM (SELECT lang, doc_id, 'doc ' || doc_id || ' ' || source || ' chars=' || n_chars AS line, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 50 GROUP BY lang"""
+SELECT lang, doc_id // 500 AS page, count(*) AS n, string_agg(line, chr(10) ORDER BY doc_id) AS body FROM (SELECT lang, doc_id, 'doc ' || doc_id || ' ' || source || ' chars=' || n_chars AS line FROM documents) GROUP BY lang, page"""
 )
 def agent_catalog(spark, sf_dir):
-    """The first fifty lines of each language, as one text."""
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit(" chars="), F.col("n_chars").cast("string")).alias("line"), first.alias("r")).where("r <= 50")
-    return lines.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    """Every document's line, a page for each language and 500 ids."""
+    line = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit(" chars="), F.col("n_chars").cast("string"))
+    lines = table(spark, sf_dir, "documents").select("lang", F.floor(F.col("doc_id") / 500).alias("page"), "doc_id", line.alias("line"))
+    return lines.groupBy("lang", "page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("body"))

@@ -30,11 +30,21 @@ def injection_class(line: Column) -> Column:
     return F.coalesce(*[F.when(line.rlike(_ascii_bounds(p)), F.lit(name)) for name, p in CLASSES])
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a line of a text can match a class at all: the classes as one pattern without word bounds, which finds whatever they find."""
+    return text.rlike("(?i)" + "|".join(f"(?:{p.replace(chr(92) + 'b', '')})" for _, p in CLASSES))
+
+
+def flagged_lines(text: Column) -> Column:
+    """Lines of a text that match a class; only a text that may hold one is cut into lines."""
+    return F.when(may_hold(text), F.size(F.filter(F.split(text, "\n"), lambda x: injection_class(x).isNotNull()))).otherwise(0)
+
+
 def hidden_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(HIDDEN)).cast("bigint")
 
 
 def injection_flags(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per flagged line: id, line number, class, the trimmed line cut to 160 characters."""
-    lines = texts.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("n", "line"))
+    lines = texts.where(may_hold(F.col(text_col))).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("n", "line"))
     return lines.withColumn("why", injection_class(F.col("line"))).where("why IS NOT NULL").select(id_col, F.col("n").cast("bigint").alias("line_no"), "why", F.left(F.trim("line"), F.lit(160)).alias("shown"))

@@ -40,6 +40,50 @@ def merkle_roots(leaves: DataFrame, key: str) -> DataFrame:
     return level.select(key, F.col("hash").alias("root"))
 
 
+def merkle_fold(hashes: Column) -> Column:
+    """The same root over an array of hex digests in one row, null if it is empty."""
+    n = F.size(hashes)
+    pair = lambda a, k: F.when(2 * k + 1 < F.size(a), F.sha2(F.unhex(F.concat(F.get(a, 2 * k), F.get(a, 2 * k + 1))), 256)).otherwise(F.get(a, 2 * k))
+    halve = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 2).cast("int")), lambda k: pair(a, k))
+    rounds = F.when(n > 1, F.sequence(F.lit(1), F.ceil(F.log2(n.cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.get(F.aggregate(rounds, hashes, lambda a, _: halve(a)), F.lit(0))
+
+
+def log_levels(leaves: DataFrame, key: str) -> DataFrame:
+    """``level, pos, hash`` of every node of each key's log tree (RFC 9162) over the leaf hashes ``pos, hash``: a round a level, as for roots; an odd last node moves up."""
+    longest = leaves.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] + 1
+    level = leaves.select(key, F.lit(0).alias("level"), "pos", "hash")
+    out, depth = level, 0
+    while longest > 1:
+        depth += 1
+        pair = F.array_sort(F.collect_list(F.struct("pos", "hash")))
+        joined = F.when(F.size("p") == 2, F.sha2(F.unhex(F.concat(F.lit("01"), F.col("p")[0]["hash"], F.get("p", F.lit(1))["hash"])), 256)).otherwise(F.col("p")[0]["hash"])
+        level = level.groupBy(key, F.floor(F.col("pos") / 2).alias("pos")).agg(pair.alias("p")).select(key, F.lit(depth).alias("level"), "pos", joined.alias("hash"))
+        out = out.unionByName(level)
+        longest = -(-longest // 2)
+    return out
+
+
+def audit_paths(nodes: DataFrame, key: str) -> DataFrame:
+    """``pos, hash, path, root`` of every leaf of ``nodes`` (as of ``log_levels``, written): ``path`` has (level, left, hash) of the siblings on the way up.
+
+    Every leaf asks for its siblings at all levels, which one join answers.
+    """
+    top = nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    ask = F.transform(F.sequence(F.lit(0), F.lit(max(0, top - 1))), lambda k: F.struct(k.alias("level"), F.floor(F.col("pos") / F.pow(F.lit(2.0), k)).cast("bigint").alias("own")))
+    leaves = nodes.where("level = 0").select(key, "pos", "hash")
+    asked = leaves.select(key, "pos", F.explode(ask).alias("a")).select(key, "pos", "a.level", (F.col("a.own") % 2 == 1).alias("left"), F.when(F.col("a.own") % 2 == 1, F.col("a.own") - 1).otherwise(F.col("a.own") + 1).alias("at"))
+    told = asked.join(nodes.select(key, "level", F.col("pos").alias("at"), F.col("hash").alias("sibling")), [key, "level", "at"])
+    paths = told.groupBy(key, "pos").agg(F.array_sort(F.collect_list(F.struct("level", "left", F.col("sibling").alias("hash")))).alias("path"))
+    roots = nodes.where(F.col("level") == top).select(key, F.col("hash").alias("root"))
+    return leaves.join(paths, [key, "pos"], "left").join(roots, key).withColumn("path", F.coalesce("path", F.array().cast("array<struct<level:int,left:boolean,hash:string>>")))
+
+
+def path_root(leaf: Column, path: Column) -> Column:
+    """The root that a leaf hash and its path lead to."""
+    return F.aggregate(path, leaf, lambda h, x: F.sha2(F.unhex(F.when(x["left"], F.concat(F.lit("01"), x["hash"], h)).otherwise(F.concat(F.lit("01"), h, x["hash"]))), 256))
+
+
 def chain_head(hashes: Column) -> Column:
     """Head of a hash chain over an ordered array of hex digests: p becomes H(p, h), from 32 zero bytes."""
     return F.aggregate(hashes, F.lit("00" * 32), lambda p, h: F.sha2(F.unhex(F.concat(p, h)), 256))

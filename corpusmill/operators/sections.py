@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import numbered_depth, one_line, tidy
+from corpusmill.functions.text import let, numbered_depth, one_line, tidy
 
 # Words that are never distinctive.
 STOP_WORDS = (
@@ -41,16 +41,20 @@ def pack(pieces: Column, limit: int) -> Column:
     A piece longer than ``limit`` is cut into hard slices first.
     """
     sliced = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(p) - 1) / limit)).cast("int")), lambda i: F.substring(p, i * limit + 1, F.lit(limit)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    folded = F.aggregate(
-        sliced,
-        start,
-        lambda a, p: F.when(
-            (F.length(a["open"]) + F.length(p) > limit) & (a["open"] != ""),
-            F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), p.alias("open")),
-        ).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], p).alias("open"))),
-    )
-    return F.when(folded["open"] != "", F.concat(folded["done"], F.array(folded["open"]))).otherwise(folded["done"])
+    none = F.array().cast("array<int>")
+
+    def starts(all_: Column) -> Column:
+        """Places of the pieces that open a section."""
+        begin = F.struct(F.lit(0).alias("open"), F.lit(0).alias("i"), none.alias("at"))
+
+        def add(a: Column, p: Column) -> Column:
+            new = (a["open"] == 0) | (a["open"] + F.length(p) > limit)
+            return F.struct(F.when(new, F.length(p)).otherwise(a["open"] + F.length(p)).alias("open"), (a["i"] + 1).alias("i"), F.when(new, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
+
+        return F.aggregate(all_, begin, add)["at"]
+
+    joined = lambda all_, at: F.transform(at, lambda s, k: F.array_join(F.slice(all_, s + 1, F.coalesce(F.get(at, k + 1), F.size(all_)) - s), ""))
+    return let(sliced, lambda all_: let(starts(all_), lambda at: joined(all_, at)))
 
 
 def line_pieces(text: Column) -> Column:

@@ -5,7 +5,7 @@ A stream reads files from a folder as they come; state lives in the checkpoint f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,16 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(out)
 
 
+def run_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``step`` makes of every batch of a stream, as a table. A batch that runs again replaces its own rows; no state is kept."""
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+    write = lambda df, batch: step(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def monotonic(stream: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """``ok`` of every head of a log: its size isn't below the largest seen before it. State per key is one number."""
 

@@ -92,3 +92,27 @@ def test_log_proofs(n, data):
     for k in range(len(link)):
         assert not proofs.consistent(m, n, old, root, [*link[:k], flip(link[k]), *link[k + 1 :]])
     assert not proofs.consistent(m, n, flip(old), root, link)
+
+
+def test_audit_paths_are_the_published_ones(spark):
+    from corpusmill.functions import proofs
+
+    names = [("a", i, f"entry {i}") for i in range(11)] + [("b", 0, "only")]
+    leaves = spark.createDataFrame([(k, i, proofs.leaf(x.encode()).hex()) for k, i, x in names], "k string, pos bigint, hash string")
+    proven = {(r.k, r.pos): r for r in M.audit_paths(M.log_levels(leaves, "k"), "k").withColumn("led", M.path_root(F.col("hash"), F.col("path"))).collect()}
+    for key in ("a", "b"):
+        own = [proofs.leaf(x.encode()) for k, _, x in names if k == key]
+        for i in range(len(own)):
+            r = proven[key, i]
+            assert r.root == proofs.tree_root(own).hex() == r.led
+            assert [x["hash"] for x in r.path] == [x.hex() for x in proofs.inclusion_path(own, i)]
+
+
+def test_a_root_in_one_row_is_the_root_by_rounds(spark):
+    import hashlib
+
+    rows = [(n, [hashlib.sha256(f"{n} {i}".encode()).hexdigest() for i in range(n)]) for n in range(0, 20)]
+    df = spark.createDataFrame(rows, "k int, h array<string>")
+    folded = {r.k: r.root for r in df.select("k", M.merkle_fold(F.col("h")).alias("root")).collect()}
+    rounds = {r.k: r.root for r in M.merkle_roots(df.select("k", F.posexplode("h").alias("pos", "hash")), "k").collect()}
+    assert folded.pop(0) is None and folded == rounds
