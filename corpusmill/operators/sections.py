@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let, numbered_depth, one_line, tidy
+from corpusmill.functions.text import clean_title, let, numbered_depth, one_line, tidy
 
 # Words that are never distinctive.
 STOP_WORDS = (
@@ -68,6 +68,111 @@ def sections(docs: DataFrame, limit: int = 2_000) -> DataFrame:
     return packed.select("doc_id", F.posexplode("s").alias("section_no", "section"))
 
 
+_FENCE = "^\\s*(```|~~~)"
+_ATX = "^(#{1,6})\\s+(.+?)\\s*#*\\s*$"
+_BLOCK = "struct<title:string,depth:int,text:string>"
+
+
+def underlined(lines: Column) -> Column:
+    """Lines in which titles with an underline of = or - have become marked headings; not in fences, lists, quotes, tables or leading front matter."""
+    closing = F.array_position(F.slice(F.transform(lines, lambda x: x.rlike("^---\\s*$")), 2, F.greatest(F.lit(1), F.size(lines))), True)
+    first = F.when(F.get(lines, F.lit(0)).rlike("^---\\s*$") & (closing > 0), closing).otherwise(F.lit(0)).cast("int")
+    begin = F.struct(F.lit(0).alias("i"), F.lit(False).alias("fence"), F.lit("").alias("before"), F.array().cast("array<int>").alias("at"))
+
+    def add(a: Column, x: Column) -> Column:
+        # The fence state and the line before; lines of the front matter count for neither.
+        fence = F.when((a["i"] > first) & a["before"].rlike(_FENCE), ~a["fence"]).otherwise(a["fence"])
+        plain = (F.trim(a["before"]) != "") & ~a["before"].rlike(_ATX) & ~a["before"].rlike("^\\s*([-*+>|]|[0-9]+\\.)\\s") & ~a["before"].rlike("^\\s")
+        hit = (a["i"] > first) & ~fence & x.rlike("^(=+|-{3,})\\s*$") & plain
+        return F.struct((a["i"] + 1).alias("i"), fence.alias("fence"), F.when(hit, F.lit("")).otherwise(x).alias("before"), F.when(hit, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
+
+    def changed(at: Column) -> Column:
+        mark = lambda i: F.when(F.get(lines, i + 1).startswith("="), F.lit("# ")).otherwise(F.lit("## "))
+        return F.transform(lines, lambda x, i: F.when(F.array_contains(at, i), F.lit("")).when(F.array_contains(at, i + 1), F.concat(mark(i), F.trim(x))).otherwise(x))
+
+    return let(F.aggregate(lines, begin, add)["at"], lambda at: F.when(F.size(at) > 0, changed(at)).otherwise(lines))
+
+
+def heading_blocks(md: Column, root: Column) -> Column:
+    """Blocks (title, depth, text) of a text, from heading to heading; a heading in a fence is text. What stands before the first is a block named ``root``, or goes to the first if it is blank."""
+    begin = F.struct(F.lit(0).alias("i"), F.lit(False).alias("fence"), F.array().cast("array<int>").alias("at"))
+
+    def add(a: Column, x: Column) -> Column:
+        fence = F.when(x.rlike(_FENCE), ~a["fence"]).otherwise(a["fence"])
+        return F.struct((a["i"] + 1).alias("i"), fence.alias("fence"), F.when(~fence & x.rlike(_ATX), F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
+
+    text = lambda lines, a, b: F.concat(F.array_join(F.slice(lines, a + 1, b - a), "\n"), F.lit("\n"))
+    real = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "\\[page [0-9]+\\]", ""), "\\s+", " ")) != ""
+
+    def cut(lines: Column, at: Column) -> Column:
+        head = F.coalesce(F.get(at, F.lit(0)), F.size(lines))
+        kept = (head > 0) & real(text(lines, F.lit(0), head))
+        lead = F.when(kept, F.array(F.struct(root.alias("title"), F.lit(0).alias("depth"), text(lines, F.lit(0), head).alias("text")))).otherwise(F.array().cast(f"array<{_BLOCK}>"))
+
+        def block(i: Column, k: Column) -> Column:
+            title = clean_title(F.regexp_extract(F.get(lines, i), _ATX, 2))
+            start = F.when((k == 0) & ~kept, F.lit(0)).otherwise(i)
+            return F.struct(F.when(title != "", title).otherwise(root).alias("title"), F.length(F.regexp_extract(F.get(lines, i), _ATX, 1)).alias("depth"), text(lines, start, F.coalesce(F.get(at, k + 1), F.size(lines))).alias("text"))
+
+        return F.concat(lead, F.transform(at, block))
+
+    return let(underlined(F.split(md, "\n")), lambda lines: let(F.aggregate(lines, begin, add)["at"], lambda at: cut(lines, at)))
+
+
+def chopped(block: Column, limit: int) -> Column:
+    """A block as parts of at most ``limit`` characters: paragraphs are packed, one above the limit is cut; parts are numbered in the title."""
+    paragraphs = F.filter(F.split(block["text"], "(?<=\n\n)"), lambda x: x != "")
+    parts = pack(paragraphs, limit)
+    label = lambda i, n: F.concat(block["title"], F.lit(" (part "), (i + 1).cast("string"), F.lit(" of "), n.cast("string"), F.lit(")"))
+    named = let(parts, lambda p: F.transform(p, lambda x, i: F.struct(label(i, F.size(p)).alias("title"), block["depth"].alias("depth"), x.alias("text"))))
+    return F.when(F.length(block["text"]) > limit, named).otherwise(F.array(block))
+
+
+def heading_sections(md: Column, root: Column, limit: int) -> Column:
+    """Sections of a text, arrays of blocks: packed in order, with a new one where the limit would be passed, or before a heading of depth 1 once half of it is filled."""
+    begin = F.struct(F.lit(0).alias("open"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
+
+    def add(a: Column, b: Column) -> Column:
+        size = F.length(b["text"])
+        new = (a["open"] == 0) | (a["open"] + size > limit) | ((a["open"] > limit * 0.5) & (b["depth"] == 1))
+        return F.struct(F.when(new, size).otherwise(a["open"] + size).alias("open"), (a["i"] + 1).alias("i"), F.when(new, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
+
+    pieces = F.flatten(F.transform(heading_blocks(md, root), lambda b: chopped(b, limit)))
+    grouped = lambda p, at: F.transform(at, lambda s, k: F.slice(p, s + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - s))
+    return let(pieces, lambda p: let(F.aggregate(p, begin, add)["at"], lambda at: grouped(p, at)))
+
+
+def described(sections_: Column, total: int) -> Column:
+    """``title, covers, text`` of every section of one text: the first block's title, and those of the others as far as a budget goes.
+
+    A section of one block tells how it begins. If all lists are longer than ``total`` together, each gets its share of that, 300 at least, and ends in how many more there are.
+    """
+    titles = lambda s: F.transform(F.slice(s, 2, F.greatest(F.lit(1), F.size(s))), lambda b: b["title"])
+    used = lambda s: F.length(F.array_join(titles(s), "; "))
+
+    def begins(s: Column) -> Column:
+        plain = F.regexp_replace(F.get(s, F.lit(0))["text"], "\\[page [0-9]+\\]", "")
+        b = F.left(one_line(F.concat(F.regexp_extract(plain, "(?s)^(.*?)(?m:^#+\\s[^\\n]*$)(.*)$", 1), F.regexp_extract(plain, "(?s)^(.*?)(?m:^#+\\s[^\\n]*$)(.*)$", 2), F.when(plain.rlike("(?m)^#+\\s[^\\n]*$"), "").otherwise(plain))), F.lit(110))
+        return F.when(b != "", F.concat(F.lit('begins "'), b, F.when(F.length(b) >= 110, "…").otherwise(""), F.lit('"'))).otherwise("")
+
+    def listed(s: Column, budget: Column) -> Column:
+        """Titles while they fit, the first always."""
+        begin = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+        def add(a: Column, c: Column) -> Column:
+            fits = a["on"] & ((a["t"] == "") | (F.length(a["t"]) + F.length(c) + 2 <= budget))
+            return F.struct(F.when(fits, F.concat(a["t"], F.when(a["t"] != "", "; ").otherwise(""), c)).otherwise(a["t"]).alias("t"), (a["n"] + fits.cast("int")).alias("n"), fits.alias("on"))
+
+        return let(F.aggregate(titles(s), begin, add), lambda r: F.when(r["n"] < F.size(s) - 1, F.concat(r["t"], F.lit("; +"), (F.size(s) - 1 - r["n"]).cast("string"), F.lit(" more"))).otherwise(r["t"]))
+
+    def rows(all_: Column, sum_: Column) -> Column:
+        budget = lambda s: F.when(sum_ > total, F.greatest(F.lit(300), F.floor(used(s) * total / sum_).cast("int"))).otherwise(F.lit(2147483647))
+        covers = lambda s: F.when(F.size(s) > 1, listed(s, budget(s))).otherwise(begins(s))
+        return F.transform(all_, lambda s: F.struct(F.get(s, F.lit(0))["title"].alias("title"), covers(s).alias("covers"), F.size(s).alias("blocks"), F.array_join(F.transform(s, lambda b: b["text"]), "").alias("text")))
+
+    return let(sections_, lambda all_: let(F.aggregate(F.transform(all_, used), F.lit(0), lambda a, x: a + x), lambda sum_: rows(all_, sum_)))
+
+
 def term_counts(sections_: DataFrame, collection: str, section: str, text: str) -> DataFrame:
     """``c`` and ``first`` (place of first use) of each distinct term of each section."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\[page [0-9]+\\]|https?://\\S+", " ")

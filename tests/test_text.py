@@ -134,3 +134,35 @@ def test_a_numbers_context_reaches_past_other_numbers(spark):
     assert got == {(1, "5512"): True, (2, "777"): False, (3, "5512"): False}
     own = grounding.numbers_held(answers, "id", answers, ["k"], source_id="id").collect()
     assert not any(r.held for r in own)
+
+
+def _blocks(spark, md):
+    row = spark.createDataFrame([(md,)], "md string").select(sections.heading_blocks(F.col("md"), F.lit("root")).alias("b")).first()
+    return [(b.title, b.depth, b.text) for b in row.b]
+
+
+def test_heading_blocks(spark):
+    assert _blocks(spark, "intro\n# One #\ntext\n```\n# no\n```\n## `Two` [x](u)\nend") == [("root", 0, "intro\n"), ("One", 1, "# One #\ntext\n```\n# no\n```\n"), ("Two x", 2, "## `Two` [x](u)\nend\n")]
+    assert _blocks(spark, "[page 1]\n\n# One\nx") == [("One", 1, "[page 1]\n\n# One\nx\n")]
+    assert _blocks(spark, "") == [] and _blocks(spark, "plain") == [("root", 0, "plain\n")]
+    assert [b[:2] for b in _blocks(spark, "Title\n=====\nx\nSub\n---\n- item\n---\n  in\n---\n```\nno\n===\n```\n===\ny")] == [("Title", 1), ("Sub", 2)]
+    assert [b[:2] for b in _blocks(spark, "---\nkey: v\n---\nTitle\n---\nx")] == [("root", 0), ("Title", 2)]
+
+
+def test_sections_break_at_top_headings_and_cut_long_blocks(spark):
+    body = lambda n: "y" * (n - 1) + "\n"
+    md = f"# A\n{body(50)}# B\n{body(30)}## C\n{body(10)}## D\n" + "p" * 60 + "\n\n" + "q" * 170 + "\n"
+    row = spark.createDataFrame([(md,)], "md string").select(sections.heading_sections(F.col("md"), F.lit("r"), 100).alias("s")).first().s
+    assert "".join(b.text for s in row for b in s) == md + "\n"
+    assert [[b.title for b in s] for s in row] == [["A"], ["B", "C"], ["D (part 1 of 3)"], ["D (part 2 of 3)"], ["D (part 3 of 3)"]]
+    assert all(sum(len(b.text) for b in s) <= 100 for s in row)
+
+
+def test_descriptions_keep_a_budget(spark):
+    md = "# Top\nx\n" + "".join(f"## Part {i:03d} of it\ny\n" for i in range(60))
+    cut = lambda total: spark.createDataFrame([(md,), ("one block only " * 20,)], "md string").select(sections.described(sections.heading_sections(F.col("md"), F.lit("r"), 10_000), total).alias("s")).collect()
+    whole, short = cut(100_000), cut(100)
+    assert whole[0].s[0].covers == "; ".join(f"Part {i:03d} of it" for i in range(60)) and whole[0].s[0].blocks == 61
+    names = short[0].s[0].covers.split("; ")
+    assert names[-1] == f"+{60 - len(names) + 1} more" and len("; ".join(names[:-1])) <= 300 < len("; ".join(names[:-1])) + 16
+    assert whole[1].s[0].covers == 'begins "' + ("one block only " * 20)[:110] + '…"' and whole[1].s[0].title == "r"
