@@ -169,6 +169,39 @@ def test_token_orc(spark, edges, edge_rows, empty, tmp_path):
     assert orc_tokens.token_digests(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_token_files_have_bloom_filters_and_row_indexes(spark, tmp_path):
+    import glob
+
+    docs = spark.createDataFrame([(2 * i, f"text number {i} of many") for i in range(6000)], "doc_id bigint, text string").repartition(2)
+    path = f"{tmp_path}/ids"
+    orc_tokens.write_token_orc(docs, f"file://{path}", WORDS)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups = 0
+    for file in glob.glob(f"{path}/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        flags = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        for i in range(len(flags)):
+            flags[i] = True
+        index = reader.rows().readRowIndex(0, flags, flags)
+        blooms, rows = index.getBloomFilterIndex()[1], index.getRowGroupIndex()[1]
+        assert blooms.getBloomFilterCount() == rows.getEntryCount() > 0
+        groups += rows.getEntryCount()
+    assert groups >= 6
+    # A filter on an id skips row groups: far fewer rows leave the scan than the files hold.
+    found = orc_tokens.read_token_orc(spark, f"file://{path}", [4000])
+    assert [r.doc_id for r in found.collect()] == [4000]
+    scan = next(m for m in _metrics(found._jdf.queryExecution().executedPlan()) if m is not None)
+    assert scan <= 1000
+
+
+def _metrics(plan):
+    """Rows that the leaves of a plan gave."""
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        m = leaves.apply(i).metrics().get("numOutputRows")
+        yield m.get().value() if m.isDefined() else None
+
+
 def test_first_fit_is_first_fit():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 2049, 300))[::-1]
@@ -185,6 +218,11 @@ def test_packing(edges, edge_rows, empty):
     rows = packing.packed_documents(edges, BYTES).collect()
     lib = Tokenizer.from_file(BYTES)
     assert sum(r.length for r in rows) == sum(len(lib.encode(e[1] or "", add_special_tokens=False).ids) + 1 for e in edge_rows)
+    want = Counter()
+    for doc_id, text, *_ in edge_rows:
+        ids = np.array(lib.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.update((doc_id, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)) for at in range(0, len(ids), 2048))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
     by_sequence = {}
     for r in rows:
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -273,6 +311,25 @@ def test_jaccard_components(spark, edge_rows, hot_run):
     assert got == plain_components(rows)
 
 
+def test_names_that_two_sets_share_are_replaced(spark, monkeypatch):
+    tokens = np.arange(5, dtype=np.uint64)
+    name = jaccard_join._digest(tokens, 0)
+    assert jaccard_join._node(tokens, {}) == name and jaccard_join._node(tokens, {name: 2}) == jaccard_join._digest(tokens, 2)
+    rows = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 6, 12)], "doc_id bigint, node bigint, check bigint")
+    monkeypatch.setattr(jaccard_join, "_nodes", lambda docs, clashes: docs.selectExpr("doc_id", f"CASE WHEN node = 5 AND {clashes[5]} = 2 THEN 100 + check ELSE node END AS node", "check"))
+    renamed, clashes = jaccard_join._named(rows, rows)
+    assert clashes == {5: 2} and {(r.doc_id, r.node) for r in renamed.collect()} == {(1, 110), (2, 111), (3, 6)}
+
+
+def test_one_row_of_each_component_stays(spark, empty):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (5, text, "c"), (5, "only here " * 4, "d"), (None, "", "e"), (7, None, "f"), (7, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node string").selectExpr("*", "1 AS `a.b`", "2 AS kept")
+    left = sorted(((r.doc_id, r.text, r.node) for r in jaccard_join.without_duplicates(df).collect()), key=str)
+    assert left == sorted([rows[0], *rows[4:]], key=str) and jaccard_join.without_duplicates(df).columns == df.columns
+    assert jaccard_join.without_duplicates(empty).count() == 0
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
@@ -330,6 +387,44 @@ def test_paraphrases_are_found_in_large_tables(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i, _ in items]
 
 
+def test_recall_against_all_pairs(spark):
+    """All windows of all documents against all items, without the gate."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, bench).collect()}
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in bench.collect()]
+    truth = set()
+    for d in docs.collect():
+        w = decontaminate.words_of(d.text)
+        for item_id, q in items:
+            answer, step = q[-(-3 * len(q) // 4) :], max(1, len(q) // 2)
+            for at in range(0, max(1, len(w) - step), step):
+                part = decontaminate.lcs_length(q, w[at : at + 2 * len(q)]) / len(q)
+                if part >= 0.8 or (part >= 0.6 and decontaminate.lcs_length(answer, w[at : at + 2 * len(q)]) / len(answer) >= 0.5):
+                    truth.add((d.doc_id, item_id))
+    assert truth and len(truth & found) >= 0.9 * len(truth)
+
+
+def test_decontamination_ties_repeats_and_clashes(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words, "c"), (1, words, "c"), (None, words, "c"), (2, f"{words} {words}", "c")], "doc_id bigint, text string, matches string").drop("matches").selectExpr("*", "1 AS item_id", "'x' AS lcs_part")
+    bench = spark.createDataFrame([(7, words, 1), (8, words, 1), (None, words, 1)], "item_id bigint, text string, doc_id int")
+    got = Counter((r.doc_id, r.item_id, r.lcs_part) for r in decontaminate.find_contaminated(docs, bench).collect())
+    assert got == Counter({(d, i, 1.0): n for d, n in ((1, 2), (None, 1), (2, 1)) for i in (7, 8, None)})
+
+
+def test_many_blocks_give_the_same_matches(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(3000)])
+    items = [(i, " ".join(rng.choice(words, 150 if i == 3 else 40))) for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 30)) + " " + items[i % 20][1]) for i in range(40)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted((r.doc_id, r.item_id, r.lcs_part) for r in decontaminate.find_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(decontaminate, "TERMS_HELD", 100)
+    assert sorted((r.doc_id, r.item_id, r.lcs_part) for r in decontaminate.find_contaminated(docs, bench).collect()) == one and len(one) == 40
+
+
 def test_lcs():
     assert decontaminate.lcs_length(list("abcbdab"), list("bdcaba")) == 4
 
@@ -374,6 +469,56 @@ def test_random_tokens_are_told_from_made_up_words(spark):
     assert sum(rows[i] for i in range(40)) >= 36 and sum(rows[i] for i in range(40, 80)) == 0
 
 
+def plain_battery(token):
+    """The same statistics in numpy, with the library's erfc."""
+    name, _, letters = next(a for a in secrets.ALPHABETS if re.search(a[1], token))
+    v, n, k = np.array([letters.index(c) + 1 for c in token], float), len(token), len(letters)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    counts = np.bincount(v.astype(int), minlength=k + 1)
+    uniform = ((counts**2).sum() * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = v > k / 2
+    n1, turns = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+    expected = 2 * n1 * (n - n1) / n + 1
+    runs = 9.0 if n1 in (0, n) else (turns - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1)))
+    d = v - v.mean()
+    serial = 9.0 if (d * d).sum() <= 1e-12 else ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)
+    place = [secrets.SYMBOLS.index(c) for c in token]
+    kind = [(p >= 26) + (p >= 52) + (p >= 62) for p in place]
+    share = sum(secrets.LETTERS)
+    cost = sum(-math.log2(secrets.LETTERS[p % 26] / share) if p < 52 else math.log2(10) if p < 62 else math.log2(len(secrets.SYMBOLS) - 62) for p in place)
+    cost += 2 + sum(-math.log2(0.85) if a == b else -math.log2(0.05) for a, b in zip(kind, kind[1:]))
+    return name, tail(uniform), 2 * tail(abs(runs)), 2 * tail(abs(serial)), cost - n * math.log2(k) - math.log2(len(secrets.ALPHABETS))
+
+
+def test_battery_is_the_plain_one(spark):
+    rng = np.random.default_rng(15)
+    tokens = ["".join(rng.choice(list(a), int(n))) for _, _, a in secrets.ALPHABETS for n in rng.integers(20, 90, 12)] + ["a1" * 15, "aaaaaaaaaaaaaaaaaaaaaaa1", "readAllBytesFromInputStream2", "src/main/java/some/Path-2"]
+    rows = secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "match string")).collect()
+    for r in rows:
+        name, *want = plain_battery(r.match)
+        assert r.alphabet == name and np.allclose([r.p_uniform, r.p_runs, r.p_serial, r.evidence], want, atol=2e-5), r.match
+
+
+def test_secrets_are_found_and_ordinary_tokens_left_alone(spark):
+    import base64
+
+    rng = np.random.default_rng(16)
+    pick = lambda a, n: "".join(rng.choice(list(a), n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    secret = [pick(a, n) for a in (letters + letters.upper() + "0123456789", letters.upper() + "234567", "0123456789ABCDEF", letters + "0123456789") for n in (24, 32, 40, 64) for _ in range(10)]
+    words = "read all bytes from input stream super admin permission table user account update internal error handler create default service request builder abstract message queue config value".split()
+    plain = []
+    for i in range(100):
+        w = [str(x) for x in rng.choice(words, int(rng.integers(4, 8)))]
+        plain += ["".join(x.title() for x in w) + str(i), "/".join(w) + f"/v{i}", "_".join(w).upper() + f"_{i}", "-".join(w) + f"-2024-01-{i}", base64.b64encode(" ".join(w).encode()).decode().rstrip("=")]
+    plain += ["readAllBytesFromInputStream2", "SuperAdminPermissionTable4"]
+    for repeats in (1, 20):
+        # Verdicts on either kind don't hang on how much of the other the corpus holds.
+        rows = [(i, f"see {t} there") for i, t in enumerate(secret)] + [(1000 + i, f"see {t} there") for i, t in enumerate(plain * repeats)]
+        found = {r.doc_id for r in secrets.secret_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).where("n_random > 0").collect()}
+        assert sum(i < 1000 for i in found) >= 0.95 * len(secret) and not [i for i in found if i >= 1000]
+
+
 # ---- 9: suffix tree
 
 

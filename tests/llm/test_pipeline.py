@@ -44,3 +44,29 @@ def test_stages(spark, folder):
     assert {1005, 1006} <= kept[-1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept[-1]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_decide_on_rows(spark, folder, name):
+    """Repeated and null ids, nulls in any column, extra columns with clashing names, and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    prose = " ".join(f"word{i}" for i in range(40))
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    bad = {"toxicity": "grubble " * 8, "near_duplicates": prose, "decontamination": leak, "secret_scan": "password: hunter2222", "packing": ""}[name]
+    rows = [(901, prose, "en"), (901, bad, None), (None, bad, "en"), (None, "short and clean", None), (902, None, "en"), (902, "", None)]
+    # The classifier learns from the stage's own documents.
+    learned = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 900").collect()] if name == "toxicity" else []
+    schema = "doc_id bigint, text string, lang string"
+    docs = spark.createDataFrame([(*r, *["x"] * 9) for r in rows + learned], schema + ", score string, rid string, node string, matches string, start string, row string, kept string, `a.b` string, sequence_id string")
+    got = stage(spark, docs, folder)
+    if name == "packing":
+        assert sorted(r.doc_id or -1 for r in got.collect()) == [-1, -1, 901, 901, 902, 902]
+    else:
+        left = sorted(((r.doc_id, r.text, r.lang) for r in got.where("doc_id IS NULL OR doc_id > 900").collect()), key=str)
+        if name == "near_duplicates":
+            # Of the three rows with one text, one with the smallest id stays.
+            assert len(left) == 4 and sum(x[1] == prose for x in left) == 1 and all(x[0] == 901 for x in left if x[1] == prose)
+        else:
+            assert left == sorted([r for r in rows if r[1] != bad], key=str)
+        assert got.columns == docs.columns
+    assert stage(spark, docs.limit(0), folder).count() == 0
