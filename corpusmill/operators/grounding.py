@@ -116,8 +116,8 @@ def numbers_held(answers: DataFrame, answer_id: str, sources: DataFrame, by: lis
     given = given.withColumns({"ctx": context_words(F.col("sentence")), "tol": F.pow(F.lit(10.0), -F.col("decimals")) * 0.5}).drop("sentence")
     given = given.withColumn("bucket", F.explode(F.array(*[F.floor("value") + i for i in (-1, 0, 1)])))
     text = F.regexp_replace(normalised(F.coalesce("text", F.lit(""))), "([0-9]),([0-9])", "$1$2")
-    # What stands before a number (all of it, or the last characters), what starts with it, and the number itself.
-    pattern = F.lit(f"(?s)(?<=(^.{{0,{window - 1}}}|.{{{window}}}))(?=(.{{0,{window}}}))([0-9]+(?:\\.[0-9]+)?)")
+    # Where a digit stands: what is before it (all of it, or the last characters), what starts with it, and the number itself.
+    pattern = F.lit(f"(?s)(?=[0-9])(?<=(^.{{0,{window - 1}}}|.{{{window}}}))(?=(.{{0,{window}}}))([0-9]+(?:\\.[0-9]+)?)")
     part = lambda i: F.regexp_extract_all("t", pattern, F.lit(i))
     src = sources.select(*keys, (F.col(source_id) if source_id else F.lit(None).cast("bigint")).alias("s_id"), text.alias("t")).where(F.col("t").rlike("[0-9]"))
     hits = src.select(*names, "s_id", F.explode(F.arrays_zip(part(1).alias("before"), part(2).alias("on"), part(3).alias("m"))).alias("z"))
