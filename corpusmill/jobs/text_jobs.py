@@ -94,21 +94,33 @@ def sections_pack(spark, sf_dir):
 
 
 # Short lines of the documents stand for headings, the shortest for those of depth 1.
-_MARKED = "regexp_replace(regexp_replace({t}, '(?m)^([^#\\n][^\\n]{{0,24}})$', '# \\1', 'g'), '(?m)^([^#\\n][^\\n]{{25,59}})$', '## \\1', 'g')"
+MARKED_SQL = "regexp_replace(regexp_replace({t}, '(?m)^([^#\\n][^\\n]{{0,24}})$', '# \\1', 'g'), '(?m)^([^#\\n][^\\n]{{25,59}})$', '## \\1', 'g')"
 
 
-@jobs.query(
-    f"""
-WITH RECURSIVE p AS (SELECT doc_id, source, {_MARKED.replace("{{", "{").replace("}}", "}").replace("{t}", _TIDY.replace("{t}", "coalesce(text, '')"))} AS md FROM documents),
+# Blocks of the documents by their headings, cut at {limit}: titles, texts and their order.
+PIECES_SQL = f"""
+p AS (SELECT doc_id, source, {MARKED_SQL.replace("{{", "{").replace("}}", "}").replace("{t}", _TIDY.replace("{t}", "coalesce(text, '')"))} AS md FROM documents),
 l AS (SELECT doc_id, source, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, source, string_split(md, chr(10)) AS x FROM p)),
 h AS (SELECT *, len(regexp_extract(line, '^(#{{1,6}})\\s+.+?\\s*#*\\s*$', 1)) AS depth FROM l),
 b AS (SELECT *, sum((depth > 0)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS blk FROM h),
 k AS (SELECT doc_id, blk, max(depth) AS depth, min(source) AS source, arg_min(line, n) AS head, string_agg(line || chr(10), '' ORDER BY n) AS t FROM b GROUP BY doc_id, blk),
-c AS (SELECT doc_id, blk, depth, t, CASE WHEN depth = 0 THEN source ELSE coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(head, '^#{{1,6}}\\s+(.+?)\\s*#*\\s*$', 1),
-        '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[¶*_`]', '', 'g'), '\\\\([\\\\`*_{{}}\\[\\]()#+\\-.!])', '\\1', 'g'), '\\s+', ' ', 'g')), 100), ''), source) END AS title
+c AS (SELECT doc_id, source, blk, depth, t, CASE WHEN depth = 0 THEN {{root}} ELSE coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(head, '^#{{1,6}}\\s+(.+?)\\s*#*\\s*$', 1),
+        '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[¶*_`]', '', 'g'), '\\\\([\\\\`*_{{}}\\[\\]()#+\\-.!])', '\\1', 'g'), '\\s+', ' ', 'g')), 100), ''), {{root}}) END AS title
       FROM k WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''),
-d AS (SELECT doc_id, blk, depth, title, t, (len(t) + 1999) // 2000 AS parts, unnest(range((len(t) + 1999) // 2000)) AS i FROM c),
-g AS (SELECT doc_id, depth, CASE WHEN parts > 1 THEN title || ' (part ' || (i + 1) || ' of ' || parts || ')' ELSE title END AS title, substr(t, i * 2000 + 1, 2000) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY blk, i) AS r FROM d),
+dd AS (SELECT doc_id, source, blk, depth, title, t, (len(t) + {{limit}} - 1) // {{limit}} AS parts, unnest(range((len(t) + {{limit}} - 1) // {{limit}})) AS i FROM c),
+g AS (SELECT doc_id, source, depth, CASE WHEN parts > 1 THEN title || ' (part ' || (i + 1) || ' of ' || parts || ')' ELSE title END AS title, substr(t, i * {{limit}} + 1, {{limit}}) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY blk, i) AS r FROM dd)"""
+
+
+def marked(md):
+    """Short lines as headings."""
+    for low, high, mark in ((0, 24, "#"), (25, 59, "##")):
+        md = F.regexp_replace(md, f"(?m)^([^#\n][^\n]{{{low},{high}}})$", f"{mark} $1")
+    return md
+
+
+@jobs.query(
+    f"""
+WITH RECURSIVE {PIECES_SQL.replace("{limit}", "2000").replace("{root}", "source")},
 w AS (SELECT doc_id, r, 0 AS sec, len(s) AS open FROM g WHERE r = 1
       UNION ALL SELECT w.doc_id, g.r, CASE WHEN open + len(g.s) > 2000 OR (open > 1000 AND g.depth = 1) THEN sec + 1 ELSE sec END, CASE WHEN open + len(g.s) > 2000 OR (open > 1000 AND g.depth = 1) THEN len(g.s) ELSE open + len(g.s) END
       FROM w JOIN g ON g.doc_id = w.doc_id AND g.r = w.r + 1),
@@ -124,9 +136,7 @@ SELECT doc_id, sec::BIGINT AS section_no, sha256(s) AS name, {tokens_sql("s")} A
 )
 def heading_sections(spark, sf_dir):
     """Sections of documents by their headings, each with its title and what it covers; short lines stand for headings."""
-    md = T.tidy(F.coalesce("text", F.lit("")))
-    for low, high, mark in ((0, 24, "#"), (25, 59, "##")):
-        md = F.regexp_replace(md, f"(?m)^([^#\n][^\n]{{{low},{high}}})$", f"{mark} $1")
+    md = marked(T.tidy(F.coalesce("text", F.lit(""))))
     cut = sections.described(sections.heading_sections(F.col("md"), F.col("source"), 2_000), 600)
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", md.alias("md")).select("doc_id", F.posexplode(cut).alias("n", "s"))
     return rows.select("doc_id", F.col("n").cast("bigint").alias("section_no"), F.sha2("s.text", 256).alias("name"), T.token_estimate(F.col("s.text")).alias("tokens"), F.col("s.blocks").cast("bigint").alias("blocks"), "s.title", "s.covers")
