@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import geo
 from corpusmill.jobs.registry import Registry
 from corpusmill.operators import grids
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import table, written
 
 jobs = Registry()
 
@@ -93,6 +93,26 @@ def percentile_stretch(spark, sf_dir):
     return events.join(limits, "event_type").select("event_id", grids.stretch(F.col("value"), F.col("lo"), F.col("hi")).alias("level"))
 
 
+@jobs.query(
+    """
+WITH p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, abs(embedding[4]::DOUBLE) AS opacity FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM p),
+t AS (SELECT * FROM r WHERE pos % greatest(1, n // 10) = 0 AND opacity >= 0.05),
+a AS (SELECT label, list_sort(list(x)) AS xs, list_sort(list(y)) AS ys, count(*) AS points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, avg(opacity) AS mean FROM t GROUP BY label)
+SELECT label, points, min_x, max_x, min_y, max_y, min_z, max_z, round(mean, 6) AS mean, xs[floor(points * 0.03::DOUBLE)::INT + 1] AS x_lo, xs[floor(points * 0.97::DOUBLE)::INT + 1] AS x_hi, ys[floor(points * 0.03::DOUBLE)::INT + 1] AS y_lo, ys[floor(points * 0.97::DOUBLE)::INT + 1] AS y_hi FROM a"""
+)
+def point_extents(spark, sf_dir):
+    """Vectors as point clouds of their labels: thinned, boxed, and cut to the 3rd and 97th percentile seen from above."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    points = table(spark, sf_dir, "embeddings").select("label", "vec_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), F.abs(at(3)).alias("opacity"))
+    thin = written(grids.thinned(points, ["label"], ["vec_id"], 10, "opacity"), "points")
+    out = grids.boxes(thin, ["label"], ["x", "y", "z"], "opacity").withColumn("mean", F.round("mean", 6))
+    for axis in "xy":
+        ends = grids.percentile_limits(thin, ["label"], axis, 0.03, 0.97).select(F.col("label").alias("of"), F.col("lo").alias(f"{axis}_lo"), F.col("hi").alias(f"{axis}_hi"))
+        out = out.join(ends, F.col("label").eqNullSafe(F.col("of"))).drop("of")
+    return out
+
+
 @jobs.query(
     """
 SELECT event_id, floor(CASE WHEN x <= 0 THEN 68 WHEN x < 0.25 THEN 68 + (x - 0) / 0.25 * (59 - 68) WHEN x < 0.5 THEN 59 + (x - 0.25) / 0.25 * (33 - 59) WHEN x < 0.75 THEN 33 + (x - 0.5) / 0.25 * (94 - 33) WHEN x < 1 THEN 94 + (x - 0.75) / 0.25 * (253 - 94) ELSE 253 END + 0.5)::BIGINT AS red FROM (SELECT event_id, value / 500 AS x FROM events)"""

@@ -134,14 +134,12 @@ SELECT t.k AS p_brand, t.h AS root, n.n AS entries, n.n AS ok FROM t JOIN (SELEC
 )
 def log_inclusion(spark, sf_dir):
     """Each brand's parts as a log: whether every part's audit path leads to the brand's root."""
-    from pyspark.sql import Window
-
     from corpusmill.operators import manifest as M
+    from corpusmill.operators.ordered import running
     from corpusmill.sources.tables import written
 
     entry = F.sha2(F.unhex(F.concat(F.lit("00"), F.hex(F.encode("p_name", "UTF-8")))), 256)
-    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    leaves = written(table(spark, sf_dir, "part").select("p_brand", pos.cast("bigint").alias("pos"), entry.alias("hash")), "log-leaves")
+    leaves = written(running(table(spark, sf_dir, "part").select("p_brand", "p_partkey", entry.alias("hash")), ["p_brand"], ["p_partkey"]).select("p_brand", "pos", "hash"), "log-leaves")
     proven = M.audit_paths(written(M.log_levels(leaves, "p_brand"), "log-nodes"), "p_brand")
     checked = proven.select("p_brand", "root", (M.path_root(F.col("hash"), F.col("path")) == F.col("root")).alias("ok"))
     return checked.groupBy("p_brand", "root").agg(F.count("*").alias("entries"), F.count_if("ok").alias("ok"))

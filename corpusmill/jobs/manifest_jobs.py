@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.jobs.registry import Registry
 from corpusmill.operators import manifest as M
+from corpusmill.operators.ordered import running
 from corpusmill.sources.tables import table
 
 jobs = Registry()
@@ -58,13 +59,11 @@ SELECT k AS p_brand, h AS root FROM t WHERE lvl = 20"""
 )
 def merkle_root(spark, sf_dir):
     """Root over the parts of every brand, in order of their keys."""
-    return M.merkle_roots(_positions(table(spark, sf_dir, "part"), "p_brand", F.col("p_partkey"), F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name"), 256)), "p_brand")
+    return M.merkle_roots(_positions(table(spark, sf_dir, "part"), "p_brand", "p_partkey", F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name"), 256)), "p_brand")
 
 
 def _positions(rows, key, order, digest):
-    from pyspark.sql import Window
-
-    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("bigint").alias("pos"), digest.alias("hash"))
+    return running(rows.select(key, order, digest.alias("hash")), [key], [order, "hash"]).select(key, "pos", "hash")
 
 
 @jobs.query(
@@ -78,7 +77,7 @@ def listing_root(spark, sf_dir):
     size = F.octet_length("text").cast("bigint")
     row = F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), size.cast("string"), F.sha2("text", 256)), 256)
     leaf = M.leaf_hash(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.lit(0).cast("bigint"), size, row)
-    return M.merkle_roots(_positions(table(spark, sf_dir, "documents"), "source", F.col("doc_id"), leaf), "source")
+    return M.merkle_roots(_positions(table(spark, sf_dir, "documents"), "source", "doc_id", leaf), "source")
 
 
 _EVENTS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, {v} AS v FROM events"

@@ -38,7 +38,7 @@ def page_carry(spark, sf_dir):
     """First and last page of every section; a section without a page mark goes on from the one before. Every sixth document gets two marks."""
     mark = (F.floor(F.col("doc_id") / 6) + 1).cast("string")
     marked = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("[page "), mark, F.lit("]\n"), F.col("text"), F.lit("\n[page "), (F.floor(F.col("doc_id") / 6) + 2).cast("string"), F.lit("]"))).otherwise(F.col("text"))
-    return R.page_ranges(table(spark, sf_dir, "documents").select("source", "doc_id", marked.alias("text")), "source", "doc_id", "text").select("source", "doc_id", "page_from", "page_to")
+    return R.page_ranges(table(spark, sf_dir, "documents").select("source", "doc_id", marked.alias("text")), "source", ["doc_id"], "text")
 
 
 @jobs.query(

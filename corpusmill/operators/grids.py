@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ordered import running
+from corpusmill.operators.quantiles import exact_quantiles
+
 
 def latest(facts: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """The last value that isn't null of every key."""
@@ -31,12 +34,22 @@ def pearson(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 8) ->
 
 
 def percentile_limits(rows: DataFrame, keys: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Values at places floor(n * low) and floor(n * high) of each key's ascending list, not interpolated."""
-    w = Window.partitionBy(*keys)
-    at = F.row_number().over(w.orderBy(value)) - 1
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_i": at})
-    pick = lambda q: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q), F.col(value)))
-    return ranked.groupBy(*keys).agg(pick(low).alias("lo"), pick(high).alias("hi"))
+    """Values at places floor(n * low) and floor(n * high) of each key's ascending list, not interpolated; no key is sorted."""
+    return exact_quantiles(rows, keys, value, {"lo": low, "hi": high})
+
+
+def thinned(points: DataFrame, keys: list[str], order: list[str], most: int = 12_000, opacity: str | None = None, least: float = 0.05) -> DataFrame:
+    """Every k-th point of a key in its order, k so that between ``most`` and twice as many stay, less those of a lower ``opacity`` than ``least``."""
+    placed = running(points, keys, order)
+    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / most))
+    kept = placed.where(F.col("pos") % step == 0)
+    return (kept.where(F.col(opacity) >= least) if opacity else kept).drop("pos", "n")
+
+
+def boxes(points: DataFrame, keys: list[str], axes: list[str], weight: str) -> DataFrame:
+    """Least and greatest of each axis and the mean of ``weight``."""
+    ends = [f(a).alias(f"{name}_{a}") for a in axes for name, f in (("min", F.min), ("max", F.max))]
+    return points.groupBy(*keys).agg(F.count("*").alias("points"), *ends, F.avg(weight).alias("mean"))
 
 
 def in_all_bands(scenes: DataFrame, scene: str, band: str, bands: list[str]) -> DataFrame:

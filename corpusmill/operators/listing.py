@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ordered import running
+
 # Folders and files that are never read, and endings that are.
 SKIPPED = "(?i)(^|/)(node_modules|dist|build|out|vendor|third_party|\\.git|\\.next|target|coverage|__pycache__|\\.venv)/"
 LOCKS = "(?i)(\\.min\\.|\\.map$|(^|/)(package-lock\\.json|yarn\\.lock|pnpm-lock\\.yaml|Cargo\\.lock|poetry\\.lock|go\\.sum|composer\\.lock)$)"
@@ -33,7 +35,6 @@ def file_rank(path: Column) -> Column:
 
 
 def budgeted(files: DataFrame, listing: str, order: list[str], budget: int, most: int) -> DataFrame:
-    """The files of each listing, in order, before the first that would exceed the budget or the count."""
-    w = Window.partitionBy(listing).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.withColumns({"total": F.sum("size").over(run), "rn": F.row_number().over(w)}).where((F.col("total") <= budget) & (F.col("rn") <= most)).drop("rn")
+    """The files of each listing, in order, before the first that would exceed the budget or the count. Sizes are never negative, so what fits is a prefix."""
+    placed = running(files, [listing], order, {"before": F.col("size")})
+    return placed.withColumn("total", F.col("before") + F.coalesce("size", F.lit(0))).where((F.col("total") <= budget) & (F.col("pos") < most)).drop("before", "pos", "n")

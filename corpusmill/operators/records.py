@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import let
+from corpusmill.operators.ordered import running
+
 
 def table_rows(body: Column, digest: str) -> Column:
     """Rows (``label, url, offset, length, hash, absent, stats``) of the manifest tables in a note; a hash that isn't like ``digest`` is absent. Heads and rules are no rows."""
@@ -27,14 +30,18 @@ def table_rows(body: Column, digest: str) -> Column:
     return F.filter(F.transform(lines, row), lambda r: (r["label"] != "what") & ~r["label"].rlike("^-+$"))
 
 
-def page_ranges(sections: DataFrame, collection: str, order: str, text: str) -> DataFrame:
-    """``page_from, page_to`` of every section from its ``[page n]`` marks; without a mark at its start it goes on from the last page before, 1 at first."""
+def page_ranges(sections: DataFrame, collection: str, order: list[str], text: str) -> DataFrame:
+    """``collection``, ``order``, ``page_from, page_to`` of every section from its ``[page n]`` marks; without a mark at its start it goes on from the last page before, 1 at first.
+
+    Marks are read first: only numbers are put in order and carried.
+    """
     marks = F.transform(F.regexp_extract_all(text, F.lit("\\[page ([0-9]+)\\]"), F.lit(1)), lambda x: x.cast("bigint"))
-    last = F.get("marks", F.size("marks") - 1)
-    seen = F.coalesce(F.last("last", ignorenulls=True).over(Window.partitionBy(collection).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(1).cast("bigint"))
     at_start = F.col(text).rlike("^\\s*(#[^\\n]*\\n\\s*)?\\[page [0-9]+\\]")
-    known = sections.withColumn("marks", marks).withColumn("last", last).withColumn("seen", seen)
-    return known.withColumns({"page_from": F.when(at_start, F.get("marks", F.lit(0))).otherwise(F.col("seen")), "page_to": F.coalesce("last", "seen")}).drop("marks", "last", "seen")
+    numbers = sections.select(collection, *order, let(marks, lambda m: F.struct(F.when(at_start, F.get(m, F.lit(0))).alias("first"), F.get(m, F.size(m) - 1).alias("last"))).alias("m"))
+    numbers = numbers.select(collection, *order, F.col("m.first").alias("first_mark"), F.col("m.last").alias("last_mark"))
+    seen = F.coalesce("seen", F.lit(1).cast("bigint"))
+    carried = running(numbers, [collection], order, lasts={"seen": F.col("last_mark")})
+    return carried.select(collection, *order, F.coalesce("first_mark", seen).alias("page_from"), F.coalesce("last_mark", seen).alias("page_to"))
 
 
 def ends_and_some(rows: DataFrame, key: str, order: str, all_up_to: int, some: int) -> DataFrame:

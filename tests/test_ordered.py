@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import collections as C
 from corpusmill.operators.ordered import Sequence, joined, packed, running, through
+from corpusmill.operators.quantiles import exact_quantiles
 from corpusmill.operators.sections import STOP_WORDS
 
 
@@ -174,3 +175,30 @@ def test_collections_at_the_edges(spark):
     sections, index = C.collection_notes(spark.createDataFrame(rows, schema), 100, 2)
     assert [r.key for r in index.collect()] == [None] and sections.count() == 1
     assert [x.count() for x in C.collection_notes(spark.createDataFrame([], schema))] == [0, 0]
+
+
+# ---- order statistics
+
+
+@pytest.mark.parametrize(("bins", "gathered"), [(4096, 4096), (64, 5)])
+def test_exact_quantiles(spark, bins, gathered):
+    rng = random.Random(6)
+    inf = float("inf")
+    values = {
+        "even": [rng.random() for _ in range(500)],
+        "ties": [rng.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(300)],
+        "one": [7.0],
+        "same": [5.0] * 100,
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300) for _ in range(200)] + [1.7e308, -1.7e308],
+        "close": [1e9 + i * 1e-6 for i in range(200)] + [0.0],
+        None: [-0.0, 0.0, float("nan"), inf, -inf, None, 4.0],
+        "none": [None, float("nan")],
+    }
+    rows = [(k, v) for k, found in values.items() for v in found]
+    got = {r.key: r for r in exact_quantiles(spark.createDataFrame(rows, "key string, v double").repartition(4), ["key"], "v", {"a": 0.0, "b": 0.02, "c": 0.5, "d": 0.98, "e": 1.0}, bins, gathered).collect()}
+    assert set(got) == set(values) - {"none"}
+    for k, found in values.items():
+        s = sorted(v for v in found if v is not None and math.isfinite(v))
+        if s:
+            assert [got[k][x] for x in "abcde"] == [s[min(len(s) - 1, math.floor(len(s) * q))] for q in (0.0, 0.02, 0.5, 0.98, 1.0)] and got[k].n == len(s)
+    assert exact_quantiles(spark.createDataFrame([], "key string, v double"), ["key"], "v", {"a": 0.5}).count() == 0
