@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,8 +145,26 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(cut, strip_space), lambda x: x != "")
 
 
+@cache
+def _nfkc():
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import unicodedata
+
+        for texts in batches:
+            yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+    # Not as strings: Spark reads the types when the function is made.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms folded (NFKC). Only texts beyond ASCII go to Python."""
+    return F.coalesce(_nfkc()(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c)
+
+
 def normalised(c: Column) -> Column:
-    """The form in which quotes and word runs are compared (texts are taken to be NFKC already)."""
+    """The form in which quotes and word runs are compared; ``nfkc`` comes first where texts may hold compatibility forms."""
     t = F.regexp_replace(c, "\\[page [0-9]+\\]", " ")
     t = F.lower(F.regexp_replace(t, "\\[([^\\]]*)\\]\\([^)]*\\)", "$1"))
     t = F.regexp_replace(t, "[‘’`]", "'")

@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -166,3 +169,70 @@ def test_descriptions_keep_a_budget(spark):
     names = short[0].s[0].covers.split("; ")
     assert names[-1] == f"+{60 - len(names) + 1} more" and len("; ".join(names[:-1])) <= 300 < len("; ".join(names[:-1])) + 16
     assert whole[1].s[0].covers == 'begins "' + ("one block only " * 20)[:110] + '…"' and whole[1].s[0].title == "r"
+
+
+def plain_quotes(answer, sources):
+    """Quotes of an answer with whether a source holds them, line by line."""
+    norm = lambda t: re.sub(r"\s+", " ", re.sub(r"[‐-―-]\s*", "", re.sub(r"[*_#>|]", "", re.sub("[“”]", '"', re.sub("[‘’`]", "'", unicodedata.normalize("NFKC", t).lower()))))).strip()
+
+    def found(q):
+        for s in map(norm, sources):
+            at, ok = 0, True
+            for p in [p for p in re.split(r"\s*(?:\.\.\.|…)\s*", norm(q)) if len(p) >= 4]:
+                i = s.find(p, at)
+                ok = ok and i >= 0
+                at = i + len(p)
+            if ok:
+                return True
+        return False
+
+    out = []
+    for line in answer.split("\n"):
+        at = [m.start() for m in re.finditer('["“”]', line)]
+        outer = line[at[0] + 1 : at[-1]].strip() if len(at) > 2 else ""
+        if len(outer) >= 12 and found(outer):
+            out.append(outer)
+        else:
+            out += [x for a, b in zip(at[::2], at[1::2]) if len(x := line[a + 1 : b].strip()) >= 12]
+        if m := re.match(r">\s?(.{12,})$", line):
+            out.append(m[1].strip())
+    return {(q, found(q)) for q in out}
+
+
+def test_quotes_of_answers(spark):
+    sources = {1: ["The rule was considered “idempotent” if it ran twice, and *safe* then. Later a line-\nbreak came.", "ﬁnal ﬁgures were ½ of all"], 2: [None, "nothing here at all"], 3: []}
+    answers = [
+        'It was "considered "idempotent" if it ran twice" they say',
+        '"considered "idempotent" unless it ran" and "short" and "and safe then. Later"',
+        "> The rule was considered\n>and safe then\n> tiny\n“the rule … if it ran twice ... safe then”",
+        'one mark " only and "final figures were 1⁄2 of all" or “final figures were” "',
+        "",
+        None,
+        '"""""""""""""" "            "',
+        'a line "a linebreak came" and "the rule was ... ... later a" "the rule was" repeated "the rule was"',
+    ]
+    rows = [(k * 100 + i, k, a, "clash") for k in sources for i, a in enumerate(answers)]
+    texts = [(k, t, "clash") for k, found in sources.items() for t in found]
+    got: dict = {}
+    for r in grounding.quotes(spark.createDataFrame(rows, "id int, k int, text string, quote string"), ["id"], spark.createDataFrame(texts, "k int, text string, held string"), ["k"]).collect():
+        got.setdefault(r.id, set()).add((r.quote, r.found))
+    for i, k, a, _ in rows:
+        assert got.get(i, set()) == plain_quotes(a or "", [t or "" for t in sources[k]]), i
+    done = grounding.verdicts(spark.createDataFrame(rows, "id int, k int, text string, quote string"), ["id"], spark.createDataFrame(texts, "k int, text string, held string"), ["k"]).collect()
+    assert {r.id: (r.quotes, r.quotes_found) for r in done} == {i: (len(q := plain_quotes(a or "", [t or "" for t in sources[k]])), sum(x[1] for x in q)) for i, k, a, _ in rows}
+    assert next(r.summary for r in done if r.id == 105) == "no quotes"
+    nothing = spark.createDataFrame([], "id int, k int, text string")
+    assert grounding.verdicts(nothing, ["id"], nothing, ["k"]).count() == 0
+
+
+def test_words_of_links_are_no_context(spark):
+    answers = spark.createDataFrame([(1, 1, "See https://x.org/annual-revenue-reached for 5512."), (2, 1, "Annual revenue reached 5512.")], "id bigint, k bigint, text string")
+    sources = spark.createDataFrame([(1, "Annual revenue reached 5512.")], "k bigint, text string")
+    assert {r.id: r.held for r in grounding.numbers_held(answers, "id", sources, ["k"]).collect()} == {1: False, 2: True}
+
+
+def test_long_passages_travel_as_hashes(spark):
+    long = "word " * 50_000 + "end"
+    docs = spark.createDataFrame([(1, "x " + long + " y"), (2, long[5:])], "d bigint, text string")
+    items = spark.createDataFrame([(1, long), (2, "word word word end"), (2, "word word word end")], "p bigint, text string")
+    assert sorted(tuple(r) for r in grounding.contained_passages(docs, "d", items, "p").collect()) == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 2)]
