@@ -2,11 +2,12 @@
 
 Battery, for each token of 20 or more characters with a digit or mixed case that no pattern covers: its alphabet is inferred (decimal,
 hex, base32, base36, base62, base64); chi-squared tells how far its symbols are from uniform, a runs test and the lag-1 serial correlation
-whether their order is random. A token is put aside as proven not random if the least of the three p values, times three, is below ``level``, or if it is
-base64 of printable text; so at most about ``level`` of the truly random tokens are lost, whatever else the corpus holds.
+whether their order is random. A token is put aside as proven not random if one of the three tests rejects it at a quarter of ``level``, or if it is
+base64 of printable text; so at most ``level`` of the truly random tokens are lost, whatever else the corpus holds. Chi-squared's limits are exact up to ``EXACT_LENGTH`` symbols, from the distribution
+of the sum of squared counts by a recursion over the alphabet; above, its tail is approximated by cube roots and cut at half the level, as that approximation is a little light.
 
 What is left is not yet a secret: short names can pass any such battery. So the claim "random" is tested against ordinary tokens as the null: letters at
-the frequencies of prose, with changes between small letters, capitals, digits and marks as in names and paths. The likelihood ratio of
+the frequencies of prose, with changes between small letters, capitals, digits and marks as in names and paths, or digits alone, of which numbers are made; so a number is never reported. The likelihood ratio of
 "uniform over its alphabet" to that null has a mean of at most 1 under the null, so it is an e-value, and it grows with a token's length. In each stratum
 of alphabet and length band the step-up rule for e-values bounds the expected share of false discoveries among those reported as kind ``random`` by ``fdr``. The rule
 runs on a histogram of whole bits of evidence, so it covers all tokens of a corpus; a token that carries less than ``min_bits`` is never reported.
@@ -19,7 +20,9 @@ Spans are gathered by input row, so a group never exceeds one text.
 from __future__ import annotations
 
 import math
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ LETTERS = (8.167, 1.492, 2.782, 4.253, 12.702, 2.228, 2.015, 6.094, 6.966, 0.153
 SAME_KIND = 0.85
 #: Row numbers up to this count are broadcast (8 bytes each); more are joined.
 BROADCAST_ROWS = 4_000_000
+#: Length up to which chi-squared's limits are exact.
+EXACT_LENGTH = 128
 HITS = "array<struct<kind:int,i:int,gap:int,len:int,match:string>>"
 
 
@@ -65,6 +70,31 @@ def _hits(text: Column, kind: int, pattern: str) -> Column:
     return F.when(text.rlike(pattern), rows).otherwise(F.array().cast(HITS))
 
 
+@cache
+def uneven_from(level: float, longest: int = EXACT_LENGTH) -> dict[str, list[int]]:
+    """For each alphabet and length (from 0) the least sum of squared counts that a random token reaches with a probability of at most ``level``.
+
+    Exact: the ways to put n symbols on the first k letters with a given sum of squares, letter by letter, for all n at once.
+    """
+    top = longest + longest * (longest - 1) // 10 + 25 * longest
+    ways = np.zeros((longest + 1, top + 1))
+    ways[0, 0] = 1
+    sizes = {len(a): n for n, _, a in ALPHABETS}
+    out = {}
+    for k in range(1, max(sizes) + 1):
+        # Scaled by k / (k - 1) a symbol, so that the rows stay probabilities: the share of the k letters' tokens.
+        more = np.zeros_like(ways)
+        for c in range(min(longest, math.isqrt(top)) + 1):
+            n = np.arange(c, longest + 1)
+            term = np.array([math.exp(math.lgamma(x + 1) - math.lgamma(c + 1) - math.lgamma(x - c + 1) - c * math.log(k) + (x - c) * (math.log((k - 1) / k) if k > 1 else 0.0)) if k > 1 or x == c else 0.0 for x in n.tolist()])
+            more[c:, c * c :] += term[:, None] * ways[: longest + 1 - c, : top + 1 - c * c]
+        ways = more
+        if k in sizes:
+            tail = 1 - np.concatenate([np.zeros((longest + 1, 1)), np.cumsum(ways, axis=1)], axis=1)
+            out[sizes[k]] = [int(np.argmax(t <= level)) if (t <= level).any() else top + 1 for t in tail]
+    return {name: out[sizes[len(a)]] for name, _, a in ALPHABETS}
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by a rational approximation of erfc with an error below 1.5e-7."""
     # Coefficients of Abramowitz and Stegun 7.1.26.
@@ -75,8 +105,8 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def randomness(tokens: DataFrame, token_col: str = "match") -> DataFrame:
-    """Adds ``alphabet``, ``bits``, ``p_uniform``, ``p_runs``, ``p_serial`` and their combination ``p``."""
+def randomness(tokens: DataFrame, token_col: str = "match", level: float = 1e-3) -> DataFrame:
+    """Adds ``alphabet``, ``bits``, ``p_uniform``, ``p_runs``, ``p_serial``, ``evidence`` and ``passes``: whether no test rejects at a quarter of ``level``."""
     s = F.col(token_col)
     name = F.coalesce(*[F.when(s.rlike(pattern), F.lit(n)) for n, pattern, _ in ALPHABETS])
     letters = F.coalesce(*[F.when(F.col("alphabet") == n, F.lit(a)) for n, _, a in ALPHABETS])
@@ -108,14 +138,20 @@ def randomness(tokens: DataFrame, token_col: str = "match") -> DataFrame:
         }
     )
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
-    uniform = (k / n * F.col("squares") - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    # Wilson and Hilferty's cube root, on the degrees of freedom that give the statistic's mean and variance.
+    freedom = (k - 1) * n / (n - 1)
+    uniform = (F.cbrt((k / n * F.col("squares") - n) / (k - 1)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
     expected = 2 * n1 * n2 / n + 1
     spread = F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1))
     runs = F.when((n1 == 0) | (n2 == 0), F.lit(9.0)).otherwise((F.col("turns") - expected) / F.sqrt(spread))
     serial = F.when(F.col("var") <= 1e-12, F.lit(9.0)).otherwise((F.col("cov") / F.when(F.col("var") > 1e-12, F.col("var")) + 1 / n) * F.sqrt(n))
     x = x.withColumns({"p_uniform": _upper_tail(uniform), "p_runs": 2 * _upper_tail(F.abs(runs)), "p_serial": 2 * _upper_tail(F.abs(serial))})
-    p = F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))
-    return x.withColumns({"p": p, "bits": n * F.log2(k), "evidence": _evidence(s, n, k)}).drop("letters", "v", "squares", "mean", "n1", "turns", "cov", "var", "k", "n")
+    # A row of limits is one text of eight characters a length: a small expression.
+    rows = F.coalesce(*[F.when(F.col("alphabet") == name, F.lit("".join(f"{x:8}" for x in row))) for name, row in uneven_from(level / 4).items()])
+    limit = F.trim(F.substring(rows, (n * 8 + 1).cast("int"), F.lit(8))).cast("double")
+    even = F.when(n <= EXACT_LENGTH, F.col("squares") < limit).otherwise(F.col("p_uniform") >= level / 8)
+    passes = even & (F.least("p_runs", "p_serial") >= level / 4)
+    return x.withColumns({"passes": passes, "bits": n * F.log2(k), "evidence": _evidence(s, n, k)}).drop("letters", "v", "squares", "mean", "n1", "turns", "cov", "var", "k", "n")
 
 
 def _evidence(token: Column, n: Column, k: Column) -> Column:
@@ -133,7 +169,9 @@ def _evidence(token: Column, n: Column, k: Column) -> Column:
             (a["bits"] + F.element_at(cost, y) + F.when(a["kind"] < 0, F.lit(2.0)).when(a["kind"] == kind(y), F.lit(same)).otherwise(F.lit(other))).alias("bits"),
         ),
     )["bits"]
-    return plain - n * F.log2(k) - math.log2(len(ALPHABETS))
+    # The null is a mixture: a token of digits alone costs no more than a number, and a bit for that choice.
+    number = F.when(~token.rlike("[^0-9]"), n * math.log2(10) + 1)
+    return F.least(plain, number) - n * F.log2(k) - math.log2(len(ALPHABETS))
 
 
 def _holds_prose(token: Column) -> Column:
@@ -144,9 +182,9 @@ def _holds_prose(token: Column) -> Column:
 
 def discoveries(tokens: DataFrame, fdr: float, level: float, min_bits: float) -> DataFrame:
     """Those of ``tokens`` (with a column ``match``) that are reported as random."""
-    tested = randomness(tokens).withColumns({"band": F.floor(F.log2(F.length("match"))).cast("int"), "step": F.floor("evidence").cast("int")})
+    tested = randomness(tokens, level=level).withColumns({"band": F.floor(F.log2(F.length("match"))).cast("int"), "step": F.floor("evidence").cast("int")})
     # At most a row for each alphabet, band and bit of evidence.
-    fits = (F.col("p") >= level) & ~_holds_prose(F.col("match")) & (F.col("bits") >= min_bits)
+    fits = F.col("passes") & ~_holds_prose(F.col("match")) & (F.col("bits") >= min_bits)
     tested = tested.withColumn("step", F.when(fits, F.greatest(F.lit(0), F.least(F.lit(1000), F.col("step")))).otherwise(F.lit(0)))
     counts = tested.groupBy("alphabet", "band", "step").agg(F.count("*").alias("c"))
     stratum = Window.partitionBy("alphabet", "band")

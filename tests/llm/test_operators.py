@@ -475,7 +475,8 @@ def plain_battery(token):
     v, n, k = np.array([letters.index(c) + 1 for c in token], float), len(token), len(letters)
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     counts = np.bincount(v.astype(int), minlength=k + 1)
-    uniform = ((counts**2).sum() * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    freedom = (k - 1) * n / (n - 1)
+    uniform = ((((counts**2).sum() * k / n - n) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom))
     high = v > k / 2
     n1, turns = high.sum(), 1 + (high[1:] != high[:-1]).sum()
     expected = 2 * n1 * (n - n1) / n + 1
@@ -487,7 +488,8 @@ def plain_battery(token):
     share = sum(secrets.LETTERS)
     cost = sum(-math.log2(secrets.LETTERS[p % 26] / share) if p < 52 else math.log2(10) if p < 62 else math.log2(len(secrets.SYMBOLS) - 62) for p in place)
     cost += 2 + sum(-math.log2(0.85) if a == b else -math.log2(0.05) for a, b in zip(kind, kind[1:]))
-    return name, tail(uniform), 2 * tail(abs(runs)), 2 * tail(abs(serial)), cost - n * math.log2(k) - math.log2(len(secrets.ALPHABETS))
+    cost = min(cost, n * math.log2(10) + 1) if name == "decimal" else cost
+    return name, tail(uniform), 2 * tail(abs(runs)), 2 * tail(abs(serial)), cost - n * math.log2(k) - math.log2(len(secrets.ALPHABETS)), int((counts**2).sum())
 
 
 def test_battery_is_the_plain_one(spark):
@@ -495,8 +497,62 @@ def test_battery_is_the_plain_one(spark):
     tokens = ["".join(rng.choice(list(a), int(n))) for _, _, a in secrets.ALPHABETS for n in rng.integers(20, 90, 12)] + ["a1" * 15, "aaaaaaaaaaaaaaaaaaaaaaa1", "readAllBytesFromInputStream2", "src/main/java/some/Path-2"]
     rows = secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "match string")).collect()
     for r in rows:
-        name, *want = plain_battery(r.match)
+        name, *want, squares = plain_battery(r.match)
         assert r.alphabet == name and np.allclose([r.p_uniform, r.p_runs, r.p_serial, r.evidence], want, atol=2e-5), r.match
+        even = squares < secrets.uneven_from(2.5e-4)[name][len(r.match)] if len(r.match) <= 128 else want[0] >= 1.25e-4
+        assert r.passes == (even and min(want[1:3]) >= 2.5e-4)
+
+
+def test_limits_of_chi_squared_are_exact():
+    # All tokens of 5 symbols over 10 letters, counted one by one, and large samples of long ones.
+    import itertools
+
+    sums = Counter(sum(c * c for c in Counter(t).values()) for t in itertools.product(range(10), repeat=5))
+    for level in (0.5, 0.1, 0.02, 1e-3, 1e-5):
+        least = next(s for s in range(27) if sum(n for x, n in sums.items() if x >= s) / 10**5 <= level + 1e-12)
+        assert secrets.uneven_from(level, 5)["decimal"][5] == least
+    rng = np.random.default_rng(19)
+    for name, _, letters in secrets.ALPHABETS:
+        for n in (20, 24, 40, 64, 128):
+            c = rng.multinomial(n, [1 / len(letters)] * len(letters), size=60_000)
+            assert ((c * c).sum(1) >= secrets.uneven_from(2.5e-4)[name][n]).mean() <= 5e-4
+
+
+def test_few_random_tokens_are_lost(spark):
+    rng = np.random.default_rng(20)
+    tokens = ["".join(rng.choice(list(a), n)) for _, _, a in secrets.ALPHABETS[1:] for n in (20, 32, 64, 200) for _ in range(250)]
+    lost = sum(not r.passes for r in secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "match string")).select("passes", "match").collect())
+    assert lost <= 15  # 6 expected at most
+
+
+def test_numbers_are_no_secrets(spark):
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    texts = [f"order {digits(n)} paid" for n in (20, 24, 28, 29, 30) for _ in range(40)]
+    texts += ["call " + "-".join(digits(4) for _ in range(8)) for _ in range(40)] + ["on " + "/".join(f"2024-01-{d:02}" for d in rng.integers(1, 29, 4)) for _ in range(40)] + [f"id_{digits(24)} and {digits(6)}_{digits(18)}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert secrets.secret_digest(df).where("n_random > 0").count() == 0
+
+
+def test_reported_by_the_step_up_rule(spark):
+    """The rule in plain Python: in each stratum the least step at which 2^step * rank * fdr reaches the number of tokens."""
+    rng = np.random.default_rng(22)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda a, n: "".join(rng.choice(list(a), n))
+    tokens = [pick(letters + letters.upper() + "0123456789", 20 + i % 30) for i in range(120)] + [pick("etaoin", 10).title() + pick("etaoinshr", 12) + str(i) for i in range(300)] + [pick("0123456789abcdef", 22) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in tokens], "match string")
+    for fdr in (0.05, 0.3):
+        rows = secrets.randomness(df).collect()
+        strata: dict = {}
+        for r in rows:
+            fits = r.passes and r.bits >= 80
+            step = max(0, min(1000, math.floor(r.evidence))) if fits else 0
+            strata.setdefault((r.alphabet, int(math.log2(len(r.match)))), []).append((step, r.match))
+        want = []
+        for found in strata.values():
+            ok = [s for s in {x[0] for x in found} if s > 0 and 2.0**s * sum(x[0] >= s for x in found) * fdr >= len(found)]
+            want += [t for s, t in found if ok and s >= min(ok)]
+        assert sorted(r.match for r in secrets.discoveries(df, fdr, 1e-3, 80.0).collect()) == sorted(want)
 
 
 def test_secrets_are_found_and_ordinary_tokens_left_alone(spark):
