@@ -2,10 +2,14 @@
 
 Benchmark items are cut into passages, a table. Passages are weighted by TF-IDF, with document frequencies over all documents, and a randomised singular value
 decomposition finds their latent space: each step is a pass over the table, whose tasks multiply their sparse rows with the current basis; sums are made by blocks of
-terms, and the driver only orthogonalises a matrix of terms by rank. Every document is held against the items' rarest words, which leaves the items and places with enough words for a match,
-whatever words stand beside them and however many documents there are. Windows there are projected; the cosine inside the latent space, where an exact copy has 1 however little
-of the item the space keeps, orders the places and is reported. The longest common subsequence of words and an answer check (the item's answer,
-or its last quarter) decide on each. No cosine drops a place, as a space of ``RANK`` directions can't keep thousands of items.
+terms, and the driver only orthogonalises a matrix of terms by rank.
+
+A document's windows are searched for in that space by cosine. Only windows near enough of an item's words, in any order, are projected; others can't be confirmed. An item's cosine must reach a limit that is
+calibrated on its own text: the least cosine of ``VARIANTS`` windows in which all but ``LCS_WITH_ANSWER`` of its words were replaced by the benchmark's ordinary words, so that nine of ten windows at the edge of a match pass and
+fuller ones nearly always. An item of which the space keeps less than ``KEPT`` (a space of ``RANK`` directions can't keep thousands) goes without that limit: its windows are all verified, which is the exact way.
+
+Verification takes words in the item's order or its clauses in any order: the longest common subsequence, and the share of the item's words that lie in runs of ``TILE`` words which the window holds too. Each decides alone, or from
+``LCS_WITH_ANSWER`` on with an answer check (the item's answer, or its last quarter); runs in another order also need a limit that the space has set, so they are found by the cosine search alone.
 
 What is broadcast is bounded by bytes: passages go in blocks of about ``BLOCK_WORDS`` words, and ``BLOCKS_AT_ONCE`` of them (20,000 items of 50 words) are one scan of the
 documents for their frequencies, of ``TERMS_HELD`` terms at once, and one for the matches. A larger benchmark takes more scans, with the documents and their matches written in between.
@@ -47,6 +51,11 @@ LCS_ALONE = 0.8
 LCS_WITH_ANSWER = 0.6
 ANSWER_PART = 0.5
 TERM_BLOCK = 512
+#: Share of an item's squared TF-IDF weights that the space must keep for its cosine to decide, and windows on which its limit is set.
+KEPT = 0.5
+VARIANTS = 10
+#: Words of a run that counts as a clause in whatever order.
+TILE = 4
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -68,6 +77,16 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def tiled_part(passage: list, words: list) -> float:
+    """Share of a passage's words that lie in runs of ``TILE`` words which ``words`` hold too, wherever they stand."""
+    runs = lambda w: list(zip(*[w[i:] for i in range(TILE)]))
+    there, covered = set(runs(words)), set()
+    for i, run in enumerate(runs(passage)):
+        if run in there:
+            covered.update(range(i, i + TILE))
+    return len(covered) / len(passage)
+
+
 def passages_of(benchmark: DataFrame) -> DataFrame:
     """``item_id, place, words, answer`` of every passage (lists of words), written; ``block`` deals them out by running sums of words."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -215,17 +234,35 @@ class Gate:
         return np.flatnonzero(times @ (there[:, :-3] | there[:, 1:-2] | there[:, 2:-1] | there[:, 3:]) >= self.need[item])
 
 
+def calibrated(block: Block, df: np.ndarray, weighted: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """For every passage the least cosine, in the latent space, of windows that hold ``LCS_WITH_ANSWER`` of its words among ordinary ones."""
+    rng = np.random.default_rng(7)
+    ordinary = np.cumsum(df + 1.0)
+    out = np.empty(len(block.words))
+    for item, words in enumerate(block.words):
+        ids = np.array([block.terms[x] for x in words])
+        n = len(ids)
+        mine = np.argsort(rng.random((VARIANTS, n)), axis=1) < -(-n * LCS_WITH_ANSWER // 1)
+        other = np.searchsorted(ordinary, rng.random((VARIANTS, n)) * ordinary[-1], "right")
+        v = weighted[np.where(mine, ids, other)].sum(1)
+        out[item] = (v @ latent[item] / np.maximum(np.linalg.norm(v, axis=1), 1e-9)).min()
+    return out
+
+
 def _matcher(spark, block: Block, df: np.ndarray, idf: np.ndarray, space: np.ndarray):
     """A column function: the verified matches of a text with the block's items."""
     parts = [sparse_rows(block.terms, idf, block.words[i : i + 256]) for i in range(0, len(block.words), 256)]
     latent = np.vstack([times_basis(*p, space) for p in parts])
+    kept = (latent**2).sum(1) / np.maximum(np.concatenate([np.add.reduceat(w**2, p[:-1]) for p, _, w in parts]), 1e-9) >= KEPT
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+    weighted = space * idf[:, None].astype(np.float32)
+    limits = np.where(kept, calibrated(block, df, weighted, latent), -np.inf)
     # A window length for each class of item lengths, half as long again from one to the next.
     lengths = np.array([max(1, int(round(1.5 ** round(np.log(len(w)) / np.log(1.5))))) for w in block.words])
-    shared = spark.sparkContext.broadcast((block, Gate(block, df), space * idf[:, None].astype(np.float32), latent.astype(np.float32), lengths))
+    shared = spark.sparkContext.broadcast((block, Gate(block, df), weighted, latent.astype(np.float32), lengths, limits))
 
     def matches(text, state):
-        b, gate, weighted, q, sizes = state
+        b, gate, weighted, q, sizes, least = state
         words = words_of(text)
         n = len(words)
         if not n:
@@ -252,13 +289,16 @@ def _matcher(spark, block: Block, df: np.ndarray, idf: np.ndarray, space: np.nda
             passage, length = b.words[item], int(sizes[item])
             # Best cosine first: after a whole copy no other place can do better.
             for near, cell in sorted(((cosine(item, c, length), c) for c in gate.places(item, order, ranked, length).tolist()), reverse=True):
+                if near < least[item]:
+                    break
                 around = words[max(0, (cell - 1) * length) : (cell + 2) * length + length // 2]
                 found = lcs_length(passage, around) / len(passage)
-                if found < LCS_WITH_ANSWER:
+                clauses = tiled_part(passage, around) if found < LCS_ALONE and least[item] > -np.inf else 0.0
+                if max(found, clauses) < LCS_WITH_ANSWER:
                     continue
                 told = lcs_length(b.answers[item], around) / len(b.answers[item])
-                if found >= LCS_ALONE or told >= ANSWER_PART:
-                    row = (found, told, near)
+                if max(found, clauses) >= LCS_ALONE or told >= ANSWER_PART:
+                    row = (found, told, near, clauses)
                     by_item[b.items[item]] = max(by_item.get(b.items[item], row), row)
                 if found == told == 1:
                     break
@@ -274,8 +314,8 @@ def _matcher(spark, block: Block, df: np.ndarray, idf: np.ndarray, space: np.nda
     return F.arrow_udf(run, MATCHES)
 
 
-MATCHES = "array<struct<item_id:bigint,lcs_part:double,answer_part:double,cosine:double>>"
-_FIELDS = ("item_id", "lcs_part", "answer_part", "cosine")
+MATCHES = "array<struct<item_id:bigint,lcs_part:double,answer_part:double,cosine:double,clause_part:double>>"
+_FIELDS = ("item_id", "lcs_part", "answer_part", "cosine", "clause_part")
 _MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), *[(x, pa.float64()) for x in _FIELDS[1:]]]))
 
 
@@ -313,7 +353,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, text_c
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """``doc_id, item_id, lcs_part, answer_part, cosine`` of every document that holds a benchmark item.
+    """``doc_id, item_id, lcs_part, answer_part, cosine, clause_part`` of every document that holds a benchmark item.
 
     ``benchmark`` has ``item_id``, ``text`` and, if known, ``answer``.
     """

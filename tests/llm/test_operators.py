@@ -412,6 +412,72 @@ def test_decontamination_ties_repeats_and_clashes(spark):
     assert got == Counter({(d, i, 1.0): n for d, n in ((1, 2), (None, 1), (2, 1)) for i in (7, 8, None)})
 
 
+def reordered_rows(rng, n=20):
+    """Items of the given words, and documents that hold them in other orders or none of them."""
+    words = np.array(["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 8)))) for _ in range(800)])
+    prose = lambda n: [str(x) for x in rng.choice(words, n)]
+    items = [(i, prose(40)) for i in range(n)]
+    docs = []
+    for i, w in items:
+        clauses = [w[k : k + 5] for k in range(0, 40, 5)]
+        order = rng.permutation(8)
+        docs += [(100 + i, prose(60) + w[20:] + w[:20] + prose(60)), (200 + i, prose(60) + [x for k in order for x in clauses[k]] + prose(60)), (300 + i, prose(160))]
+    return [(i, " ".join(w)) for i, w in items], [(d, " ".join(w)) for d, w in docs]
+
+
+def test_reordered_items_are_found_by_the_space(spark, monkeypatch):
+    items, docs = reordered_rows(np.random.default_rng(23))
+    bench, rows = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(rows, bench).collect()}
+    want = {(k + i, i) for k in (100, 200) for i in range(20)}
+    assert len(found & want) >= 0.9 * len(want) and not found - want
+    # A space of noise keeps no item: what only the search can tell is lost.
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda p, terms, idf, rank=1: np.linalg.qr(np.random.default_rng(0).normal(size=(len(terms), 20)))[0].astype(np.float32))
+    assert len({(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(rows, bench).collect()} & want) <= 0.1 * len(want)
+
+
+def test_the_space_is_the_exact_one(spark):
+    rng = np.random.default_rng(24)
+    words = np.array([f"w{i}" for i in range(120)])
+    # Few strong directions, as in text on topics.
+    topics = [rng.choice(words, 15, replace=False) for _ in range(6)]
+    rows = [(list(map(str, rng.choice(topics[i % 6], 25))),) for i in range(90)]
+    passages = spark.createDataFrame(rows, "words array<string>").repartition(4)
+    terms = {str(t): i for i, t in enumerate(sorted({x for (w,) in rows for x in w}))}
+    idf = rng.random(len(terms)) + 0.5
+    dense = np.zeros((len(rows), len(terms)))
+    for r, (w,) in enumerate(rows):
+        for x in w:
+            dense[r, terms[x]] += idf[terms[x]]
+    space = decontaminate.randomised_svd(passages, terms, idf, 6).astype(np.float64)
+    exact = np.linalg.svd(dense)[2][:6]
+    # The same subspace: all principal angles are small, and as much of the table is kept.
+    assert np.linalg.svd(space.T @ exact.T)[1].min() > 0.99
+    assert np.linalg.norm(dense @ space) >= 0.999 * np.linalg.norm(dense @ exact.T)
+    assert np.allclose(space.T @ space, np.eye(6), atol=1e-4)
+
+
+def test_limits_let_nine_of_ten_edge_windows_pass():
+    rng = np.random.default_rng(25)
+    words = [[f"w{i}" for i in rng.integers(0, 400, 40)] for _ in range(30)]
+    block = decontaminate.Block(list(range(30)), words, words)
+    df, idf = np.ones(len(block.terms)), np.ones(len(block.terms))
+    limits, ids, weights = decontaminate.sparse_rows(block.terms, idf, words)
+    dense = np.zeros((30, len(block.terms)))
+    np.add.at(dense, (np.repeat(np.arange(30), np.diff(limits)), ids), weights)
+    space = np.linalg.svd(dense, full_matrices=False)[2][:30].T.astype(np.float32)
+    latent = dense @ space
+    latent /= np.linalg.norm(latent, axis=1)[:, None]
+    least = decontaminate.calibrated(block, df, space, latent)
+    names, passed = list(block.terms), []
+    for item, w in enumerate(words):
+        for _ in range(40):
+            window = [x if keep else names[rng.integers(len(names))] for x, keep in zip(w, rng.permutation(40) < 24)]
+            v = space[[block.terms[x] for x in window]].sum(0)
+            passed.append(v @ latent[item] / np.linalg.norm(v) >= least[item])
+    assert np.mean(passed) >= 0.85
+
+
 def test_many_blocks_give_the_same_matches(spark, monkeypatch):
     rng = np.random.default_rng(14)
     words = np.array(["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(3000)])
