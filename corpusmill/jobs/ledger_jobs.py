@@ -143,3 +143,32 @@ def log_inclusion(spark, sf_dir):
     proven = M.audit_paths(written(M.log_levels(leaves, "p_brand"), "log-nodes"), "p_brand")
     checked = proven.select("p_brand", "root", (M.path_root(F.col("hash"), F.col("path")) == F.col("root")).alias("ok"))
     return checked.groupBy("p_brand", "root").agg(F.count("*").alias("entries"), F.count_if("ok").alias("ok"))
+
+
+@jobs.query(
+    """
+WITH RECURSIVE l AS (SELECT p_brand AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, sha256(unhex('00' || hex(encode(p_name)))) AS h FROM part),
+n AS (SELECT k, count(*) AS n FROM l GROUP BY k),
+s AS (SELECT DISTINCT k, n, unnest([1, n // 3 + 1, n // 2 + 1, greatest(1, n - 1), n]) AS m FROM n),
+x AS (SELECT s.k, s.m, s.n, list(h ORDER BY pos) AS h FROM s JOIN l ON l.k = s.k AND l.pos < s.m GROUP BY s.k, s.m, s.n
+      UNION ALL SELECT k, m, n, list_transform(range(0, len(h), 2), lambda i: CASE WHEN i + 1 < len(h) THEN sha256(unhex('01' || h[i + 1] || h[i + 2])) ELSE h[i + 1] END) FROM x WHERE len(h) > 1),
+r AS (SELECT k, m, n, h[1] AS root FROM x WHERE len(h) = 1)
+SELECT a.k AS p_brand, a.m::BIGINT AS old_size, a.n AS new_size, a.root AS old_root, b.root AS new_root, TRUE AS ok, TRUE AS refused FROM r a JOIN r b ON b.k = a.k AND b.m = a.n"""
+)
+def log_consistency(spark, sf_dir):
+    """Each brand's log proven to go on from earlier sizes of it; the same proofs with an altered old root, new root or node are refused."""
+    from corpusmill.operators import manifest as M
+    from corpusmill.operators.ordered import running
+    from corpusmill.sources.tables import written
+
+    entry = F.sha2(F.unhex(F.concat(F.lit("00"), F.hex(F.encode("p_name", "UTF-8")))), 256)
+    leaves = written(running(table(spark, sf_dir, "part").select("p_brand", "p_partkey", entry.alias("hash")), ["p_brand"], ["p_partkey"]).select("p_brand", "pos", "hash"), "log-leaves")
+    n = F.count("*")
+    sizes = F.array(F.lit(1).cast("bigint"), F.floor(n / 3) + 1, F.floor(n / 2) + 1, F.greatest(F.lit(1).cast("bigint"), n - 1), n)
+    heads = leaves.groupBy("p_brand").agg(n.alias("new"), sizes.alias("m")).select("p_brand", "new", F.explode("m").alias("old"))
+    proven = M.consistency_proofs(written(M.log_levels(leaves, "p_brand"), "log-nodes"), heads, "p_brand")
+    old, new, a, b, path = (F.col(c) for c in ("old", "new", "old_root", "new_root", "path"))
+    other = lambda h: F.sha2(h, 256)
+    altered = F.transform(path, lambda h, i: F.when(i == F.size(path) - 1, other(h)).otherwise(h))
+    tampered = [M.consistent(old, new, other(a), b, path), M.consistent(old, new, a, other(b), path), (F.size(path) > 0) & M.consistent(old, new, a, b, altered)]
+    return proven.select("p_brand", old.alias("old_size"), new.alias("new_size"), a, b, M.consistent(old, new, a, b, path).alias("ok"), (~(tampered[0] | tampered[1] | tampered[2])).alias("refused"))

@@ -84,6 +84,90 @@ def path_root(leaf: Column, path: Column) -> Column:
     return F.aggregate(path, leaf, lambda h, x: F.sha2(F.unhex(F.when(x["left"], F.concat(F.lit("01"), x["hash"], h)).otherwise(F.concat(F.lit("01"), h, x["hash"]))), 256))
 
 
+_NODE = "struct<level:int,pos:bigint>"
+
+
+def _bits(n: Column) -> Column:
+    """Binary digits of a number, 0 for 0."""
+    return F.when(n > 0, F.length(F.bin(n))).otherwise(F.lit(0)).cast("int")
+
+
+def _node(lo: Column, size: Column) -> Column:
+    """The node over ``size`` leaves from ``lo``; a tree's last node may be an incomplete one, which moved up."""
+    level = _bits(size - 1)
+    return F.struct(level.alias("level"), F.floor(lo / F.pow(F.lit(2.0), level)).cast("bigint").alias("pos"))
+
+
+def consistency_nodes(old: Column, new: Column) -> Column:
+    """The nodes that prove a log of ``new`` entries to go on from one of ``old`` (RFC 9162), in order; none for equal sizes.
+
+    Both sizes are split from the top: at each turn the half without the old end is a node, until the rest is all old.
+    """
+    begin = F.struct(F.lit(0).cast("bigint").alias("lo"), new.cast("bigint").alias("size"), old.cast("bigint").alias("m"), F.lit(True).alias("whole"), F.array().cast(f"array<{_NODE}>").alias("out"))
+
+    def halve(a: Column, _: Column) -> Column:
+        k = F.pow(F.lit(2.0), _bits(a["size"] - 1) - 1).cast("bigint")
+        left = a["m"] <= k
+        going = F.struct(
+            F.when(left, a["lo"]).otherwise(a["lo"] + k).alias("lo"),
+            F.when(left, k).otherwise(a["size"] - k).alias("size"),
+            F.when(left, a["m"]).otherwise(a["m"] - k).alias("m"),
+            (a["whole"] & left).alias("whole"),
+            F.concat(F.array(F.when(left, _node(a["lo"] + k, a["size"] - k)).otherwise(_node(a["lo"], k))), a["out"]).alias("out"),
+        )
+        return F.when(a["m"] < a["size"], going).otherwise(a)
+
+    done = F.aggregate(F.sequence(F.lit(1), _bits(new)), begin, halve)
+    return F.transform(F.array(done), lambda d: F.when(d["whole"], d["out"]).otherwise(F.concat(F.array(_node(d["lo"], d["size"])), d["out"])))[0]
+
+
+def prefix_nodes(size: Column) -> Column:
+    """The whole subtrees that the first ``size`` entries fill, the smallest first."""
+    all_ = F.transform(F.sequence(F.lit(0), _bits(size) - 1), lambda b: F.struct(b.cast("int").alias("level"), (F.floor(size / F.pow(F.lit(2.0), b)).cast("bigint") - 1).alias("pos")))
+    return F.filter(all_, lambda x: x["pos"] % 2 == 0)
+
+
+def prefix_root(hashes: Column) -> Column:
+    """The root over whole subtrees, the smallest first."""
+    return F.aggregate(F.slice(hashes, 2, F.greatest(F.lit(1), F.size(hashes))), hashes[0], lambda r, h: F.sha2(F.unhex(F.concat(F.lit("01"), h, r)), 256))
+
+
+def consistent(old: Column, new: Column, old_root: Column, new_root: Column, path: Column) -> Column:
+    """Whether a proof leads from both sizes to both roots (RFC 9162): one fold that rebuilds the old and the new root together."""
+    zeros = lambda x: F.when(x > 0, F.length(F.bin(x)) - F.length(F.rtrim(F.bin(x), F.lit("0")))).otherwise(F.lit(0))
+    down = lambda x, by: F.floor(x / F.pow(F.lit(2.0), by)).cast("bigint")
+    power = F.regexp_replace(F.bin(old), "^1", "").rlike("^0*$")
+    whole = F.when(power, F.concat(F.array(old_root), path)).otherwise(path)
+    ones = zeros(old)  # as many ones end old - 1
+    begin = F.struct(down(old - 1, ones).alias("f"), down(new - 1, ones).alias("s"), whole[0].alias("fr"), whole[0].alias("sr"), F.lit(True).alias("ok"))
+    pair = lambda a, b: F.sha2(F.unhex(F.concat(F.lit("01"), a, b)), 256)
+
+    def step(a: Column, c: Column) -> Column:
+        inner = (a["f"] % 2 == 1) | (a["f"] == a["s"])
+        up = F.when(inner, zeros(a["f"])).otherwise(F.lit(0)) + 1
+        return F.struct(
+            down(a["f"], up).alias("f"), down(a["s"], up).alias("s"), F.when(inner, pair(c, a["fr"])).otherwise(a["fr"]).alias("fr"), F.when(inner, pair(c, a["sr"])).otherwise(pair(a["sr"], c)).alias("sr"), (a["ok"] & (a["s"] != 0)).alias("ok")
+        )
+
+    end = F.aggregate(F.slice(whole, 2, F.greatest(F.lit(1), F.size(whole))), begin, step)
+    proven = F.transform(F.array(end), lambda e: e["ok"] & (e["s"] == 0) & (e["fr"] == old_root) & (e["sr"] == new_root))[0]
+    return F.when(old == new, (old_root == new_root) & (F.size(path) == 0)).when((old < 1) | (old > new) | (F.size(path) == 0), F.lit(False)).otherwise(proven)
+
+
+def consistency_proofs(nodes: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """``old, new, old_root, new_root, path`` of every row of ``heads`` (``key, old, new``, 1 <= old <= new = the log's size): the nodes of both are picked from ``nodes`` (of ``log_levels``, written) by one join.
+
+    A proof has at most two nodes a level, so it is gathered in its row. Rows that repeat are proven once.
+    """
+    heads = heads.select(key, F.col("old").cast("bigint").alias("old"), F.col("new").cast("bigint").alias("new")).distinct()
+    ask = lambda kind, of: F.transform(of, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["level"].alias("level"), x["pos"].alias("pos")))
+    asked = heads.select(key, "old", "new", F.explode(F.concat(ask("path", consistency_nodes(F.col("old"), F.col("new"))), ask("old", prefix_nodes(F.col("old"))), ask("new", prefix_nodes(F.col("new"))))).alias("q"))
+    told = asked.select(key, "old", "new", "q.*").join(nodes.select(key, "level", "pos", "hash"), [key, "level", "pos"])
+    held = told.groupBy(key, "old", "new").agg(F.array_sort(F.collect_list(F.struct("kind", "i", "hash"))).alias("h"))
+    of = lambda kind: F.transform(F.filter("h", lambda x: x["kind"] == kind), lambda x: x["hash"])
+    return held.select(key, "old", "new", prefix_root(of("old")).alias("old_root"), prefix_root(of("new")).alias("new_root"), of("path").alias("path"))
+
+
 def chain_head(hashes: Column) -> Column:
     """Head of a hash chain over an ordered array of hex digests: p becomes H(p, h), from 32 zero bytes."""
     return F.aggregate(hashes, F.lit("00" * 32), lambda p, h: F.sha2(F.unhex(F.concat(p, h)), 256))
