@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.jobs.registry import Registry
 from corpusmill.operators.ledger import first_rows
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import scratch_path, table
 from corpusmill.streaming.follow import monotonic, read_stream, run_batches, run_to_end
+from corpusmill.streaming.frames import NamedLog, broken_links, counted_surveys, frames, last_of
 
 jobs = Registry()
 
@@ -42,3 +43,67 @@ def stream_monotonic_head(spark, sf_dir):
     heads = _events(spark, sf_dir).select("user_id", "event_id", size.alias("size"))
     checked = run_to_end(monotonic(heads, "user_id", "event_id", "size"))
     return checked.groupBy("user_id").agg(F.count("*").alias("heads"), F.count_if(~F.col("ok")).alias("shrunk"))
+
+
+def _in_files(rows, by, files):
+    """A stream over ``rows`` dealt to files by ``by`` (0 to ``files`` - 1), which come one after the other."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "messages")
+    for i in range(files):
+        rows.where(by == i).coalesce(1).write.parquet(f"{path}/{i}")
+    like = spark.read.parquet(f"{path}/0")
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _messages(turns):
+    """Turns as frames of two lines and more, cut into messages of 37 characters wherever that falls."""
+    frame = F.concat(F.lit(": a note\nevent: "), F.when(F.col("role") == "assistant", "answer").otherwise("stage"), F.lit("\ndata: "), F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n", "\ndata: "), F.lit("\n\n"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "").alias("t"))
+    at = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 37).cast("int"))
+    return whole.select("conv_id", F.length("t").alias("chars"), F.posexplode(F.transform(at, lambda i: F.substring("t", i * 37 + 1, F.lit(37)))).alias("seq", "text"))
+
+
+@jobs.query(
+    """
+WITH t AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '\n\r?\n')),
+n AS (SELECT conv_id, count(*) AS frames FROM t GROUP BY conv_id)
+SELECT n.conv_id, frames, sha256(replace(arg_max(text, frame), chr(13), '')) AS answer, max(frame) AS frame FROM n JOIN t ON t.conv_id = n.conv_id AND role = 'assistant' GROUP BY n.conv_id, frames"""
+)
+def stream_frames(spark, sf_dir):
+    """Answers from a stream of cut frames in four files: every message's rest waits for the next, and the last answer counts."""
+    turns = table(spark, sf_dir, "conversations").where(~F.coalesce("text", F.lit("")).rlike("\n\r?\n"))
+    messages = _messages(turns)
+    found = run_to_end(frames(_in_files(messages, F.floor(F.col("seq") * 37 * 4 / F.col("chars")).cast("int"), 4).select("conv_id", "seq", "text"), "conv_id", "seq", "text"))
+    answers = last_of(found, "conv_id", "answer")
+    return found.groupBy("conv_id").agg(F.count("*").alias("frames")).join(answers, "conv_id").select("conv_id", "frames", F.sha2(F.regexp_replace("data", "\r", ""), 256).alias("answer"), "frame")
+
+
+@jobs.query(
+    """
+SELECT user_id, count(*) AS surveys, max(event_id) AS last, count(*) = 12 AS ended FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 12 GROUP BY user_id"""
+)
+def stream_surveys(spark, sf_dir):
+    """Refreshes that end after twelve surveys of a user, from a stream of three files in order."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    top = events.agg(F.max("event_id")).first()[0]
+    third = F.least(F.lit(2), F.floor(F.col("event_id") * 3 / F.lit((top or 0) + 1)).cast("int"))
+    found = run_to_end(counted_surveys(_in_files(events, third, 3), "user_id", "event_id"))
+    return found.groupBy("user_id").agg(F.count("*").alias("surveys"), F.max("event_id").alias("last"), F.bool_or("ended").alias("ended"))
+
+
+@jobs.query(
+    """
+WITH b AS (SELECT event_type AS chain, event_id AS t, 'user ' || user_id || ' value ' || floor(value)::BIGINT AS body FROM events),
+f AS (SELECT chain, body, min(t) AS t FROM b GROUP BY ALL),
+n AS (SELECT chain, t, body, sha256(chain || chr(10) || body) AS name FROM f)
+SELECT chain, row_number() OVER w - 1 AS entry, name, coalesce(lag(name) OVER w, '') AS previous, TRUE AS linked FROM n WINDOW w AS (PARTITION BY chain ORDER BY t)"""
+)
+def drift_append(spark, sf_dir):
+    """A log appended to in three batches, two of which run twice: the same bytes are one entry, and each entry names the one before."""
+    body = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" value "), F.floor("value").cast("string"))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("chain"), F.col("event_id").alias("at"), body.alias("body"))
+    top = (events.agg(F.max("at")).first()[0] or 0) + 1
+    log = NamedLog(spark)
+    for low, high in ((0, 1), (0, 1), (1, 2), (0, 2), (2, 3)):
+        log.append(events.where((F.col("at") * 3 >= low * top) & (F.col("at") * 3 < high * top)))
+    bad = broken_links(log.read()).select("chain", "entry").withColumn("bad", F.lit(True))
+    return log.read().join(bad, ["chain", "entry"], "left").select("chain", "entry", "name", "previous", F.col("bad").isNull().alias("linked"))
