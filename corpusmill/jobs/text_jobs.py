@@ -338,3 +338,29 @@ def agent_catalog(spark, sf_dir):
     line = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit(" chars="), F.col("n_chars").cast("string"))
     lines = table(spark, sf_dir, "documents").select("lang", F.floor(F.col("doc_id") / 500).alias("page"), "doc_id", line.alias("line"))
     return lines.groupBy("lang", "page").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
+
+
+_UNDER = "CASE WHEN len(x) BETWEEN 10 AND 60 AND len(x) % 3 = 0 THEN x || chr(10) || repeat(substr('=~-^*#+', len(x)::INT % 7 + 1, 1), greatest(1, len(x) + len(x) % 9 - 4)::INT) ELSE x END"
+
+
+@jobs.query(
+    f"""
+WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_UNDER}), chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split({_TIDY.replace("{t}", "t")}, chr(10)) AS x FROM t)),
+m AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s, regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^((?:[0-9]{{1,3}}\\.)*[0-9]{{1,3}}\\.?|[A-Z]\\.(?:[0-9]{{1,3}}\\.?)*|Appendix\\s+[A-Z]\\.?)\\s{{1,4}}(\\S.{{1,80}})$', ['label', 'title']) AS x,
+      coalesce(lag(line) OVER w, '') AS before, coalesce(lead(line) OVER w, '') AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+k AS (SELECT *, x.label AS label, x.title AS title, len(list_filter(string_split(regexp_replace(x.label, '^Appendix\\s+', ''), '.'), lambda y: y <> '')) AS depth, len(regexp_replace(x.title, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_replace(x.title, '\\s', '', 'g')) AS chars FROM m),
+d AS (SELECT doc_id, n, line, s, CASE WHEN s <> '' AND NOT regexp_matches(line, '^\\s') AND abs(len(trim(after)) - len(s)) <= 3 THEN
+        CASE WHEN regexp_matches(after, '^(={{3,}}|#{{3,}})\\s*$') THEN 1 WHEN regexp_matches(after, '^-{{3,}}\\s*$') THEN 2 WHEN regexp_matches(after, '^(~{{3,}}|\\^{{3,}}|\\*{{3,}})\\s*$') THEN 3 ELSE 0 END ELSE 0 END AS under,
+      CASE WHEN trim(before) = '' AND NOT regexp_matches(line, '^\\s') THEN {_NUMBERED} ELSE 0 END AS num FROM k),
+g AS (SELECT *, coalesce(lag(under) OVER (PARTITION BY doc_id ORDER BY n), 0) > 0 AS gone FROM d)
+SELECT doc_id, count_if(NOT gone AND greatest(under, num) > 0)::BIGINT AS headings, sha256(string_agg(CASE WHEN under > 0 OR num > 0 THEN chr(10) || repeat('#', CASE WHEN under > 0 THEN under ELSE num END::INT) || ' ' || trim(regexp_replace(line, '\\s+', ' ', 'g')) || chr(10) ELSE line END, chr(10) ORDER BY n) FILTER (NOT gone)) AS name
+FROM g GROUP BY doc_id"""
+)
+def text_headings(spark, sf_dir):
+    """Plain texts with their headings marked; a third of the short lines get an underline of some mark and length."""
+    n = lambda x: F.length(x)
+    under = lambda x: F.repeat(F.substring(F.lit("=~-^*#+"), n(x) % 7 + 1, F.lit(1)), F.greatest(F.lit(1), n(x) + n(x) % 9 - 4))
+    lined = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when((n(x) >= 10) & (n(x) <= 60) & (n(x) % 3 == 0), F.concat(x, F.lit("\n"), under(x))).otherwise(x))
+    marked_up = table(spark, sf_dir, "documents").select("doc_id", sections.text_markdown(F.array_join(lined, "\n")).alias("md"))
+    return marked_up.select("doc_id", F.size(F.filter(F.split("md", "\n"), lambda x: x.rlike("^#{1,6} "))).cast("bigint").alias("headings"), F.sha2("md", 256).alias("name"))

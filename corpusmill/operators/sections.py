@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import clean_title, let, numbered_depth, one_line, tidy
+from corpusmill.functions.text import clean_title, heading, let, numbered_depth, one_line, strip_space, tidy
 
 # Words that are never distinctive.
 STOP_WORDS = (
@@ -93,6 +93,49 @@ def underlined(lines: Column) -> Column:
     return let(F.aggregate(lines, begin, add)["at"], lambda at: F.when(F.size(at) > 0, changed(at)).otherwise(lines))
 
 
+# Marks that underline a title, with the depth they give it.
+UNDERLINES = (("=", 1), ("#", 1), ("-", 2), ("~", 3), ("^", 3), ("*", 3))
+
+
+def text_markdown(text: Column) -> Column:
+    """Plain text with its headings marked: lines underlined by three and more of a mark, as long as the line give or take three characters, and numbered headings after an empty line.
+
+    A heading stands between line ends; its underline goes. A line that begins with white space is no title, and an underline that was one belongs to no other line.
+    """
+    under_depth = lambda x: F.coalesce(*[F.when(x.rlike(f"^\\{mark}{{3,}}\\s*$"), F.lit(depth)) for mark, depth in UNDERLINES], F.lit(0))
+
+    def mark_up(lines: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("i"), F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+
+        def add(a: Column, x: Column) -> Column:
+            following = F.coalesce(F.get(lines, a["i"] + 1), F.lit(""))
+            open_ = (F.trim(x) != "") & ~x.rlike("^\\s")
+            under = F.when(open_ & (F.abs(F.length(strip_space(following)) - F.length(strip_space(x))) <= 3), under_depth(following)).otherwise(0)
+            first = (a["i"] == 0) | (strip_space(F.coalesce(F.get(lines, a["i"] - 1), F.lit(""))) == "")
+            depth = F.when(under > 0, under).when(first & ~x.rlike("^\\s"), numbered_depth(x)).otherwise(0)
+            line = F.when(depth > 0, heading(depth, x)).otherwise(x)
+            return F.when(a["skip"], F.struct((a["i"] + 1).alias("i"), F.lit(False).alias("skip"), a["out"].alias("out"))).otherwise(F.struct((a["i"] + 1).alias("i"), (under > 0).alias("skip"), F.concat(a["out"], F.array(line)).alias("out")))
+
+        return F.aggregate(lines, begin, add)["out"]
+
+    return let(F.split(tidy(text), "\n"), lambda lines: F.array_join(mark_up(lines), "\n"))
+
+
+# What defines a name in common programming languages, at the start of a line.
+SYMBOLS = (
+    "^\\s*(?:export\\s+)?(?:default\\s+)?(?:pub(?:\\([^)]*\\))?\\s+)?(?:async\\s+)?(?:function\\*?|class|def|fn|func|interface|type|struct|enum|trait|module|object)\\s+([A-Za-z_$][A-Za-z0-9_$]*)",
+    "^\\s*(?:export\\s+)?(?:const|let|var)\\s+([A-Za-z_$][A-Za-z0-9_$]*)\\s*=\\s*(?:async\\s*)?(?:function|\\([^)]*\\)\\s*=>|[A-Za-z0-9_$]+\\s*=>)",
+    "^([A-Za-z_$][A-Za-z0-9_$]*(?:\\.[A-Za-z0-9_$]+)+)\\s*=\\s*(?:async\\s+)?function",
+)
+
+
+def symbols(code: Column, most: int = 10) -> Column:
+    """The first ``most`` different names that a piece of code defines."""
+    # The first of the patterns that a line follows names it.
+    name = lambda x: F.coalesce(*[F.when(x.rlike(p), F.regexp_extract(x, p, 1)) for p in SYMBOLS])
+    return F.slice(F.array_distinct(F.array_compact(F.transform(F.split(code, "\n"), name))), 1, most)
+
+
 def heading_blocks(md: Column, root: Column) -> Column:
     """Blocks (title, depth, text) of a text, from heading to heading; a heading in a fence is text. What stands before the first is a block named ``root``, or goes to the first if it is blank."""
     begin = F.struct(F.lit(0).alias("i"), F.lit(False).alias("fence"), F.array().cast("array<int>").alias("at"))

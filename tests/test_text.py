@@ -236,3 +236,16 @@ def test_long_passages_travel_as_hashes(spark):
     docs = spark.createDataFrame([(1, "x " + long + " y"), (2, long[5:])], "d bigint, text string")
     items = spark.createDataFrame([(1, long), (2, "word word word end"), (2, "word word word end")], "p bigint, text string")
     assert sorted(tuple(r) for r in grounding.contained_passages(docs, "d", items, "p").collect()) == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 2)]
+
+
+def test_underlined_and_numbered_headings(spark):
+    text = "Title\n=====\nbody\nOther ~\n~~~~~~~~~\nSub\n---\n  in\n---\nlong enough line\n---\nDeep\n^^^^\nStar\n****\nHash\n###\n***\n***\n***\n1.2 Scope here\n\n1.3 Terms here\nmixed\n=-=-="
+    got = values(spark, [text, "", None], sections.text_markdown(X))
+    want = ["\n# Title\n", "body", "\n### Other ~\n", "\n## Sub\n", "  in", "---", "long enough line", "---", "\n### Deep\n", "\n### Star\n", "\n# Hash\n", "\n### ***\n", "***", "1.2 Scope here", "", "\n## 1.3 Terms here\n", "mixed", "=-=-="]
+    assert got == ["\n".join(want), "", None]
+
+
+def test_symbols(spark):
+    code = "export default async function* run(a) {\nclass Two:\n  def three(self)\npub(crate) fn four()\nconst five = async (x) => x\nlet six = y => y\nvar no = 7\na.b.c = function() {}\nclass Two\nreturn def_x\ntype $T = 1"
+    assert values(spark, [code, "", None], sections.symbols(X)) == [["run", "Two", "three", "four", "five", "six", "a.b.c", "$T"], [], None]
+    assert len(values(spark, ["\n".join(f"def f{i}" for i in range(30))], sections.symbols(X))[0]) == 10
