@@ -126,12 +126,20 @@ def parameter_count(spark, sf_dir):
 
 @jobs.query(
     """
-SELECT doc_id, (doc_id % 10 < 7) AS stored FROM documents d WHERE EXISTS (SELECT 1 FROM documents s WHERE s.doc_id = d.doc_id AND s.doc_id % 10 < 7)"""
+WITH s AS (SELECT doc_id, 'chunk ' || doc_id || ' I' || n_chars || '[' || n_chars || ']' AS label, sha256(coalesce(text, '')) AS hash FROM documents),
+r AS (SELECT 'chunk ' || doc_id AS label, CASE WHEN doc_id % 4 = 1 THEN sha256(source) ELSE sha256(coalesce(text, '')) END AS hash, 1 AS pos FROM documents WHERE n_chars > 500
+      UNION ALL SELECT 'chunk ' || doc_id, sha256(lang), 2 FROM documents WHERE n_chars > 4000 UNION ALL SELECT 'gone ' || doc_id, sha256(lang), 3 FROM documents),
+l AS (SELECT label, arg_max(hash, pos) AS hash FROM r GROUP BY label)
+SELECT doc_id, s.hash = l.hash AS shown FROM s JOIN l ON l.label = 'chunk ' || doc_id"""
 )
 def preview_rows(spark, sf_dir):
-    """Rows of a structure for which a stored row exists."""
+    """Chunks of a structure for which a stored row exists by its label without type and shape, and whether they still have its hash, so that they may be shown; of rows with one label the last counts."""
     docs = table(spark, sf_dir, "documents")
-    return docs.join(docs.where("doc_id % 10 < 7").select("doc_id"), "doc_id", "left_semi").select("doc_id", (F.col("doc_id") % 10 < 7).alias("stored"))
+    name, digest = F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    structure = docs.select("doc_id", F.format_string("chunk %s I%s[%s]", name, F.col("n_chars").cast("string"), F.col("n_chars").cast("string")).alias("label"), digest.alias("hash"))
+    row = lambda label, hash_, pos: docs.select(F.concat(F.lit(label), name).alias("label"), hash_.alias("hash"), F.lit(pos).alias("pos"), "n_chars")
+    stored = row("chunk ", F.when(F.col("doc_id") % 4 == 1, F.sha2("source", 256)).otherwise(digest), 1).where("n_chars > 500").unionByName(row("chunk ", F.sha2("lang", 256), 2).where("n_chars > 4000")).unionByName(row("gone ", F.sha2("lang", 256), 3))
+    return R.previewed(structure, stored.drop("n_chars")).select("doc_id", "shown")
 
 
 @jobs.query(
@@ -147,10 +155,12 @@ def template_fill(spark, sf_dir):
 
 @jobs.query(
     """
-SELECT e.event_id, e.user_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS y FROM events e WHERE e.event_id % greatest(1, (e.user_id % 20 + 8) // 8) = 0"""
+WITH d AS (SELECT user_id, dayofyear(ts)::BIGINT AS day, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL),
+s AS (SELECT user_id, min(day) AS a, max(day) AS b, greatest(1, ceil((max(day) - min(day) + 1) / 8))::BIGINT AS step FROM d GROUP BY user_id),
+y AS (SELECT user_id, unnest(range(a, b + 1, step)) AS day FROM s)
+SELECT y.user_id, y.day, event_id FROM y LEFT JOIN d ON d.user_id = y.user_id AND d.day = y.day"""
 )
 def stepped_series(spark, sf_dir):
-    """Every k-th capture of a series, k so that about eight of a span are left."""
-    step = F.greatest(F.lit(1), F.floor((F.col("user_id") % 20 + 8) / 8))
-    kept = table(spark, sf_dir, "events").where(F.col("event_id") % step == 0)
-    return kept.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("y"))
+    """At most eight days of every user's span, evenly stepped from the first, with the day's newest capture if there is one."""
+    days = table(spark, sf_dir, "events").select("user_id", F.dayofyear("ts").cast("bigint").alias("day"), "ts", "event_id")
+    return R.stepped(days, "user_id", "day", 8, F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import let
+from corpusmill.functions.text import let, manifest_key
 from corpusmill.operators.ordered import running
 
 
@@ -54,6 +54,20 @@ def ends_and_some(rows: DataFrame, key: str, order: str, all_up_to: int, some: i
     return ranked.where((F.col("total") <= all_up_to) | F.col("end") | (F.col("rank") <= some)).drop("end", "rank")
 
 
+def previewed(structure: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of ``structure`` (``label, hash``) that ``stored`` (``label, hash, pos``) has by their label without type and shape, with ``shown``: whether the hash is still the stored one. The last of rows with one label counts; a null hash is never shown."""
+    last = stored.groupBy(manifest_key(F.col("label")).alias("key")).agg(F.max_by(F.struct("hash"), "pos").alias("kept"))
+    return structure.withColumn("key", manifest_key(F.col("label"))).join(last, "key").withColumn("shown", F.coalesce(F.col("hash") == F.col("kept.hash"), F.lit(False))).drop("key", "kept")
+
+
+def stepped(rows: DataFrame, key: str, at: str, most: int, newest: Column) -> DataFrame:
+    """At most ``most`` evenly stepped places of each key's span from its least ``at`` on, with ``newest`` of the rows at that place, null where there is none. Only one row a key and place is joined."""
+    held = rows.where(F.col(at).isNotNull()).groupBy(key, at).agg(newest)
+    ends = held.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    step = F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("last") - F.col("first") + 1) / most))
+    return ends.select(key, F.explode(F.sequence("first", "last", step)).alias(at)).join(held, [key, at], "left")
+
+
 def against_seal(manifest: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """``state`` of every entry of ``manifest`` (``want``, ``copy``) by the hash ``sha`` of its file, and what to restore it from."""
     both = manifest.join(files.select(key, "sha"), key, "left")

@@ -86,3 +86,15 @@ def test_bookmarks_move_forward(spark):
     df = spark.createDataFrame(pages, "id int, marks array<string>, lines array<string>")
     for r in df.select("id", rasters.aligned(F.col("marks"), F.col("lines")).alias("at")).collect():
         assert [(x.line, x.before) for x in r["at"]] == plain_aligned(pages[r.id][1], pages[r.id][2]), pages[r.id]
+
+
+def test_previews_need_the_stored_hash(spark):
+    from corpusmill.operators.records import previewed, stepped
+
+    structure = spark.createDataFrame([("tensor transformer.a F32[2,3]", "h1"), ("tile 1", "h2"), ("tile 2", None), ("tile 3", "h3"), (None, "h4")], "label string, hash string")
+    stored = spark.createDataFrame([("tensor a", "old", 1), ("tensor a", "h1", 2), ("tile 1", "h2", 1), ("tile 1", "x", 2), ("tile 2", "h", 1), ("tile 9", "h", 1)], "label string, hash string, pos int")
+    assert sorted((r.label, r.shown) for r in previewed(structure, stored).collect()) == [("tensor transformer.a F32[2,3]", True), ("tile 1", False), ("tile 2", False)]
+    rows = spark.createDataFrame([("a", d, i) for i, d in enumerate([3, 3, 30, 12, 7])] + [("b", 5, 9), ("c", None, 1)], "k string, d bigint, e int")
+    got = {(r.k, r.d): r.e for r in stepped(rows, "k", "d", 4, F.max("e").alias("e")).collect()}
+    assert got == {("a", 3): 1, ("a", 10): None, ("a", 17): None, ("a", 24): None, ("b", 5): 9}
+    assert stepped(rows.limit(0), "k", "d", 4, F.max("e").alias("e")).count() == 0 and previewed(structure.limit(0), stored).count() == 0
