@@ -212,3 +212,40 @@ def test_search_of_nothing(spark, empty):
     one = spark.createDataFrame([(1, "a")], "item_id bigint, text string")
     assert lexical_search.ranked_documents(empty, one).count() == 0 and lexical_search.ranked_documents(empty, none).count() == 0
     assert lexical_search.ranked_documents(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), none).count() == 0
+
+
+# ---- 2 and 9: plain versions of what the models compute
+
+
+def test_scores_are_a_plain_convolution(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import toxicity
+
+    rng = np.random.default_rng(31)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9)))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 30, 80)] + ["", None, "one", "Two words", "...", "a-b c_d É é"]
+    ids = [r.ids for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", toxicity.word_ids(F.col("t")).alias("ids")).orderBy("i").collect()]
+    rows = [np.array(x, np.int64) for x in ids]
+    assert [len(x) // 5 for x in rows[-4:]] == [1, 2, 0, 6]
+    model = toxicity.TextCnn().fit(rows[:60], np.array([i % 3 == 0 for i in range(60)], np.int64))
+    got = model.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]))
+    for x, score in zip(rows, got):
+        vectors = [[sum(float(model.embed[i][d]) for i in word) for d in range(toxicity.DIM)] for word in x.reshape(-1, 5)]
+        total = float(model.bias)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                responses = [sum(vectors[at + j][d] * float(model.filters[k][j][d][f]) for j in range(width) for d in range(toxicity.DIM)) for at in range(len(vectors) - width + 1)]
+                if responses:
+                    total += max(0.0, max(responses)) * float(model.out[k * toxicity.FILTERS + f])
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-4
+
+
+def test_suffix_tree_of_null_ids_alone(spark):
+    from corpusmill.llm import suffix_tree
+
+    docs = spark.createDataFrame([(None, "a b c a b c"), (None, None), (None, "")], "doc_id bigint, text string")
+    rows = suffix_tree.score_texts(docs).collect()
+    # Nothing is learned from rows without an id: every token has the share of an unknown one.
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in rows) == [(1, 0, 0, False), (1, 0, 0, False), (7, 0, 0, False)]
+    assert all(r.doc_id is None and math.isfinite(r.score) and abs(r.base_score - r.n_tokens * math.log10(0.1 / 0.1)) < 1e-9 for r in rows)
