@@ -52,7 +52,7 @@ LCS_WITH_ANSWER = 0.6
 ANSWER_PART = 0.5
 TERM_BLOCK = 512
 #: Share of an item's squared TF-IDF weights that the space must keep for its cosine to decide, and windows on which its limit is set.
-KEPT = 0.5
+KEPT = 0.15
 VARIANTS = 10
 #: Words of a run that counts as a clause in whatever order.
 TILE = 4
