@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import encoder, small_batches
+from corpusmill.llm.tokens import CACHE_BYTES, encoder, small_batches
 from corpusmill.sources.tables import table, written
 
 SEQUENCE = 2048
-#: Bytes of chunks that a task remembers here, where other stages have filled their executors before.
-CACHE_BYTES = 24 << 20
 GROUP_PIECES = 8192
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -50,12 +48,12 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capacity: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per full sequence and per rest of every document."""
+def cut_pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capacity: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES, keep: bool = True) -> DataFrame:
+    """A row per full sequence and per rest of every document. ``cache_bytes`` and ``keep`` (see ``encoder``) bound what workers remember; results don't depend on them."""
     small_batches(docs.sparkSession)
 
     def cut(batches):
-        with encoder(tokenizer, keeps_blanks, CACHE_BYTES) as enc:
+        with encoder(tokenizer, keeps_blanks, cache_bytes, keep) as enc:
             for batch in batches:
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
@@ -83,9 +81,9 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int = GROUP_
     return dealt.groupBy("group").applyInPandas(pack_group, PIECES + ", sequence_id bigint, offset bigint")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capacity: int = SEQUENCE) -> DataFrame:
-    """Cuts and packs; the pieces are written in between."""
-    return pack(written(cut_pieces(docs, tokenizer, keeps_blanks, capacity), "pieces"), capacity)
+def packed_documents(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capacity: int = SEQUENCE, **memory) -> DataFrame:
+    """Cuts and packs; the pieces are written in between. ``memory``: ``cache_bytes`` and ``keep`` of the cutting tasks."""
+    return pack(written(cut_pieces(docs, tokenizer, keeps_blanks, capacity, **memory), "pieces"), capacity)
 
 
 def op10_pack_sequences(spark, sf_dir: str) -> DataFrame:

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import re
 from contextlib import contextmanager
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
 #: Fixed value: the id that ends a document.
 END_ID = 1
-#: Bytes of distinct chunks that a task remembers; beyond it the memory starts anew, so results never depend on it.
-CACHE_BYTES = 64 << 20
+#: Bytes of distinct chunks that a worker remembers; beyond it the memory starts anew, so results never depend on it.
+CACHE_BYTES = 96 << 20
 #: What a remembered chunk takes besides its characters and ids: the string's head, its place in the table, its first id and count.
 _CHUNK_BYTES = 180
 _BLOCK_UNITS = 50_000
@@ -51,6 +51,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_RUN_LETTERS = {b: x for b, x in _BYTE_LETTERS.items() if b != 10}
 
 
 class Encoder:
@@ -81,17 +82,16 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, units: list[str]) -> None:
-        new = list(set(units).difference(self.known))
-        if not new:
-            return
-        if self.held > self.cache_bytes:
-            self._forget()
-            new = list(set(units))
+    def _learn(self, new: list[str]) -> None:
+        """Encodes chunks that aren't known yet, each once."""
         # A run of Latin letters is one word to the tokenizer: its model takes it straight.
-        runs, rest = [x for x in new if _LETTERS(x)], [x for x in new if not _LETTERS(x)]
+        runs, rest = [], []
+        for x in new:
+            (runs if _LETTERS(x) else rest).append(x)
         new, merge = runs + rest, self.tokenizer.model.tokenize
-        found = [[k.id for k in merge((x if self.keeps_blanks else x.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS))] for x in runs]
+        # The letters that stand for bytes, of all runs in one pass; a line end, which no run holds, keeps them apart.
+        shown = "\n".join(runs if self.keeps_blanks else [x.lower() for x in runs]).encode().decode("latin-1").translate(_RUN_LETTERS).split("\n") if runs else []
+        found = [[k.id for k in merge(x)] for x in shown]
         found += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         total, n = int(counts.sum()), len(self.known)
@@ -99,7 +99,7 @@ class Encoder:
             self.flat = np.resize(self.flat, 2 * (self.used + total))
         if n + len(new) > len(self.first):
             self.first, self.count = (np.resize(x, 2 * (n + len(new))) for x in (self.first, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
         self.first[n : n + len(new)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(new)] = counts
         self.used += total
@@ -108,8 +108,15 @@ class Encoder:
 
     def _of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units in a row, and how many each has."""
-        self._learn(units)
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        if self.held > self.cache_bytes:
+            self._forget()
+        at = list(map(self.known.get, units))
+        if missing := [i for i, k in enumerate(at) if k is None]:
+            self._learn(list({units[i] for i in missing}))
+            known = self.known
+            for i in missing:
+                at[i] = known[units[i]]
+        at = np.array(at, np.int64)
         counts = self.count[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -156,8 +163,8 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 @contextmanager
-def encoder(path: str, keeps_blanks: bool, cache_bytes: int = CACHE_BYTES):
-    """This worker's encoder for the length of a task; the tokenizer stays, what was remembered goes.
+def encoder(path: str, keeps_blanks: bool, cache_bytes: int = CACHE_BYTES, keep: bool = True):
+    """This worker's encoder for the length of a task; the tokenizer stays, and with ``keep`` what was remembered, for the worker's next task.
 
     The first use in a worker holds the chunk rules against the library's own ids and fails if a file doesn't follow them.
     """
@@ -170,7 +177,8 @@ def encoder(path: str, keeps_blanks: bool, cache_bytes: int = CACHE_BYTES):
     try:
         yield mine
     finally:
-        mine._forget()
+        if not keep:
+            mine._forget()
         pa.default_memory_pool().release_unused()
 
 
