@@ -60,7 +60,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2048 tokens: a row for each piece. A null text is empty and has its end token alone; repeated rows are packed each."""
     import public_tokenizers
 
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Little is remembered here: the stages before have filled the executors.
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=24 << 20, keep=False)
 
 
 STAGES = [
