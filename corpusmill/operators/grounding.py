@@ -15,8 +15,8 @@ KEY_CHARS = 40
 SCAN_CHARS = 2_000_000
 #: Shorter spans between quotation marks are no quotes.
 LEAST_QUOTE = 12
-# Fixed value: links, and tokens of the form family:kind:id, in which neither digits nor words count.
-LINKS = "emem:[a-z]+:\\S+|https?://\\S+"
+# Links, and tokens of the form family:kind:id, in which neither digits nor words count.
+LINKS = "[a-z]+:[a-z]+:\\S+|https?://\\S+"
 # Words that give a number no context.
 CONTEXT_STOP = (
     "the and for that with this from are was were been have has not but can will may must which their there these those into than then when what where who how all any each other such only "
