@@ -29,6 +29,8 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
     "orc.compress": "ZSTD",
 }
+#: Bytes of chunks that a worker remembers.
+CACHE_BYTES = 160 << 20
 #: part and row give the place of a document in the whole order.
 SCHEMA = "doc_id bigint, part int, row bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -40,7 +42,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, keeps_blanks: bo
 
     def encode(batches):
         part, row = TaskContext.get().partitionId(), 0
-        with encoder(tokenizer, keeps_blanks) as enc:
+        with encoder(tokenizer, keeps_blanks, CACHE_BYTES) as enc:
             for batch in batches:
                 ids = list(enc.encode(batch.column("text").to_pylist()))
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))

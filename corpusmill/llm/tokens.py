@@ -33,6 +33,15 @@ _LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _UNSURE = [chr(i) for i in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _SPECIAL = ["<|"]
 
+def _shown(runs: list[str], keeps_blanks: bool) -> list[str]:
+    """Runs in the letters that stand for bytes, all in one pass: a line end, which no run holds, keeps them apart. Of ASCII only the blank has another letter."""
+    if not runs:
+        return []
+    text = "\n".join(runs if keeps_blanks else [x.lower() for x in runs])
+    text = text.replace(" ", _BYTE_LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(_RUN_LETTERS)
+    return text.split("\n")
+
+
 #: Texts that try every rule by which a text is cut.
 PROBES = [
     "Plain words, in a row. And more: 3.14, 15% of x-ray (really)!",
@@ -88,9 +97,8 @@ class Encoder:
         runs, rest = [], []
         for x in new:
             (runs if _LETTERS(x) else rest).append(x)
-        new, merge = runs + rest, self.tokenizer.model.tokenize
-        # The letters that stand for bytes, of all runs in one pass; a line end, which no run holds, keeps them apart.
-        shown = "\n".join(runs if self.keeps_blanks else [x.lower() for x in runs]).encode().decode("latin-1").translate(_RUN_LETTERS).split("\n") if runs else []
+        new, merge = [x for x in runs if x.isascii()] + [x for x in runs if not x.isascii()] + rest, self.tokenizer.model.tokenize
+        shown = _shown([x for x in runs if x.isascii()], self.keeps_blanks) + _shown([x for x in runs if not x.isascii()], self.keeps_blanks)
         found = [[k.id for k in merge(x)] for x in shown]
         found += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
