@@ -116,6 +116,13 @@ def test_numbers_in_context(spark):
     assert held == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_numbers_beyond_64_bits(spark):
+    big = "909955422195631329054"
+    src = spark.createDataFrame([(1, f"The serial number is {big} there. Another was 9223372036854775807.")], "of bigint, text string")
+    ans = spark.createDataFrame([(1, 1, f"Its serial number is {big}."), (2, 1, "Its serial number is 9223372036854775807."), (3, 1, "Its serial number is 99999999999999999999999.")], "aid bigint, of bigint, text string")
+    assert {r.aid: r.held for r in grounding.numbers_held(ans, "aid", src, ["of"]).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_html():
     title, blocks = to_markdown("<title>T  x</title><nav>no</nav><h2>Head</h2><p>a <b>b</b></p><ul><li>one<li>two</ul><pre>x\n y</pre><table><tr><td>1</td><td>2</td></tr></table><script>z</script>")
     assert title == "T x" and blocks == ["## Head", "a b", "- one", "- two", "```\nx\n y\n```", "| 1 | 2 |"]
