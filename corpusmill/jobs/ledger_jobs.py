@@ -12,7 +12,8 @@ jobs = Registry()
 
 
 def _seconds(c: str = "ts"):
-    return F.unix_seconds(F.to_timestamp(c))
+    """Seconds since 1970, rounded (halves to even) as the SQL's cast does."""
+    return F.rint(F.unix_micros(F.to_timestamp(c)) / 1e6).cast("bigint")
 
 
 _HOPS = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'deliver' WHEN 'error' THEN 'verify' ELSE 'other' END"

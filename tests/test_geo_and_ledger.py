@@ -69,6 +69,18 @@ def test_token_bucket(spark):
     assert starts[:40] == [0.0] * 40 and [round(x, 4) for x in starts[40:43]] == [round(i / 3.5, 4) for i in (1, 2, 3)]
 
 
+def test_hourly_cap_rounds_seconds(spark, tmp_path):
+    import datetime
+
+    from corpusmill.jobs.ledger_jobs import hourly_cap
+
+    # 0.4 s and 3,600.4 s round to an hour's distance, as 0.6 s and 3,600.6 s do; 0.4 s and 3,600.6 s don't.
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [(1, 1, at(0.6)), (2, 1, at(3600.6)), (3, 2, at(0.4)), (4, 2, at(3600.6)), (5, 3, at(0.6)), (6, 3, at(3601.4))]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.n for r in hourly_cap(spark, str(tmp_path)).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 2}
+
+
 def test_budget_stops_at_first_breach(spark):
     steps = spark.createDataFrame([("r", i, 10.0) for i in range(5)], "k string, i int, s double")
     assert [r.ok for r in ledger.within_budget(steps, "k", "i", "s", 10, 25).orderBy("i").collect()] == [True, True, True, False, False]
