@@ -33,6 +33,11 @@ def test_displays(spark):
     assert [r[0] for r in df.select(T.size_display(F.col("n"))).collect()][-1] == "3.4 GB"
 
 
+def test_token_compare_shows_millions_with_a_place(spark):
+    df = spark.createDataFrame([(950,), (95_400,), (1_250_000,), (25_340_000,), (3_400_000_000,)], "n bigint")
+    assert [r[0] for r in df.select(T.token_display(F.col("n"), millions=True)).collect()] == ["~950", "~95k", "~1.3M", "~25.3M", "~3400.0M"]
+
+
 def test_numbered_depth(spark):
     rows = ["2.1 The second part", "1 Introduction", "A.3 More", "Appendix B Notes", "3 apples are red.", "4 Contents ..... 12", "12 x", "plain", "1.2.3.4.5.6.7 Deep part"]
     assert values(spark, rows, T.numbered_depth(X)) == [2, 1, 2, 1, 0, 0, 0, 0, 6]
