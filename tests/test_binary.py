@@ -57,3 +57,20 @@ def test_broken_files_become_errors(spark, tmp_path):
     (tmp_path / "bad.gguf").write_bytes(b"nope")
     rows = B.read_chunks(spark, f"file://{tmp_path}", B.gguf_reader).collect()
     assert len(rows) == 1 and rows[0].error == "not a GGUF file" and rows[0].pos is None
+
+
+def test_parquet_footers_of_large_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    small, large = tmp_path / "small.parquet", tmp_path / "large.parquet"
+    pq.write_table(pa.table({"a": [1, 2, None], "b": ["x", "y", "z"]}), small)
+    data = small.read_bytes()
+    footer = data[-8 - int.from_bytes(data[-8:-4], "little") :]
+    # Three gigabytes without blocks on the disk, more than a binary value holds, then the footer.
+    with open(large, "wb") as f:
+        f.truncate(3 << 30)
+        f.seek(3 << 30)
+        f.write(footer)
+    got = [tuple(r) for r in B.parquet_chunks(spark, str(large)).orderBy("pos").collect()]
+    assert got == [tuple(r[:6]) for r in B.parquet_reader(data)] and [r[1] for r in got] == [0, 1]
