@@ -70,6 +70,55 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert all(0 <= r.score <= 1 for r in scored)
 
 
+def test_toxicity_learns_every_labelled_row(spark):
+    rows = [(i, f"plain words of text {i}" + (" zorgle" if i % 10 == 0 else ""), "en", int(i % 10 == 0)) for i in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int").repartition(5)
+    chunks = toxicity.labelled_chunks(docs, docs.select("doc_id", "toxic")).collect()
+    # More rows of a label than the bound of 3,000 that a sample of them had before.
+    assert sum(y == 0 for c in chunks for y in c.labels) == 8_100 and sum(y == 1 for c in chunks for y in c.labels) == 900
+    # Counts, gradients and steps summed by Spark give the model of all rows at hand.
+    model, _ = toxicity.train(docs, docs.select("doc_id", "toxic"), passes=2)
+    chunk = [toxicity.Chunk.of(*[np.array(c[x]) for x in ("words", "codes", "limits", "labels")]) for c in chunks]
+    counts = sum(c.document_counts() for c in chunk)
+    plain = toxicity.TextCnn().start(counts[:, : toxicity.BUCKETS], counts[:, toxicity.BUCKETS])
+    for number in range(2):
+        found = [plain.gradient(c) for c in chunk]
+        by_id = np.zeros((toxicity.BUCKETS, toxicity.DIM), np.int64)
+        for ids, rest, _ in found:
+            by_id[ids] += rest
+        ids = np.flatnonzero(by_id.any(1))
+        plain.step(number, ids, by_id[ids], sum(x[2] for x in found))
+    # Chunks may differ in how rows are dealt to them, so sums do in their last digits.
+    assert np.allclose(model.embed, plain.embed, atol=1e-4) and np.allclose(model.out, plain.out, atol=1e-4)
+
+
+def test_toxicity_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 12, 40)
+    ids = rng.integers(0, 50, int(n.sum()) * 5)
+    y = rng.integers(0, 2, 40)
+    chunk = toxicity.Chunk(ids, np.concatenate([[0], np.cumsum(n)]), y)
+    counts = chunk.document_counts()
+    model = toxicity.TextCnn().start(counts[:, : toxicity.BUCKETS], counts[:, toxicity.BUCKETS])
+    model.embed = model.embed.astype(np.float64)
+    model.embed[:50] += rng.normal(0, 0.3, (50, 8))
+
+    def loss():
+        z = model._forward(chunk).astype(np.float64)
+        return float((model.weight[y] * (np.log1p(np.exp(z)) - y * z) * (n > 0)).sum())
+
+    held, by_id, _ = model.gradient(chunk)
+    for at in range(0, len(held), 7):
+        for d in (0, 3):
+            before = model.embed[held[at], d]
+            model.embed[held[at], d] = before + 1e-3
+            up = loss()
+            model.embed[held[at], d] = before - 1e-3
+            down = loss()
+            model.embed[held[at], d] = before
+            assert abs((up - down) / 2e-3 - by_id[at, d] * toxicity.UNIT) < 2e-2
+
+
 def test_toxicity_edges(spark, edges, edge_rows, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (7, 1), (9, 0), (9, 0), (None, 1)], "doc_id bigint, toxic int")
     assert toxicity.classify(edges, labels).count() == len(edge_rows)
