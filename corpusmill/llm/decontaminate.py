@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import small_batches
+from corpusmill.llm.tokens import released, small_batches
 from corpusmill.sources.tables import table, written
 
 #: Words of passages in a block (about 150 bytes each in a task, with their place in the latent space), and terms counted in one scan.
@@ -311,7 +311,7 @@ def _matcher(spark, block: Block, df: np.ndarray, idf: np.ndarray, space: np.nda
             yield pa.array([[dict(zip(_FIELDS, m)) for m in matches(text, state)] for text in texts.to_pylist()], _MATCHES)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, MATCHES)
+    return F.arrow_udf(released(run), MATCHES)
 
 
 MATCHES = "array<struct<item_id:bigint,lcs_part:double,answer_part:double,cosine:double,clause_part:double>>"

@@ -24,7 +24,7 @@ from xxhash import xxh3_64_intdigest
 
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.shingles import mix, shingle_set
-from corpusmill.llm.tokens import small_batches
+from corpusmill.llm.tokens import released, small_batches
 from corpusmill.sources.tables import table, written
 
 HOT_RUN = 16
@@ -161,7 +161,7 @@ def _nodes(docs: DataFrame, clashes: dict[int, int]) -> DataFrame:
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=["doc_id", "n", "node", "check", "own", "lower", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, own bigint, lower bigint, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id bigint, n bigint, node bigint, check bigint, own bigint, lower bigint, sketch binary")
 
 
 def _keys_of(docs: DataFrame, clashes: dict[int, int], hot_run: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _keys_of(docs: DataFrame, clashes: dict[int, int], hot_run: int) -> DataFram
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "sig bigint, node bigint, pivot bigint")
+    return docs.select("text").mapInArrow(released(run), "sig bigint, node bigint, pivot bigint")
 
 
 def _runs(keys: DataFrame, hot_run: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _runs(keys: DataFrame, hot_run: int) -> DataFrame:
             yield _pairs_batch(out)
 
     route = F.when(F.col("pivot") != F.col("node"), F.xxhash64("sig", "node")).otherwise(F.col("sig"))
-    return keys.repartition(route).sortWithinPartitions("sig", "node").mapInArrow(run, "sig bigint, a bigint, b bigint, long boolean")
+    return keys.repartition(route).sortWithinPartitions("sig", "node").mapInArrow(released(run), "sig bigint, a bigint, b bigint, long boolean")
 
 
 def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -311,9 +311,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, repeated: bool
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     if repeated:
-        texts = texts.mapInArrow(right, "node bigint, text string").dropDuplicates(["node"])
+        texts = texts.mapInArrow(released(right), "node bigint, text string").dropDuplicates(["node"])
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    return written(joined.select("a", "b", "s", "t").mapInArrow(link, "a bigint, b bigint"), "jaccard-links")
+    return written(joined.select("a", "b", "s", "t").mapInArrow(released(link), "a bigint, b bigint"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_run: int = HOT_RUN) -> DataFrame:

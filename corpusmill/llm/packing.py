@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import CACHE_BYTES, encoder, small_batches
+from corpusmill.llm.tokens import CACHE_BYTES, encoder, released, small_batches
 from corpusmill.sources.tables import table, written
 
 SEQUENCE = 2048
@@ -64,7 +64,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, capac
                             to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut if keep else released(cut), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:

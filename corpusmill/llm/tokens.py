@@ -7,6 +7,8 @@ the ids of the text are the ids of its chunks. A text in which such cuts are not
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 from contextlib import contextmanager
 from itertools import chain, islice
@@ -190,6 +192,26 @@ def encoder(path: str, keeps_blanks: bool, cache_bytes: int = CACHE_BYTES, keep:
         pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def released(run):
+    """``run`` over a task's batches; what it held is handed back at the task's end, not kept by the worker through the stages that follow."""
+
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def small_batches(spark, size: str = "4m", rows: int = 512) -> None:
     """Arrow batches of few bytes and rows, so that long texts don't add up in a worker.
 

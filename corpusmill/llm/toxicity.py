@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import small_batches
+from corpusmill.llm.tokens import released, small_batches
 from corpusmill.sources.tables import table, written
 
 BUCKETS = 1 << 18
@@ -39,6 +39,8 @@ OWN_THRESHOLD = 20
 PASSES = 5
 #: Up to so many labels (an id and a label each) are broadcast.
 BROADCAST_LABELS = 5_000_000
+#: A chunk is some MB, so a page is looked at after every row: codecs keep buffers outside the heap as large as the largest page.
+ONE_ROW_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Gradients are summed in these units.
 UNIT = 2.0**-36
 #: Thresholds lie between scores that differ by this much in log odds.
@@ -88,6 +90,9 @@ class Chunk:
 class TextCnn:
     """Weights, and what is done with them. ``tables[j]`` has a row of all filters' responses per id: embeddings times filters."""
 
+    #: Where an id's embedding is, if not at the id.
+    place: np.ndarray | None = None
+
     def __init__(self, seed: int = 11):
         """Untrained weights."""
         rng = np.random.default_rng(seed)
@@ -125,7 +130,7 @@ class TextCnn:
 
     def _forward(self, chunk: Chunk, winners: bool = False):
         """Evidence of each row before the logistic function; with ``winners`` also the greatest responses and where they are."""
-        e = self.embed[chunk.words].sum(1) if len(chunk.words) else np.zeros((0, DIM), np.float32)
+        e = self.embed[chunk.words if self.place is None else self.place[chunk.words]].sum(1) if len(chunk.words) else np.zeros((0, DIM), np.float32)
         n = np.diff(chunk.limits)
         row = np.repeat(np.arange(len(n)), n) if winners else None
         x, at = np.zeros((len(n), len(self.out)), np.float32), np.zeros((len(n), len(self.out)), np.int64)
@@ -173,7 +178,8 @@ class TextCnn:
         by_id = np.zeros((len(ids), DIM), np.int64)
         np.add.at(by_id, where.ravel(), np.repeat(np.rint(ge[held] / UNIT).astype(np.int64), self.per_word, 0))
         dense = np.concatenate([*[a.ravel() for a in gf], g @ x, [g.sum()]])
-        return ids[self.learns[ids]], by_id[self.learns[ids]], np.rint(dense / UNIT).astype(np.int64)
+        held = self.learns[ids] if self.place is None else self.place[ids] > 0
+        return ids[held], by_id[held], np.rint(dense / UNIT).astype(np.int64)
 
     def step(self, number: int, ids: np.ndarray, by_id: np.ndarray, dense: np.ndarray) -> None:
         """One Adagrad step by the sums of all rows' gradients (in ``UNIT``)."""
@@ -207,9 +213,12 @@ class TextCnn:
         return out
 
     def received(self) -> "TextCnn":
-        if not hasattr(self, "embed"):
-            self.embed, self.learns = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, bool)
-            self.embed[self.ids], self.learns[self.ids] = self.rows, True
+        """Ready for a pass: ``place`` leads from an id to its row of the embeddings; those that aren't learned share a first row of 0."""
+        if self.place is None:
+            self.place = np.zeros(BUCKETS, np.int32)
+            self.place[self.ids] = np.arange(1, len(self.ids) + 1)
+            self.embed = np.concatenate([np.zeros((1, DIM), np.float32), self.rows])
+            del self.rows
         return self
 
     def finished(self) -> "TextCnn":
@@ -274,7 +283,7 @@ def labelled_chunks(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["fold", "words", "codes", "limits", "labels", "langs"])
 
     ints = ", ".join(f"{c} array<int>" for c in ("words", "codes", "limits", "labels"))
-    return written(rows.mapInArrow(run, f"fold int, {ints}, langs array<string>"), "toxicity-labelled")
+    return written(rows.mapInArrow(released(run), f"fold int, {ints}, langs array<string>"), "toxicity-labelled", **ONE_ROW_PAGES)
 
 
 def _chunks(batches):
@@ -307,15 +316,17 @@ def _gradients(shared):
                 if m == k:
                     continue
                 ids, by_id, rest = model.received().gradient(chunk)
+                # Only ids that are learned have a gradient.
                 if m not in sums:
-                    sums[m], dense[m] = np.zeros((BUCKETS, DIM), np.int64), np.zeros(len(rest), np.int64)
-                sums[m][ids] += by_id
+                    sums[m], dense[m] = np.zeros((len(model.ids), DIM), np.int64), np.zeros(len(rest), np.int64)
+                sums[m][model.place[ids] - 1] += by_id
                 dense[m] += rest
-        for m in sums:
-            ids = np.flatnonzero(sums[m].any(1))
+        for m in list(sums):
+            found = sums.pop(m)
+            held = np.flatnonzero(found.any(1))
             rest = np.pad(dense[m], (0, -len(dense[m]) % DIM)).reshape(-1, DIM)
-            rows = np.concatenate([sums[m][ids], rest])
-            at = np.concatenate([ids, BUCKETS + np.arange(len(rest))])
+            rows = np.concatenate([found[held], rest])
+            at = np.concatenate([models[m].ids[held], BUCKETS + np.arange(len(rest))])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m), pa.int32()), pa.array(at, pa.int32()), *[pa.array(np.ascontiguousarray(rows[:, d])) for d in range(DIM)]], names=["model", "id", *[f"g{d}" for d in range(DIM)]])
 
     return run
@@ -338,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", passes:
     """The model and its thresholds by language. ``labels`` has only rows that may be learned from."""
     spark = docs.sparkSession
     chunks = labelled_chunks(docs, labels, label_col)
-    table_ = _summed(chunks.mapInArrow(_counts, "id int, " + ", ".join(f"c{i} bigint" for i in range(2 * FOLDS))), ["id"])
+    table_ = _summed(chunks.mapInArrow(released(_counts), "id int, " + ", ".join(f"c{i} bigint" for i in range(2 * FOLDS))), ["id"])
     counts = np.zeros((FOLDS, 2, BUCKETS + 1), np.int64)
     for i in range(2 * FOLDS):
         counts[i // 2, i % 2, table_["id"].to_numpy()] = table_[f"c{i}"].to_numpy()
@@ -353,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", passes:
     sizes = {m: len(model._dense()) for m, model in models.items()}
     for number in range(passes):
         shared = spark.sparkContext.broadcast({m: model.sent() for m, model in models.items()})
-        found = _summed(chunks.mapInArrow(_gradients(shared), f"model int, id int, {_GRADIENT}"), ["model", "id"])
+        found = _summed(chunks.mapInArrow(released(_gradients(shared)), f"model int, id int, {_GRADIENT}"), ["model", "id"])
         of, ids = found["model"].to_numpy(), found["id"].to_numpy()
         rows = np.stack([found[f"g{d}"].to_numpy() for d in range(DIM)], 1)
         for m, model in models.items():
@@ -363,7 +374,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", passes:
             model.step(number, ids[sparse], rows[sparse], rows[mine[len(sparse) :]].ravel()[: sizes[m]])
         shared.destroy()
     shared = spark.sparkContext.broadcast({m: model.sent() for m, model in models.items()})
-    bins = chunks.mapInArrow(_bins(shared, FOLDS), "lang string, bin int, y int").groupBy("lang", "bin").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")).toArrow()
+    bins = chunks.mapInArrow(released(_bins(shared, FOLDS)), "lang string, bin int, y int").groupBy("lang", "bin").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")).toArrow()
     shared.destroy()
     model = models[FOLDS]
     langs, at = np.array(bins["lang"].to_pylist(), object), bins["bin"].to_numpy()
@@ -412,7 +423,7 @@ def scored(docs: DataFrame, model: TextCnn | None, thresholds: dict[str, float],
                 yield pa.array(cnn.score(flat, offsets - offsets[0]))
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        score = F.arrow_udf(run, "double")(word_ids(F.col(text_col)))
+        score = F.arrow_udf(released(run), "double")(word_ids(F.col(text_col)))
     by_lang = F.lit(default)
     for lang, limit in sorted(thresholds.items()):
         by_lang = F.when(F.col(lang_col) == lang, F.lit(limit)).otherwise(by_lang)

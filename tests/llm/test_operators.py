@@ -4,11 +4,14 @@ import functools
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,6 +95,30 @@ def test_toxicity_learns_every_labelled_row(spark):
     assert np.allclose(model.embed, plain.embed, atol=1e-4) and np.allclose(model.out, plain.out, atol=1e-4)
 
 
+def test_toxicity_pass_holds_the_learned_ids_only():
+    rng = np.random.default_rng(3)
+    ids, y = rng.integers(0, 500, (60, 1 + len(toxicity.PREFIXES))).astype(np.int32), np.arange(20) % 2
+    chunk = toxicity.Chunk(ids.ravel(), np.arange(0, 61, 3), y)
+    counts = chunk.document_counts()
+    counts[:, ids[:30].ravel()] += 3
+    models = {m: toxicity.TextCnn().start(counts[:, : toxicity.BUCKETS], counts[:, toxicity.BUCKETS]) for m in range(3)}
+    batch = pa.RecordBatch.from_pydict({"fold": pa.array([0, 1], pa.int32()), **{c: [getattr(chunk, c).ravel().astype(np.int32)] * 2 for c in ("words", "codes", "limits", "labels")}, "langs": [["en"] * 20] * 2})
+    sent = {m: model.sent() for m, model in models.items()}
+    tracemalloc.start()
+    found = pa.Table.from_batches(toxicity._gradients(SimpleNamespace(value=sent))([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+    # The same sums as by a model that has a row for every id.
+    for m, times in ((0, 1), (1, 1), (2, 2)):
+        want_ids, want, dense = models[m].gradient(chunk)
+        mine = found.filter(pa.array(found["model"].to_numpy() == m))
+        got = np.stack([mine[f"g{d}"].to_numpy() for d in range(toxicity.DIM)], 1)
+        held = mine["id"].to_numpy() < toxicity.BUCKETS
+        some = want.any(1)
+        assert some.any() and (mine["id"].to_numpy()[held] == want_ids[some]).all() and (got[held] == times * want[some]).all() and (got[~held].ravel()[: len(dense)] == times * dense).all()
+
+
 def test_toxicity_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(3)
     n = rng.integers(0, 12, 40)
