@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.jobs.registry import Registry
 from corpusmill.operators.ledger import first_rows
-from corpusmill.sources.tables import scratch_path, table
+from corpusmill.sources.tables import scratch_path, table, written
 from corpusmill.streaming.follow import monotonic, read_stream, run_batches, run_to_end
 from corpusmill.streaming.frames import NamedLog, broken_links, counted_surveys, frames, last_of
 
@@ -45,21 +45,22 @@ def stream_monotonic_head(spark, sf_dir):
     return checked.groupBy("user_id").agg(F.count("*").alias("heads"), F.count_if(~F.col("ok")).alias("shrunk"))
 
 
-def _in_files(rows, by, files):
-    """A stream over ``rows`` dealt to files by ``by`` (0 to ``files`` - 1), which come one after the other."""
+def _in_files(rows, by, files, key):
+    """A stream over ``rows`` dealt to parts by ``by`` (0 to ``files`` - 1), which come one after the other: a part is written by many tasks, and a file holds a key's rows of its part whole."""
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "messages")
+    kept = written(rows.withColumn("_part", by), "message-rows")
     for i in range(files):
-        rows.where(by == i).coalesce(1).write.parquet(f"{path}/{i}")
-    like = spark.read.parquet(f"{path}/0")
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        kept.where(F.col("_part") == i).drop("_part").repartition(key).write.parquet(f"{path}/{i}")
+    # A stream takes files by their times, so in the order of the parts; as many at once as the largest part has.
+    most = max(len(spark.read.schema(rows.schema).parquet(f"{path}/{i}").inputFiles()) for i in range(files))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, most)).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _messages(turns):
     """Turns as frames of two lines and more, cut into messages of 37 characters wherever that falls."""
     frame = F.concat(F.lit(": a note\nevent: "), F.when(F.col("role") == "assistant", "answer").otherwise("stage"), F.lit("\ndata: "), F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n", "\ndata: "), F.lit("\n\n"))
     whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "").alias("t"))
-    at = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 37).cast("int"))
-    return whole.select("conv_id", F.length("t").alias("chars"), F.posexplode(F.transform(at, lambda i: F.substring("t", i * 37 + 1, F.lit(37)))).alias("seq", "text"))
+    return whole.select("conv_id", F.length("t").alias("chars"), F.posexplode(F.regexp_extract_all("t", F.lit("(?s).{1,37}"), F.lit(0))).alias("seq", "text"))
 
 
 @jobs.query(
@@ -69,10 +70,10 @@ n AS (SELECT conv_id, count(*) AS frames FROM t GROUP BY conv_id)
 SELECT n.conv_id, frames, sha256(replace(arg_max(text, frame), chr(13), '')) AS answer, max(frame) AS frame FROM n JOIN t ON t.conv_id = n.conv_id AND role = 'assistant' GROUP BY n.conv_id, frames"""
 )
 def stream_frames(spark, sf_dir):
-    """Answers from a stream of cut frames in four files: every message's rest waits for the next, and the last answer counts."""
+    """Answers from a stream of cut frames in four parts: every message's rest waits for the next, and the last answer counts."""
     turns = table(spark, sf_dir, "conversations").where(~F.coalesce("text", F.lit("")).rlike("\n\r?\n"))
     messages = _messages(turns)
-    found = run_to_end(frames(_in_files(messages, F.floor(F.col("seq") * 37 * 4 / F.col("chars")).cast("int"), 4).select("conv_id", "seq", "text"), "conv_id", "seq", "text"))
+    found = run_to_end(frames(_in_files(messages, F.floor(F.col("seq") * 37 * 4 / F.col("chars")).cast("int"), 4, "conv_id").select("conv_id", "seq", "text"), "conv_id", "seq", "text"))
     answers = last_of(found, "conv_id", "answer")
     return found.groupBy("conv_id").agg(F.count("*").alias("frames")).join(answers, "conv_id").select("conv_id", "frames", F.sha2(F.regexp_replace("data", "\r", ""), 256).alias("answer"), "frame")
 
@@ -82,11 +83,11 @@ def stream_frames(spark, sf_dir):
 SELECT user_id, count(*) AS surveys, max(event_id) AS last, count(*) = 12 AS ended FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 12 GROUP BY user_id"""
 )
 def stream_surveys(spark, sf_dir):
-    """Refreshes that end after twelve surveys of a user, from a stream of three files in order."""
+    """Refreshes that end after twelve surveys of a user, from a stream of three parts in order."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id")
     top = events.agg(F.max("event_id")).first()[0]
     third = F.least(F.lit(2), F.floor(F.col("event_id") * 3 / F.lit((top or 0) + 1)).cast("int"))
-    found = run_to_end(counted_surveys(_in_files(events, third, 3), "user_id", "event_id"))
+    found = run_to_end(counted_surveys(_in_files(events, third, 3, "user_id"), "user_id", "event_id"))
     return found.groupBy("user_id").agg(F.count("*").alias("surveys"), F.max("event_id").alias("last"), F.bool_or("ended").alias("ended"))
 
 

@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.jobs.stream_jobs import _in_files
 from corpusmill.sources.tables import scratch_path
-from corpusmill.streaming.follow import run_to_end
+from corpusmill.streaming.follow import run_batches, run_to_end
 from corpusmill.streaming.frames import NamedLog, broken_links, counted_surveys, fields_of, frames, last_of
 
 TEXT = ": hello\n\nevent: stage\ndata: one\ndata: two\n\nevent: answer\r\ndata:first\r\n\r\ndata: plain\n\n\n\nevent: answer\nid: 7\ndata: é😀 last\n\nevent: answer\ndata: never ends"
@@ -76,3 +77,20 @@ def test_a_batch_written_twice_is_one(spark):
     before.read = lambda: held().limit(0)
     before.append(rows)
     assert log.read().count() == 5 and broken_links(log.read()).count() == 0
+
+
+def test_parts_are_written_by_many_tasks_and_come_in_order(spark):
+    rows = spark.range(40_000).selectExpr("id % 100 AS k", "id AS at", "concat(sha2(string(id), 256), sha2(string(-id), 256)) AS t").repartition(4)
+    name, size = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        stream = _in_files(rows, F.floor(F.col("at") / 20_000).cast("int"), 2, "k")
+        seen = run_batches(stream.select("k", "at", F.input_file_name().alias("file")), lambda df: df.withColumn("n", F.lit(1)))
+        files = seen.groupBy("k", F.floor(F.col("at") / 20_000).alias("part")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("n")).collect()
+        assert {(r.files, r.n) for r in files} == {(1, 200)} and len(files) == 200
+        assert seen.select("file").distinct().count() > 2
+    finally:
+        spark.conf.set(name, before)
+    got = run_to_end(counted_surveys(_in_files(rows, F.floor(F.col("at") / 20_000).cast("int"), 2, "k"), "k", "at")).collect()
+    assert {(r.k, r.survey, r.at) for r in got} == {(k, i + 1, k + 100 * i) for k in range(100) for i in range(12)}
