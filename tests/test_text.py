@@ -261,3 +261,10 @@ def test_symbols(spark):
     code = "export default async function* run(a) {\nclass Two:\n  def three(self)\npub(crate) fn four()\nconst five = async (x) => x\nlet six = y => y\nvar no = 7\na.b.c = function() {}\nclass Two\nreturn def_x\ntype $T = 1"
     assert values(spark, [code, "", None], sections.symbols(X)) == [["run", "Two", "three", "four", "five", "six", "a.b.c", "$T"], [], None]
     assert len(values(spark, ["\n".join(f"def f{i}" for i in range(30))], sections.symbols(X))[0]) == 10
+
+
+def test_terms_are_taken_from_the_texts_once(spark):
+    rows = spark.createDataFrame([("c", i, "alpha alpha beta " * (i + 1)) for i in range(4)], "coll string, sec bigint, t string")
+    found = sections.distinctive_terms(rows, "coll", "sec", "t")
+    # What is joined has been counted already: no plan of the result explodes a text.
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
