@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import released, small_batches
+from corpusmill.llm.tokens import give_back, released, small_batches
 from corpusmill.sources.tables import table, written
 
 BUCKETS = 1 << 18
@@ -306,6 +306,20 @@ def _summed(found: DataFrame, keys: list[str]) -> pa.Table:
     return found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in found.columns if c not in keys]).toArrow()
 
 
+def _stepped(models: dict[int, TextCnn], number: int, found: pa.Table) -> None:
+    """A step of every model by its sums, a model's rows at a time."""
+    of, ids = found["model"].to_numpy(), found["id"].to_numpy()
+    columns = [found[f"g{d}"] for d in range(DIM)]
+    for m, model in models.items():
+        mine = np.flatnonzero(of == m)
+        mine = mine[np.argsort(ids[mine])]
+        rows = np.empty((len(mine), DIM), np.int64)
+        for d, c in enumerate(columns):
+            rows[:, d] = c.to_numpy()[mine]
+        sparse = int(np.searchsorted(ids[mine], BUCKETS))
+        model.step(number, ids[mine[:sparse]], rows[:sparse], rows[sparse:].ravel()[: len(model._dense())])
+
+
 def _gradients(shared):
     """Gradients of every model over the chunks of a task that it learns from; dense weights follow the ids, in rows of ``DIM``."""
 
@@ -361,22 +375,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", passes:
             models[m] = TextCnn().start(of[:, :BUCKETS], of[:, BUCKETS])
     if FOLDS not in models:
         return None, {}
-    sizes = {m: len(model._dense()) for m, model in models.items()}
+    # What a pass brought to the driver is handed back before the next one.
+    del table_, counts, of
+    give_back()
     for number in range(passes):
         shared = spark.sparkContext.broadcast({m: model.sent() for m, model in models.items()})
-        found = _summed(chunks.mapInArrow(released(_gradients(shared)), f"model int, id int, {_GRADIENT}"), ["model", "id"])
-        of, ids = found["model"].to_numpy(), found["id"].to_numpy()
-        rows = np.stack([found[f"g{d}"].to_numpy() for d in range(DIM)], 1)
-        for m, model in models.items():
-            mine = np.flatnonzero(of == m)
-            mine = mine[np.argsort(ids[mine])]
-            sparse = mine[ids[mine] < BUCKETS]
-            model.step(number, ids[sparse], rows[sparse], rows[mine[len(sparse) :]].ravel()[: sizes[m]])
+        _stepped(models, number, _summed(chunks.mapInArrow(released(_gradients(shared)), f"model int, id int, {_GRADIENT}"), ["model", "id"]))
         shared.destroy()
+        give_back()
     shared = spark.sparkContext.broadcast({m: model.sent() for m, model in models.items()})
     bins = chunks.mapInArrow(released(_bins(shared, FOLDS)), "lang string, bin int, y int").groupBy("lang", "bin").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")).toArrow()
     shared.destroy()
     model = models[FOLDS]
+    models.clear()
     langs, at = np.array(bins["lang"].to_pylist(), object), bins["bin"].to_numpy()
     clean, toxic = bins["clean"].to_numpy(), bins["toxic"].to_numpy()
     # The best threshold over all languages becomes PREDICT_AT, by a shift of the bias. A language with few labels stays close to it.
@@ -390,7 +401,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", passes:
         own = calibrate(at[mine], clean[mine], toxic[mine])
         if own is not None:
             thresholds[lang] = float(1 / (1 + np.exp(-(logit(PREDICT_AT) + n / (n + OWN_THRESHOLD) * (logit(own) - common)))))
-    return model.finished(), thresholds
+    model.finished()
+    del bins, langs, at, clean, toxic
+    give_back()
+    return model, thresholds
 
 
 def calibrate(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float | None:

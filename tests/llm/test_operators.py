@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -119,6 +120,17 @@ def test_toxicity_pass_holds_the_learned_ids_only():
         assert some.any() and (mine["id"].to_numpy()[held] == want_ids[some]).all() and (got[held] == times * want[some]).all() and (got[~held].ravel()[: len(dense)] == times * dense).all()
 
 
+def test_toxicity_driver_hands_back_what_passes_brought(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "fine words here" if i % 2 else "foul words here", "en", i % 2) for i in range(60)], "doc_id bigint, text string, lang string, toxic int")
+    kept, calls = [], []
+    summed = toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda *a: kept.append(weakref.ref(out := summed(*a))) or out)
+    # By the time memory is handed back, no table of an earlier pass is alive.
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append(sum(t() is not None for t in kept)), raising=False)
+    toxicity.train(docs, docs.select("doc_id", "toxic"), passes=2)
+    assert len(kept) == 3 and calls == [0, 0, 0, 0]
+
+
 def test_toxicity_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(3)
     n = rng.integers(0, 12, 40)
