@@ -173,6 +173,12 @@ def test_sections_break_at_top_headings_and_cut_long_blocks(spark):
     assert all(sum(len(b.text) for b in s) <= 100 for s in row)
 
 
+def test_a_text_is_split_once(spark):
+    # Split inside a lambda, a text would be split again for each of its lines.
+    blocks = spark.createDataFrame([("# A\nx", "r")], "md string, root string").select(sections.heading_blocks(F.col("md"), F.col("root")).alias("b"))
+    assert blocks._jdf.queryExecution().analyzed().toString().count("split(md") == 1
+
+
 def test_descriptions_keep_a_budget(spark):
     md = "# Top\nx\n" + "".join(f"## Part {i:03d} of it\ny\n" for i in range(60))
     cut = lambda total: spark.createDataFrame([(md,), ("one block only " * 20,)], "md string").select(sections.described(sections.heading_sections(F.col("md"), F.lit("r"), 10_000), total).alias("s")).collect()
