@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import round_half_up
+from corpusmill.operators.ordered import by_key
 
 
 def ranges(sources: DataFrame, source: str, size: Column, step: int) -> DataFrame:
@@ -189,7 +190,7 @@ def spread(rows: DataFrame, key: str, pos: str, k: int) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(key))
     at = F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1
     marks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: round_half_up(i * (F.col("n") - 1) / F.lit(max(1, k - 1))))
-    return rows.withColumns({"n": n, "at": at}).where((F.col("n") <= k) | F.array_contains(marks, F.col("at").cast("bigint")))
+    return by_key(rows, key).withColumns({"n": n, "at": at}).where((F.col("n") <= k) | F.array_contains(marks, F.col("at").cast("bigint")))
 
 
 def by_hash_order(rows: DataFrame, key: str, label: Column, n: int) -> DataFrame:

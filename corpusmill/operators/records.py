@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let, manifest_key
-from corpusmill.operators.ordered import running
+from corpusmill.operators.ordered import by_key, running
 
 
 def table_rows(body: Column, digest: str) -> Column:
@@ -47,9 +47,10 @@ def page_ranges(sections: DataFrame, collection: str, order: list[str], text: st
 def ends_and_some(rows: DataFrame, key: str, order: str, all_up_to: int, some: int) -> DataFrame:
     """Rows with ``place`` and ``total``: all of a key with up to ``all_up_to``, else the first, the last and ``some`` by the hash of key and place."""
     w = Window.partitionBy(key)
-    placed = rows.withColumns({"place": F.row_number().over(w.orderBy(order)), "total": F.count("*").over(w)})
+    placed = by_key(rows, key).withColumns({"place": F.row_number().over(w.orderBy(order)), "total": F.count("*").over(w)})
     end = (F.col("place") == 1) | (F.col("place") == F.col("total"))
-    name = F.sha2(F.concat_ws("/", F.col(key).cast("string"), F.col("place").cast("string")), 256)
+    # Only rows among which some are picked need a name; as bytes it sorts as in letters, in half the room.
+    name = F.when((F.col("total") > all_up_to) & ~F.col("end"), F.unhex(F.sha2(F.concat_ws("/", F.col(key).cast("string"), F.col("place").cast("string")), 256)))
     ranked = placed.withColumn("end", end).withColumn("rank", F.row_number().over(Window.partitionBy(key, "end").orderBy(name)))
     return ranked.where((F.col("total") <= all_up_to) | F.col("end") | (F.col("rank") <= some)).drop("end", "rank")
 

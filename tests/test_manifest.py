@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import proofs
 from corpusmill.operators import manifest as M
+from corpusmill.operators import ordered, records
 
 
 def plain_root(hashes):
@@ -40,6 +41,16 @@ def test_spread(spark):
     assert [(r.k, r.p) for r in M.spread(rows, "k", "p", 1).orderBy("k").collect()] == [(1, 0), (2, 0)]
 
 
+def test_tasks_of_samples_dont_grow_with_the_table(spark, monkeypatch):
+    # A task's share is given by the rows, not by the number of shuffle partitions.
+    monkeypatch.setattr(ordered, "TASK_ROWS", 50, raising=False)
+    rows = spark.createDataFrame([(k, i) for k in range(100) for i in range(10)], "k bigint, p bigint")
+    for got, each in ((M.spread(rows, "k", "p", 4), 4), (records.ends_and_some(rows, "k", "p", 6, 2), 4)):
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 12 and sum(r["count"] for r in sizes) == 100 * each
+    assert M.spread(rows.limit(0), "k", "p", 4).count() == 0
+
+
 def test_compare(spark):
     a = spark.createDataFrame([("s", "1", 0), ("c", "1", 0), ("a", "1", 0), ("d", "1", 0), ("d", "2", 1)], "k string, v string, pos int")
     b = spark.createDataFrame([("s", "1", 0), ("c", "2", 0), ("b", "1", 0), ("d", "2", 0)], "k string, v string, pos int")
