@@ -8,7 +8,7 @@ from corpusmill.jobs.registry import Registry
 from corpusmill.operators.ledger import first_rows
 from corpusmill.sources.tables import scratch_path, table, written
 from corpusmill.streaming.follow import monotonic, read_stream, run_batches, run_to_end
-from corpusmill.streaming.frames import NamedLog, broken_links, counted_surveys, frames, last_of
+from corpusmill.streaming.frames import NamedLog, checked, counted_surveys, frames, last_of
 
 jobs = Registry()
 
@@ -106,5 +106,4 @@ def drift_append(spark, sf_dir):
     log = NamedLog(spark)
     for low, high in ((0, 1), (0, 1), (1, 2), (0, 2), (2, 3)):
         log.append(events.where((F.col("at") * 3 >= low * top) & (F.col("at") * 3 < high * top)))
-    bad = broken_links(log.read()).select("chain", "entry").withColumn("bad", F.lit(True))
-    return log.read().join(bad, ["chain", "entry"], "left").select("chain", "entry", "name", "previous", F.col("bad").isNull().alias("linked"))
+    return checked(log.read()).select("chain", "entry", "name", "previous", "linked")

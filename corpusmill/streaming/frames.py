@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -75,6 +75,30 @@ def counted_surveys(stream: DataFrame, key: str, order: str, most: int = 12) ->
     return stream.select(key, order).groupBy(key).applyInPandasWithState(count, schema, "done bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Entries of a chain that a window takes at once, as a power of two.
+RUN_BITS = 14
+
+
+def _name() -> Column:
+    return F.sha2(F.concat_ws("\n", "chain", "body"), 256)
+
+
+def _before(entries: DataFrame, name: Column, bits: int = RUN_BITS) -> DataFrame:
+    """``entries`` (``chain, entry`` and more) with their ``name``, and the least and greatest name (``least``, ``most``) at the number before in the chain: equal if one entry or none has it. A null chain has no entry before.
+
+    Entries meet in runs of ``2 ** bits`` numbers, so no window holds a chain and the log is dealt once, not joined to itself; between runs only the last numbers' names pass. Names that are made are made where runs meet.
+    """
+    runs = entries.withColumn("run", F.shiftright("entry", bits))
+    inside = Window.partitionBy("chain", "run").orderBy("entry").rangeBetween(-1, -1)
+    held = runs.repartition("chain", "run").withColumn("name", name).withColumns({"least": F.min("name").over(inside), "most": F.max("name").over(inside)})
+    ends = runs.where(F.shiftright(F.col("entry") + 1, bits) > F.col("run")).withColumn("name", name)
+    ends = ends.groupBy(F.col("chain").alias("of"), (F.col("run") + 1).alias("into")).agg(F.min("name").alias("low"), F.max("name").alias("high"))
+    told = held.join(ends, (F.col("chain") == F.col("of")) & (F.col("run") == F.col("into")), "left")
+    starts = F.col("entry") == F.shiftleft("run", bits)
+    kept = dict.fromkeys([*entries.columns, "name"])
+    return told.select(*kept, *[F.when(starts, F.col(end)).when(F.col("chain").isNotNull(), F.col(inner)).alias(inner) for inner, end in (("least", "low"), ("most", "high"))])
+
+
 class NamedLog:
     """A log in the shared folder whose entries are named by their content, chain by chain: each names the one before.
 
@@ -87,33 +111,42 @@ class NamedLog:
 
     def read(self) -> DataFrame:
         """``chain, entry, name, previous, body``."""
-        empty = self.spark.createDataFrame([], "chain string, entry bigint, name string, previous string, body string")
+        schema = "chain string, entry bigint, name string, previous string, body string"
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-        return self.spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(self.path) if there else empty
+        if there:
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
 
     def append(self, rows: DataFrame) -> int:
-        """Appends ``rows`` (``chain, at, body``) that the log doesn't hold, in the order of ``at``; returns how many. Equal bodies of a chain are one entry, the earliest."""
+        """Appends ``rows`` (``chain, at, body``) that the log doesn't hold, in the order of ``at`` and then of bodies; returns how many. Equal bodies of a chain are one entry, the earliest."""
         from corpusmill.operators.ordered import running
 
-        named = rows.select("chain", "at", "body", F.sha2(F.concat_ws("\n", "chain", "body"), 256).alias("name")).where(F.col("chain").isNotNull() & F.col("body").isNotNull())
-        first = named.groupBy("chain", "name").agg(F.min("at").alias("at"), F.first("body").alias("body"))
+        # One group of hashes finds what is new, with texts as keys only: rows would be sorted for a text that is a group's value, and for a join with the log.
         held = self.read()
-        new = written(first.join(held.select("chain", "name"), ["chain", "name"], "left_anti"), "log-new")
-        if not (n := new.count()):
-            return 0
-        heads = written(held.groupBy("chain").agg((F.max("entry") + 1).alias("from"), F.max_by("name", "entry").alias("head")), "log-heads")
-        placed = running(new, ["chain"], ["at", "name"], lasts={"before": F.col("name")}).join(heads, "chain", "left")
-        entries = placed.select("chain", (F.coalesce("from", F.lit(0)) + F.col("pos")).alias("entry"), "name", F.coalesce("before", "head", F.lit("")).alias("previous"), "body")
+        asked = rows.where(F.col("chain").isNotNull() & F.col("body").isNotNull()).select("chain", "body", "at", F.lit(False).alias("held"))
+        found = asked.unionByName(held.select("chain", "body", F.lit(True).alias("held")), allowMissingColumns=True).groupBy("chain", "body").agg(F.min("at").alias("at"), F.max("held").alias("held"))
+        new = written(found.where(~F.col("held")).select("chain", "at", "body"), "log-new")
         # The same new entries always go to the same folder.
-        batch = new.agg(F.sha2(F.concat(F.count("*").cast("string"), F.sum(F.xxhash64("name").cast("decimal(38,0)")).cast("string")), 256)).first()[0]
+        n, batch = new.agg(F.count("*"), F.sha2(F.concat(F.count("*").cast("string"), F.sum(F.xxhash64(_name()).cast("decimal(38,0)")).cast("string")), 256)).first()
+        if not n:
+            return 0
+        tops = written(held.groupBy("chain").agg(F.max("entry").alias("entry")), "log-tops")
+        heads = written(held.join(tops, ["chain", "entry"]).select("chain", (F.col("entry") + 1).alias("from"), F.col("name").alias("head")), "log-heads")
+        placed = running(new, ["chain"], ["at", "body"]).join(heads, "chain", "left").withColumn("entry", F.coalesce("from", F.lit(0)) + F.col("pos"))
+        entries = _before(placed.select("chain", "entry", "body", "head"), _name()).select("chain", "entry", "name", F.coalesce("most", "head", F.lit("")).alias("previous"), "body")
         entries.write.mode("overwrite").parquet(f"{self.path}/{batch}")
         return n
 
 
+def checked(log: DataFrame) -> DataFrame:
+    """``chain, entry, name, previous`` of a log with ``expected``, the name of the entry before, and ``linked``: the name is the content's, and what comes before is named."""
+    told = _before(log.select("chain", "entry", "name", "previous", (F.col("name") == _name()).alias("own")), F.col("name"))
+    none = F.when(F.col("entry") == 0, F.lit("")).otherwise(F.lit("missing"))
+    linked = F.col("own") & (F.col("previous") == F.coalesce("least", none)) & (F.col("previous") == F.coalesce("most", none))
+    return told.select("chain", "entry", "name", "previous", F.when(F.col("previous") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("expected"), F.coalesce(linked, F.lit(False)).alias("linked"))
+
+
 def broken_links(log: DataFrame) -> DataFrame:
     """Entries whose name isn't their content's, or that don't name the entry before them."""
-    before = log.select("chain", (F.col("entry") + 1).alias("entry"), F.col("name").alias("expected"))
-    told = log.join(before, ["chain", "entry"], "left")
-    right = (F.col("name") == F.sha2(F.concat_ws("\n", "chain", "body"), 256)) & (F.col("previous") == F.coalesce("expected", F.when(F.col("entry") == 0, F.lit("")), F.lit("missing")))
-    return told.where(~right).select("chain", "entry", "name", "previous", "expected")
+    return checked(log).where(~F.col("linked")).drop("linked")

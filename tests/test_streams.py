@@ -1,6 +1,7 @@
 """Streams over several files: frames cut anywhere, surveys that end, appends that run twice."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from corpusmill.jobs.stream_jobs import _in_files
 from corpusmill.sources.tables import scratch_path
 from corpusmill.streaming.follow import run_batches, run_to_end
-from corpusmill.streaming.frames import NamedLog, broken_links, counted_surveys, fields_of, frames, last_of
+from corpusmill.streaming import frames as frames_module
+from corpusmill.streaming.frames import NamedLog, _before, broken_links, counted_surveys, fields_of, frames, last_of
 
 TEXT = ": hello\n\nevent: stage\ndata: one\ndata: two\n\nevent: answer\r\ndata:first\r\n\r\ndata: plain\n\n\n\nevent: answer\nid: 7\ndata: é😀 last\n\nevent: answer\ndata: never ends"
 WANT = [("message", ""), ("stage", "one\ntwo"), ("answer", "first"), ("message", "plain"), ("answer", "é😀 last")]
@@ -79,6 +81,47 @@ def test_a_batch_written_twice_is_one(spark):
     assert log.read().count() == 5 and broken_links(log.read()).count() == 0
 
 
+def test_an_append_sorts_nothing_to_find_what_is_new(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, what, **options):
+        plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df, what, **options)
+
+    held = frames_module.written
+    monkeypatch.setattr(frames_module, "written", spy)
+    log, rows = NamedLog(spark), spark.range(2000).selectExpr("concat('c', id % 2) AS chain", "id AS at", "string(id % 500) AS body")
+    assert [log.append(rows.where("at < 300")), log.append(rows), log.append(rows)] == [300, 200, 0]
+    assert len(plans["log-new"]) == 3 and all("HashAggregate" in p for p in plans["log-new"])
+    assert not [what for what, found in plans.items() for p in found if "SortAggregate" in p or "SortMergeJoin" in p]
+    assert [(r.chain, r.n, r.last) for r in log.read().groupBy("chain").agg(F.count("*").alias("n"), F.max("entry").alias("last")).orderBy("chain").collect()] == [("c0", 250, 249), ("c1", 250, 249)]
+    assert broken_links(log.read()).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 2, 14])
+def test_the_name_before_passes_between_runs(spark, bits):
+    rng = random.Random(bits)
+    rows = [(c, e, f"{c}{e}{k}") for c in ("x", "y", None) for e in range(40) if rng.random() < 0.9 for k in range(rng.choice([1, 1, 1, 2]))]
+    at: dict = {}
+    for c, e, name in rows:
+        at.setdefault((c, e), []).append(name)
+    log = spark.createDataFrame(rows, "chain string, entry bigint, name string").repartition(3)
+    want = {(c, e, name, *((min(b), max(b)) if c and (b := at.get((c, e - 1))) else (None, None))) for c, e, name in rows}
+    got = _before(log, F.col("name"), bits).select("chain", "entry", "name", "least", "most").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def test_an_entry_told_twice_breaks_the_next(spark):
+    log = NamedLog(spark)
+    log.append(spark.createDataFrame([("x", i, str(i)) for i in range(4)], "chain string, at bigint, body string"))
+    copy = log.read().where("entry = 1")
+    assert broken_links(log.read().union(copy)).count() == 0
+    other = copy.withColumns({"body": F.lit("other"), "name": F.sha2(F.lit("x\nother"), 256)})
+    names = {r.entry: r.name for r in log.read().collect()}
+    assert [(r.entry, r.previous, r.expected) for r in broken_links(log.read().union(other)).collect()] == [(2, names[1], other.first().name)]
+    assert [r.entry for r in broken_links(log.read().withColumn("previous", F.when(F.col("entry") != 3, F.col("previous")))).collect()] == [3]
+
+
 def test_parts_are_written_by_many_tasks_and_come_in_order(spark):
     rows = spark.range(40_000).selectExpr("id % 100 AS k", "id AS at", "concat(sha2(string(id), 256), sha2(string(-id), 256)) AS t").repartition(4)
     name, size = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k"
